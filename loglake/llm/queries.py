@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, minhash, sharding, urlfilter
+from loglake.llm import chat, minhash, quality, sharding, urlfilter
 from loglake.llm.shared import table
 
 SHARDS = 40
@@ -33,6 +33,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_log(chat.log_of(rows)))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_chat": op6_chat,
+    "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
     "op10_url_filter": op10_url_filter,
 }
