@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, minhash, quality, sharding, urlfilter
+from loglake.llm import chat, decontaminate, minhash, quality, sharding, urlfilter
 from loglake.llm.shared import table
 
 SHARDS = 40
@@ -26,6 +26,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -50,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op5_decontamination": op5_decontamination,
     "op6_chat": op6_chat,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
