@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, decontaminate, minhash, quality, sharding, urlfilter
+from loglake.llm import chat, decontaminate, minhash, pieces, quality, sharding, urlfilter
 from loglake.llm.shared import table
 
 SHARDS = 40
@@ -22,6 +22,10 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce({data}, lambda c, b: list_reduce([1, 2], lambda a, k: {step}, xor(c, b)), 4294967295::BIGINT), 4294967295)"
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -53,6 +57,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_chat": op6_chat,
