@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, decontaminate, htmltext, minhash, pieces, quality, sharding, urlfilter
+from loglake.llm import chat, decontaminate, htmltext, minhash, pieces, quality, sharding, tokencount, urlfilter
 from loglake.llm.shared import table
 
 SHARDS = 40
@@ -26,6 +26,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.ranks_of())
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltext.extract(pages, htmltext.train(pages)).select("page_id", "url", "text", "n_chars")
@@ -63,6 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_token_counts": op2_token_counts,
     "op3_html_text": op3_html_text,
     "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
