@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, decontaminate, htmltext, minhash, pieces, quality, sharding, tokencount, urlfilter
+from loglake.llm import ann, chat, decontaminate, htmltext, minhash, pieces, quality, sharding, tokencount, urlfilter
 from loglake.llm.shared import table
 
 SHARDS = 40
@@ -60,6 +60,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.filter_urls(pages, urlfilter.RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -74,6 +78,7 @@ QUERIES = {
     "op6_chat": op6_chat,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
+    "op9_neighbours": op9_neighbours,
     "op10_url_filter": op10_url_filter,
 }
 
