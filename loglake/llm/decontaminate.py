@@ -4,8 +4,8 @@
 2. Document frequencies of the benchmark's words over all documents give the inverse document frequencies.
 3. A randomised SVD of the TF-IDF matrix of the benchmark's passages (items cut into parts of ``STRIDE`` words) gives a latent space: tasks hold passages
    and add up their share of the products, the driver factors what is as wide as the rank.
-4. Windows of ``2 * STRIDE`` words of each document are projected, and parts whose cosine is ``COSINE`` or more are candidates. A window counts if its
-   TF-IDF norm is half a part's or more, which a sum over its words bounds before anything is projected.
+4. Windows of ``2 * STRIDE`` words of each document are projected, and parts whose cosine is ``COSINE`` or more are candidates, if the product
+   is ``COVERED`` of the part's square or more. Words that a large share of the documents holds have no weight here; they count in step 5.
 5. A candidate's surroundings are aligned with the whole item: the longest common subsequence must hold ``SHARE`` of the item's words, and that with the
    item's answer (an answer column, or its last sentence) ``ANSWER`` of the answer's.
 
@@ -29,9 +29,12 @@ from loglake.llm.shared import stored
 
 BLOCK_ITEMS = 2000
 STRIDE = 32
-RANK = 256
-COSINE = 0.25
-ENERGY = 0.5
+RANK = 512
+COSINE, COVERED = 0.4, 0.35
+#: Words in more documents than this share (and this number) don't count in the retrieval, unless a part would keep fewer than ``LEFT``.
+COMMON, COMMON_ROWS, LEFT = 0.02, 20, 3
+#: Blocks of a document that are projected together.
+SPAN = 128
 SHARE, ANSWER = 0.6, 0.5
 SEED = 11
 
@@ -63,6 +66,17 @@ def lcs(a, b) -> int:
     return len(b) - row.bit_count()
 
 
+def weights(seen: np.ndarray, rows: int, parts: list[np.ndarray]) -> np.ndarray:
+    """Inverse document frequencies, 0 for common words and for code 0."""
+    idf = np.log((1.0 + rows) / (1.0 + seen)) + 0.1
+    idf[0] = 0.0
+    common = seen > max(COMMON * rows, COMMON_ROWS)
+    for p in parts:
+        if (~common[p]).sum() < LEFT:
+            common[p] = False
+    return np.where(common, 0.0, idf)
+
+
 def encode(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
     """(id, codes): four bytes a word; documents without a word of the benchmark are left out."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -138,7 +152,6 @@ def multiply(idf: np.ndarray, basis: np.ndarray, gram: bool):
         total = np.zeros((basis.shape[1] if gram else len(idf), basis.shape[1]))
         for c in codes:
             at = np.unique(c)
-            at = at[at > 0]
             seen = idf[at] @ basis[at]
             if gram:
                 total += np.outer(seen, seen)
@@ -149,55 +162,75 @@ def multiply(idf: np.ndarray, basis: np.ndarray, gram: bool):
     return share
 
 
-def latent(codes: np.ndarray, idf: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, float]:
-    """A passage's place in the latent space and its TF-IDF norm; a word counts once."""
-    at = np.unique(codes)
-    at = at[at > 0]
-    return idf[at] @ space[at], float(np.sqrt((idf[at] ** 2).sum()))
-
-
 class Index:
     """A block's items, their parts and the latent space; what tasks get."""
 
     def __init__(self, ids: list, items: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, space: np.ndarray) -> None:
-        self.ids, self.idf, self.space = ids, idf.astype(np.float32), space
+        self.ids = ids
         self.items, self.answers = [x.tolist() for x in items], [x.tolist() for x in answers]
+        self.sizes = np.array([len(x) for x in items])
+        self.counts = idf > 0
+        self.placed = idf.astype(np.float32)[:, None] * space
         parts = [(k, p) for k, x in enumerate(items) for p in pieces(x)]
         self.owner = np.array([k for k, _ in parts])
-        placed = [latent(p, self.idf, space) for _, p in parts]
-        self.norms = np.array([n for _, n in placed], np.float32)
-        self.vectors = np.array([v for v, _ in placed], np.float32)
-        self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-9)
-        self.least = float(self.norms.min()) if len(parts) else np.inf
+        vectors = np.array([self.placed[np.unique(p)].sum(axis=0) for _, p in parts], np.float32)
+        self.norms = np.linalg.norm(vectors, axis=1)
+        self.least = max(float(self.norms.min()), 1e-6)
+        self.parts = (vectors / np.maximum(self.norms[:, None], 1e-9)).T.copy()
+        # the items that hold a word, and how often
+        self.holds: list = [None] * len(idf)
+        held: dict[int, dict[int, int]] = {}
+        for k, item in enumerate(self.items):
+            for x in item:
+                own = held.setdefault(x, {})
+                own[k] = own.get(k, 0) + 1
+        for x, own in held.items():
+            self.holds[x] = (np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
 
     def search(self, codes: np.ndarray) -> list[tuple[int, float, float, float]]:
         """Item, cosine, LCS share and answer share of each item found in a document, best place each."""
-        blocks = np.add.reduceat(self.idf[codes] ** 2, np.arange(0, len(codes), STRIDE))
-        windows = blocks if len(blocks) == 1 else blocks[:-1] + blocks[1:]
         best: dict[int, tuple[float, float, float]] = {}
-        tried = set()
-        for b in np.flatnonzero(windows >= (ENERGY * self.least) ** 2):
-            start = int(b) * STRIDE
-            vector, norm = latent(codes[start : start + 2 * STRIDE], self.idf, self.space)
-            size = np.linalg.norm(vector)
-            if size == 0:
+        blocks = -(-len(codes) // STRIDE)
+        for first in range(0, max(1, blocks - 1), SPAN):
+            count = min(SPAN + 1, blocks - first)
+            own = codes[first * STRIDE : (first + count) * STRIDE]
+            at = np.flatnonzero(self.counts[own])
+            if not len(at):
                 continue
-            cosine = self.vectors @ (vector / size)
-            for p in np.flatnonzero((cosine >= COSINE) & (norm >= ENERGY * self.norms)):
-                k = int(self.owner[p])
-                item = self.items[k]
-                span = (max(0, start - len(item)), start + 2 * STRIDE + len(item))
-                if (k, span) in tried:
-                    continue
-                tried.add((k, span))
-                near = codes[span[0] : span[1]].tolist()
-                if common(near, item) < SHARE * len(item):
-                    continue
-                share, answer = lcs(near, item) / len(item), lcs(near, self.answers[k]) / max(1, len(self.answers[k]))
-                if share >= SHARE and answer >= ANSWER and (k not in best or best[k][1:] < (share, answer)):
-                    best[k] = (float(cosine[p]), share, answer)
+            block = at // STRIDE
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1))
+            sums = np.zeros((count, self.placed.shape[1]), np.float32)
+            sums[block[starts]] = np.add.reduceat(self.placed[own[at]], starts, axis=0)
+            windows = sums if count == 1 else sums[:-1] + sums[1:]
+            norms = np.linalg.norm(windows, axis=1)
+            live = np.flatnonzero(norms >= COVERED * self.least)  # no other can cover a part
+            product = windows[live] @ self.parts
+            rows, hits = np.nonzero((product >= COSINE * norms[live, None]) & (product >= COVERED * self.norms))
+            for k in np.flatnonzero(np.diff(rows, prepend=-1)):
+                row = rows[k]
+                found = hits[k : np.searchsorted(rows, row, side="right")]
+                self.align(codes, (first + int(live[row])) * STRIDE, found, product[row, found] / norms[live[row]], best)
         return [(k, *x) for k, x in sorted(best.items())]
 
+    def align(self, codes: np.ndarray, start: int, parts: np.ndarray, cosine: np.ndarray, best: dict) -> None:
+        """Checks the candidates of a window; no common subsequence is longer than the words that both hold, counted as often as the item has them."""
+        owners = self.owner[parts]
+        reach = int(self.sizes[owners].max())
+        here = np.unique(codes[max(0, start - reach) : start + 2 * STRIDE + reach])
+        held = [self.holds[x] for x in here.tolist() if self.holds[x] is not None]
+        if not held:
+            return
+        most = np.bincount(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), len(self.items))
+        for p in np.flatnonzero(most[owners] >= SHARE * self.sizes[owners]):
+            k = int(owners[p])
+            item = self.items[k]
+            near = codes[max(0, start - len(item)) : start + 2 * STRIDE + len(item)].tolist()
+            if common(near, item) < SHARE * len(item):
+                continue
+            share, answer = lcs(near, item) / len(item), lcs(near, self.answers[k]) / max(1, len(self.answers[k]))
+            if share >= SHARE and answer >= ANSWER and (k not in best or best[k] < (float(cosine[p]), share, answer)):
+                best[k] = (float(cosine[p]), share, answer)
+
 
 def common(near: list[int], item: list[int]) -> int:
     """Words in common, counted as often as both have them: no common subsequence is longer."""
@@ -249,8 +282,7 @@ def block_leaks(docs: DataFrame, block: DataFrame, id_col: str, text_col: str, s
     items, answers = [number(r[1]) for r in rows], [number(r[2]) for r in rows]
     coded = stored(encode(docs, vocabulary, id_col, text_col), "codes", compression="zstd")
     seen = frequencies(coded, len(vocabulary) + 1)
-    idf = np.log((1.0 + docs.count()) / (1.0 + seen)) + 1.0
-    idf[0] = 0.0
+    idf = weights(seen, docs.count(), [p for x in items for p in pieces(x)])
     passages = docs.sparkSession.createDataFrame([(bytearray(p.tobytes()),) for x in items for p in pieces(x)], "codes binary")
     space, _ = randomised_svd(passages, idf, min(RANK, sum(len(pieces(x)) for x in items)))
     index = Index([r[0] for r in rows], items, answers, idf, space)
