@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loglake.plans import logs
+from loglake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "logs"]
