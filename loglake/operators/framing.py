@@ -16,7 +16,7 @@ def fragments(records: DataFrame, key: str, most: int) -> DataFrame:
     """Records of more than ``most`` bytes as consecutive parts: part, offset, frag bits (1: more follow, 2: goes on), raw. Order within a key is by part."""
     n = F.octet_length("raw")
     parts = F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
-    cut = records.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)).cast("bigint"))
+    cut = records.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)))
     bits = F.when((F.col("part") + 1) * most < n, MORE).otherwise(0) + F.when(F.col("part") > 0, CONT).otherwise(0)
     return cut.withColumns({"frag": bits, "offset": F.col("part") * most, "raw": F.substring("raw", F.col("part") * most + 1, F.lit(most))})
 

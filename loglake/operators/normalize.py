@@ -35,13 +35,18 @@ def convert(x: Column, how: dict, received: Column) -> Column:
     return {"int": V.to_int, "uint": V.to_uint, "bytes": V.to_uint, "float": V.to_float, "ip": V.to_ip, "port": V.to_port, "mac": V.to_mac, "bool": V.to_bool}[kind](x)
 
 
-def candidate(spec: dict, extractor: dict, raw: Column, received: Column) -> Column:
-    """The event an extractor makes, or null: signature, extraction, every key that isn't optional and every conversion but that of times must succeed."""
+def extraction(spec: dict, extractor: dict, raw: Column) -> Column:
+    """The fields an extractor finds, where the spec's signature stands in the first 512 characters."""
     found = EXTRACTORS[extractor["kind"]](raw, **extractor.get("options", {}))
+    if not spec.get("signature"):
+        return found
+    return F.when(F.substring(raw, 1, 512).rlike(spec["signature"].replace("(?P<", "(?<")), found)
+
+
+def candidate(spec: dict, extractor: dict, found: Column, raw: Column, received: Column) -> Column:
+    """The event an extractor's fields make, or null: every key that isn't optional and every conversion but that of times must succeed."""
     fields = found["fields"]
     ok = found.isNotNull()
-    if spec.get("signature"):
-        ok = F.substring(raw, 1, 512).rlike(spec["signature"].replace("(?P<", "(?<")) & ok
     for key, wanted in extractor.get("when", {}).items():
         ok = ok & F.coalesce(F.try_element_at(fields, F.lit(key)).isin(list(wanted)), F.lit(False))
     targets: dict[str, Column] = {}
@@ -100,8 +105,11 @@ def normalize(lines: DataFrame, specs: list[dict], raw: str = "raw", received: s
     """``lines`` with ``event`` (a struct, null where no spec matches) and the columns derived from it: event_id, event_time, time_from_receipt,
     parse_confidence. Null lines match nothing."""
     order = [(s, x) for s in sorted(specs, key=lambda s: s["id"]) for x in s["extractors"]]
-    event = F.coalesce(*[candidate(s, x, F.col(raw), F.col(received)) for s, x in order])
-    out = lines.withColumn("event", event)
+    # in steps of their own, so that what is found is computed once and not for each field that is read from it
+    found, made = [f"_found{k}" for k in range(len(order))], [f"_made{k}" for k in range(len(order))]
+    out = lines.withColumns({c: extraction(s, x, F.col(raw)) for c, (s, x) in zip(found, order, strict=True)})
+    out = out.withColumns({m: candidate(s, x, F.col(c), F.col(raw), F.col(received)) for m, c, (s, x) in zip(made, found, order, strict=True)})
+    out = out.withColumn("event", F.coalesce(*[F.col(m) for m in made])).drop(*found, *made)
     time = F.nullif(F.col("event.ocsf.time"), F.lit(0))
     return out.withColumns(
         {

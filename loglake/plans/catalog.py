@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loglake.plans import logs
+from loglake.plans import logs, records, service
 from loglake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "logs"]
+__all__ = ["ORACLES", "QUERIES", "logs", "records", "service"]

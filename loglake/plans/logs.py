@@ -10,7 +10,7 @@ from loglake.operators import extract, framing, normalize
 from loglake.plans.lines import KV_OK, KV_SPEC, MIXED_SPECS, events, kv_lines, mixed_lines
 from loglake.plans.registry import query, table
 
-MS = "CAST(epoch_ms(ts) AS BIGINT)"
+MS = "(epoch_us(ts) // 1000)"
 
 
 @query(f"""SELECT 's' || (user_id % 5) AS source_id, event_type AS action, sum(CASE WHEN {KV_OK} THEN 1 ELSE 0 END)::BIGINT AS events,
@@ -115,7 +115,8 @@ def time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("record_id", V.to_time_ms(c("s"), "epoch_s").alias("from_s"), V.to_time_ms(c("ms"), "epoch_ms").alias("from_ms"), V.to_time_ms(c("r"), "rfc3339").alias("from_rfc3339"), V.to_time_ms(c("z"), "yyyy/MM/dd HH:mm:ss", "+05:30").alias("from_zone"))
 
 
-@query("""SELECT o_orderkey AS record_id, year(o_orderdate) - CASE WHEN month(o_orderdate) > month(o_orderdate - INTERVAL 60 DAY) + 1 THEN 1 ELSE 0 END - CASE WHEN year(o_orderdate - INTERVAL 60 DAY) < year(o_orderdate) THEN 1 ELSE 0 END AS inferred_year FROM orders""")
+@query("""WITH y AS (SELECT o_orderkey AS record_id, month(o_orderdate) = 2 AND day(o_orderdate) = 29 AS leap_day, year(o_orderdate) - CASE WHEN month(o_orderdate) > month(o_orderdate - INTERVAL 60 DAY) + 1 THEN 1 ELSE 0 END - CASE WHEN year(o_orderdate - INTERVAL 60 DAY) < year(o_orderdate) THEN 1 ELSE 0 END AS y FROM orders)
+SELECT record_id, CASE WHEN NOT leap_day OR (y % 4 = 0 AND (y % 100 <> 0 OR y % 400 = 0)) THEN y END AS inferred_year FROM y""")
 def year_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.date_format("o_orderdate", "MMM  d HH:mm:ss").alias("t"), (F.col("o_orderdate") - F.expr("INTERVAL 60 DAY")).alias("received"))
     # 29 February does not exist in the year before; such a line keeps no time
