@@ -14,13 +14,22 @@ from pyspark.sql import functions as F
 PAIRS = "array<struct<k:string,v:string>>"
 
 
-def from_pairs(ok: Column, pairs: Column, flags: Column | None = None) -> Column:
-    keys = F.transform(pairs, lambda p: p["k"])
-    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
-    later = F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) != i + 1)
-    flags = flags if flags is not None else F.array().cast("array<string>")
-    flags = F.when(F.size(later) > 0, F.array_append(flags, F.lit("duplicate_key"))).otherwise(flags)
-    return F.when(ok, F.struct(F.map_from_entries(first).alias("fields"), later.alias("dupes"), flags.alias("flags")))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def from_pairs(ok: Column, pairs: Column, flags=None) -> Column:
+    """``flags`` gives the flags of the pairs (null: none of its own)."""
+
+    def build(pairs: Column, keys: Column) -> Column:
+        first = F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: F.struct(p["k"], p["v"]))
+        later = F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) != i + 1), lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
+        own = flags(pairs) if flags else F.lit(None).cast("string")
+        again = F.when(F.size(keys) > F.size(F.array_distinct(keys)), "duplicate_key")
+        return F.struct(F.map_from_entries(first).alias("fields"), later.alias("dupes"), F.array_compact(F.array(own, again)).alias("flags"))
+
+    return F.when(ok, let(pairs, lambda p: let(F.transform(p, lambda x: x["k"]), lambda keys: build(p, keys))))
 
 
 def kv(raw: Column, skip: str = "", pair_sep: str = " ", kv_sep: str = "=", quote: str = '"') -> Column:
@@ -30,9 +39,9 @@ def kv(raw: Column, skip: str = "", pair_sep: str = " ", kv_sep: str = "=", quot
     pattern = rf"([^{s}{p}\s]+){s}({q}[^{q}]*{q}?|[^{p}]*)"
     found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
     split = F.transform(found, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("k"), F.regexp_extract(x, pattern, 2).alias("v")))
-    open_ = F.exists(split, lambda x: x["v"].startswith(quote) & ((F.length(x["v"]) == 1) | ~x["v"].endswith(quote)))
-    bare = F.transform(split, lambda x: F.struct(x["k"].alias("k"), F.regexp_replace(x["v"], f"^{q}|{q}$", "").alias("v")))
-    return from_pairs(F.size(found) > 0, bare, F.when(open_, F.array(F.lit("key_injection_suspect"))).otherwise(F.array().cast("array<string>")))
+    opened = lambda v: v.startswith(quote) & ((F.length(v) == 1) | ~v.endswith(quote))
+    marked = F.transform(split, lambda x: F.struct(x["k"].alias("k"), F.regexp_replace(x["v"], f"^{q}|{q}$", "").alias("v"), opened(x["v"]).alias("open")))
+    return from_pairs(F.size(found) > 0, marked, lambda pairs: F.when(F.exists(pairs, lambda x: x["open"]), "key_injection_suspect"))
 
 
 def regex(raw: Column, pattern: str) -> Column:
