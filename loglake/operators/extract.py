@@ -37,11 +37,20 @@ def kv(raw: Column, skip: str = "", pair_sep: str = " ", kv_sep: str = "=", quot
     body = F.regexp_replace(raw, f"^{skip}", "") if skip else raw
     p, s, q = re.escape(pair_sep), re.escape(kv_sep), re.escape(quote)
     pattern = rf"([^{s}{p}\s]+){s}({q}[^{q}]*{q}?|[^{p}]*)"
-    found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    split = F.transform(found, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("k"), F.regexp_extract(x, pattern, 2).alias("v")))
-    opened = lambda v: v.startswith(quote) & ((F.length(v) == 1) | ~v.endswith(quote))
-    marked = F.transform(split, lambda x: F.struct(x["k"].alias("k"), F.regexp_replace(x["v"], f"^{q}|{q}$", "").alias("v"), opened(x["v"]).alias("open")))
-    return from_pairs(F.size(found) > 0, marked, lambda pairs: F.when(F.exists(pairs, lambda x: x["open"]), "key_injection_suspect"))
+    keys, values = (F.regexp_extract_all(body, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    closed = lambda v: F.endswith(v, F.lit(quote)) & (F.length(v) > 1)
+    bare = lambda v: F.when(~v.startswith(quote), v).otherwise(F.substring(v, F.lit(2), F.length(v) - F.when(closed(v), 2).otherwise(1)))
+
+    def build(k: Column, v: Column) -> Column:
+        pairs = F.zip_with(k, v, lambda a, b: F.struct(a.alias("k"), bare(b).alias("v")))
+        once = F.size(F.array_distinct(k)) == F.size(k)
+        first = F.filter(pairs, lambda p, i: F.array_position(k, p["k"]) == i + 1)
+        later = F.when(once, F.array().cast(PAIRS)).otherwise(F.filter(pairs, lambda p, i: F.array_position(k, p["k"]) != i + 1))
+        open_ = F.when(F.exists(v, lambda x: x.startswith(quote) & ~closed(x)), "key_injection_suspect")
+        fields = F.when(once, F.map_from_arrays(k, F.transform(v, bare))).otherwise(F.map_from_entries(first))
+        return F.struct(fields.alias("fields"), later.alias("dupes"), F.array_compact(F.array(open_, F.when(~once, "duplicate_key"))).alias("flags"))
+
+    return let(keys, lambda k: F.when(F.size(k) > 0, let(values, lambda v: build(k, v))))
 
 
 def regex(raw: Column, pattern: str) -> Column:

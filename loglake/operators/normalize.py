@@ -43,73 +43,94 @@ def extraction(spec: dict, extractor: dict, raw: Column) -> Column:
     return F.when(F.substring(raw, 1, 512).rlike(spec["signature"].replace("(?P<", "(?<")), found)
 
 
-def candidate(spec: dict, extractor: dict, found: Column, raw: Column, received: Column) -> Column:
-    """The event an extractor's fields make, or null: every key that isn't optional and every conversion but that of times must succeed."""
-    fields = found["fields"]
-    ok = found.isNotNull()
-    for key, wanted in extractor.get("when", {}).items():
-        ok = ok & F.coalesce(F.try_element_at(fields, F.lit(key)).isin(list(wanted)), F.lit(False))
-    targets: dict[str, Column] = {}
-    used: list[str] = []
-    flags = [F.lit(None).cast("string")]
-    mapped, constant = [], 0
-    for path, how in extractor["map"].items():
-        if "const" in how:
-            targets[path] = F.lit(how["const"])
-            constant += len(str(how["const"]).encode())
-            continue
-        keys = [how["from"]] if isinstance(how["from"], str) else how["from"]
-        parts = [F.try_element_at(fields, F.lit(k)) for k in keys]
-        used += keys
-        present = F.lit(True)
-        for p in parts:
-            present = present & p.isNotNull()
-        filled = present
-        for p in parts:
-            filled = filled & (p != "")
-        value = convert(F.concat_ws(" ", *parts) if len(parts) > 1 else parts[0], how, received)
-        if not how.get("optional"):
-            ok = ok & present
-        if how.get("type") == "time":
-            flags.append(F.when(filled & value.isNull(), "time_unparseable"))
-        else:
-            ok = ok & (~filled | value.isNotNull())
-        targets[path] = F.when(filled, value)
-        mapped += [F.octet_length(F.coalesce(p, F.lit(""))) for p in parts]
-    targets["class_uid"] = F.lit(extractor.get("class_uid", 4001))
-    targets["activity_id"] = targets.get("activity_id", F.lit(extractor.get("activity_id", 1)))
-    targets["type_uid"] = targets["class_uid"].cast("bigint") * 100 + targets["activity_id"].cast("bigint")
-    names = F.array(*[F.lit(k) for k in dict.fromkeys(used)]) if used else F.array().cast("array<string>")
-    unmapped = F.map_filter(fields, lambda k, v: (v != "") & ~F.array_contains(names, k))
-    total = F.aggregate(F.map_values(fields), F.lit(0), lambda n, v: n + F.octet_length(v))
-    covered = sum(mapped, F.lit(0))
-    ocsf = F.struct(*[targets.get(p, F.lit(None)).cast(t).alias(p.replace(".", "_")) for p, t in PATHS.items()])
-    return F.when(
-        ok,
-        F.struct(
+class Candidate:
+    """The event that an extractor's fields make, in steps of their own columns, so that each is computed once: what was found, the parts that the map
+    reads, the converted values, the event (null, unless every key that isn't optional is there and every conversion but that of times succeeds)."""
+
+    def __init__(self, name: str, spec: dict, extractor: dict, raw: Column, received: Column) -> None:
+        self.name, self.spec, self.extractor, self.raw, self.received = name, spec, extractor, raw, received
+        self.sources = {p: [how["from"]] if isinstance(how["from"], str) else how["from"] for p, how in extractor["map"].items() if "const" not in how}
+        self.keys = list(dict.fromkeys(k for keys in self.sources.values() for k in keys))
+
+    def found(self) -> dict[str, Column]:
+        return {f"{self.name}_f": extraction(self.spec, self.extractor, self.raw)}
+
+    def part(self, key: str) -> str:
+        return f"{self.name}_p{self.keys.index(key)}"
+
+    def parts(self) -> dict[str, Column]:
+        return {self.part(k): F.try_element_at(F.col(f"{self.name}_f.fields"), F.lit(k)) for k in self.keys}
+
+    def values(self) -> dict[str, Column]:
+        out = {}
+        for n, (path, keys) in enumerate(self.sources.items()):
+            parts = [F.nullif(F.col(self.part(k)), F.lit("")) for k in keys]
+            joined = parts[0] if len(parts) == 1 else F.concat(*[x for p in parts for x in (p, F.lit(" "))][:-1])
+            out[f"{self.name}_v{n}"] = convert(joined, self.extractor["map"][path], self.received)
+        return out
+
+    def event(self) -> dict[str, Column]:
+        found, x = F.col(f"{self.name}_f"), self.extractor
+        fields = found["fields"]
+        ok = found.isNotNull()
+        for key, wanted in x.get("when", {}).items():
+            ok = ok & F.coalesce(F.try_element_at(fields, F.lit(key)).isin(list(wanted)), F.lit(False))
+        targets: dict[str, Column] = {p: F.lit(how["const"]) for p, how in x["map"].items() if "const" in how}
+        constant = sum(len(str(how["const"]).encode()) for how in x["map"].values() if "const" in how)
+        flags = [F.lit(None).cast("string")]
+        for n, (path, keys) in enumerate(self.sources.items()):
+            how, value = x["map"][path], F.col(f"{self.name}_v{n}")
+            parts = [F.col(self.part(k)) for k in keys]
+            if not how.get("optional"):
+                for p in parts:
+                    ok = ok & p.isNotNull()
+            empty = F.lit(False)
+            for p in parts:
+                empty = empty | (F.coalesce(p, F.lit("")) == "")
+            if how.get("type") == "time":
+                flags.append(F.when(~empty & value.isNull(), "time_unparseable"))
+            elif how.get("type", "string") != "string":
+                ok = ok & (empty | value.isNotNull())
+            targets[path] = value
+        targets["class_uid"] = F.lit(x.get("class_uid", 4001))
+        targets["activity_id"] = targets.get("activity_id", F.lit(x.get("activity_id", 1)))
+        targets["type_uid"] = targets["class_uid"].cast("bigint") * 100 + targets["activity_id"].cast("bigint")
+        names = F.array(*[F.lit(k) for k in self.keys]) if self.keys else F.array().cast("array<string>")
+        unmapped = F.map_filter(fields, lambda k, v: (v != "") & ~F.array_contains(names, k))
+        total = F.octet_length(F.array_join(F.map_values(fields), ""))
+        # each field counts once, however many targets read it
+        covered = sum((F.octet_length(F.coalesce(F.col(self.part(k)), F.lit(""))) for k in self.keys), F.lit(0))
+        ocsf = F.struct(*[targets.get(p, F.lit(None)).cast(t).alias(p.replace(".", "_")) for p, t in PATHS.items()])
+        coverage = F.struct(
+            covered.alias("mapped_bytes"), (total - covered).alias("unmapped_bytes"), F.lit(constant).alias("constant_bytes"),
+            (F.octet_length(self.raw) - total).alias("uncovered_bytes"), F.lit(len(self.keys)).alias("mapped_fields"), F.size(fields).alias("fields"),
+        )
+        event = F.struct(
             ocsf.alias("ocsf"),
             unmapped.alias("unmapped"),
             F.transform(found["dupes"], lambda d: F.concat(d["k"], F.lit("="), d["v"])).alias("dupes"),
             F.concat(found["flags"], F.array_compact(F.array(*flags))).alias("flags"),
-            F.struct(covered.alias("mapped_bytes"), (total - covered).alias("unmapped_bytes"), F.lit(constant).alias("constant_bytes"), (F.octet_length(raw) - total).alias("uncovered_bytes"), F.lit(len(mapped)).alias("mapped_fields"), F.size(fields).alias("fields")).alias("coverage"),
-            F.lit(spec["id"]).alias("parser_id"),
-            F.lit(spec["version"]).alias("parser_version"),
-            F.lit(extractor["id"]).alias("extractor"),
-            F.lit(spec.get("vendor")).cast("string").alias("vendor"),
-            F.lit(spec.get("product")).cast("string").alias("product"),
-        ),
-    )
+            coverage.alias("coverage"),
+            F.lit(self.spec["id"]).alias("parser_id"),
+            F.lit(self.spec["version"]).alias("parser_version"),
+            F.lit(x["id"]).alias("extractor"),
+            F.lit(self.spec.get("vendor")).cast("string").alias("vendor"),
+            F.lit(self.spec.get("product")).cast("string").alias("product"),
+        )
+        return {f"{self.name}_e": F.when(ok, event)}
 
 
 def normalize(lines: DataFrame, specs: list[dict], raw: str = "raw", received: str = "received_at") -> DataFrame:
     """``lines`` with ``event`` (a struct, null where no spec matches) and the columns derived from it: event_id, event_time, time_from_receipt,
     parse_confidence. Null lines match nothing."""
     order = [(s, x) for s in sorted(specs, key=lambda s: s["id"]) for x in s["extractors"]]
-    # in steps of their own, so that what is found is computed once and not for each field that is read from it
-    found, made = [f"_found{k}" for k in range(len(order))], [f"_made{k}" for k in range(len(order))]
-    out = lines.withColumns({c: extraction(s, x, F.col(raw)) for c, (s, x) in zip(found, order, strict=True)})
-    out = out.withColumns({m: candidate(s, x, F.col(c), F.col(raw), F.col(received)) for m, c, (s, x) in zip(made, found, order, strict=True)})
-    out = out.withColumn("event", F.coalesce(*[F.col(m) for m in made])).drop(*found, *made)
+    every = [Candidate(f"_c{k}", s, x, F.col(raw), F.col(received)) for k, (s, x) in enumerate(order)]
+    out, own = lines, []
+    for step in (Candidate.found, Candidate.parts, Candidate.values, Candidate.event):
+        columns = {name: c for x in every for name, c in step(x).items()}
+        out = out.withColumns(columns)
+        own += columns
+    out = out.withColumn("event", F.coalesce(*[F.col(f"{x.name}_e") for x in every])).drop(*own)
     time = F.nullif(F.col("event.ocsf.time"), F.lit(0))
     return out.withColumns(
         {

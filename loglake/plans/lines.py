@@ -21,13 +21,20 @@ def kv_line():
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than the cluster has cores is dealt out before costly parsing; a larger one stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_id, source_id, received_at, raw)."""
-    return events(spark, sf_dir).select(F.col("event_id").alias("record_id"), F.concat(F.lit("s"), F.col("user_id") % 5).alias("source_id"), F.col("ts").alias("received_at"), kv_line().alias("raw"))
+    rows = spread(events(spark, sf_dir))
+    return rows.select(F.col("event_id").alias("record_id"), F.concat(F.lit("s"), F.col("user_id") % 5).alias("source_id"), F.col("ts").alias("received_at"), kv_line().alias("raw"))
 
 
 #: The spec that reads ``kv_line``.
@@ -69,7 +76,7 @@ def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     leef = F.concat(F.format_string("LEEF:2.0|Acme|Gate|1.0|%s|^|usrName=u%d^devTime=%d^note=a b^value=", kind, user, ms), v)
     syslog = F.concat(F.date_format("ts", "MMM dd HH:mm:ss"), F.format_string(" gate%d app[%d]: user u%d did %s value ", e % 4, e % 1000, user, kind), v)
     raw = F.when(e % 6 == 0, kv_line()).when(e % 6 == 1, csv).when(e % 6 == 2, json).when(e % 6 == 3, cef).when(e % 6 == 4, leef).otherwise(syslog)
-    return events(spark, sf_dir).select(e.alias("record_id"), F.concat(F.lit("s"), user % 5).alias("source_id"), F.col("ts").alias("received_at"), raw.alias("raw"))
+    return spread(events(spark, sf_dir)).select(e.alias("record_id"), F.concat(F.lit("s"), user % 5).alias("source_id"), F.col("ts").alias("received_at"), raw.alias("raw"))
 
 
 SYSLOG = r"^(?P<when>[A-Z][a-z]{2} [0-9]{2} [0-9:]{8}) (?P<host>\S+) (?P<app>[a-z]+)\[(?P<pid>[0-9]+)\]: user (?P<user>u[0-9]+) did (?P<action>[a-z]+) value (?P<value>\S+)$"
