@@ -8,8 +8,8 @@ No piece joins letters and other signs, or goes on after a blank that follows so
 into chunks and its lattice into a chain of small ones. Distinct chunks are segmented together, chunks of a length at a time; the best segmentation of a
 text joins those of its chunks, and its N best differ from it in the N - 1 chunks at most whose second best lose least, which alone are searched.
 
-Order is total: higher score first; of equal scores, within a chunk the longer last piece (then the last but one, ...), within a text the change that
-comes later.
+Order is by score, and a function of the text alone: the best of equal segmentations of a chunk is the one with the longest last piece (then the last but
+one, ...), further ones follow in the order of the search, and within a text the change that comes later goes first.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ NBEST = 4
 SPACE = "▁"
 #: Chunks that a Python worker remembers.
 REMEMBERED = 250_000
+#: Chunks of more characters are segmented one by one.
+LONG = 96
 #: Characters of text that are worked on together.
 TOGETHER = 1 << 21
 
@@ -155,6 +157,10 @@ class Segmenter:
         for c in chunks - self.number.keys():
             by_length.setdefault(len(c), []).append(c)
         for length, found in by_length.items():
+            if length > LONG:
+                for c in found:
+                    self.segment_long(c)
+                continue
             step = max(1, 200_000 // length)
             for at in range(0, len(found), step):
                 self.segment(found[at : at + step], length)
@@ -206,8 +212,31 @@ class Segmenter:
         total = ahead[length]
         for_chunk = np.ascontiguousarray(piece.T)
         used = for_chunk > -2
-        counts = used.sum(axis=1)
-        flat = for_chunk[used]
+        self.keep(chunks, used.sum(axis=1), for_chunk[used], total, total - second)
+
+    def segment_long(self, chunk: str) -> None:
+        """The same for one long chunk, place after place."""
+        text, v = chunk.replace(" ", SPACE), self.v
+        into, ahead = lattice(v, text)
+        size = len(text)
+        back = [-np.inf] * size + [0.0]
+        for j in range(size, 0, -1):
+            for i, s, _ in into[j]:
+                back[i] = max(back[i], s + back[j])
+        ids, best, second, j = [], set(), -np.inf, size
+        while j:
+            i, _, k = next(e for e in into[j] if ahead[e[0]] + e[1] == ahead[j])  # edges begin with the longest piece
+            ids.append(k)
+            best.add((i, j))
+            j = i
+        for j in range(1, size + 1):
+            for i, s, _ in into[j]:
+                if (i, j) not in best:
+                    second = max(second, ahead[i] + s + back[j])
+        self.keep([chunk], np.array([len(ids)]), np.array(ids[::-1], np.int32), np.array([ahead[size]]), np.array([ahead[size] - second]))
+
+    def keep(self, chunks: list[str], counts: np.ndarray, flat: np.ndarray, total: np.ndarray, loss: np.ndarray) -> None:
+        v, n = self.v, len(chunks)
         if (flat == -1).any():
             ends = np.cumsum(counts)
             own = [v.spelled(flat[e - k : e].tolist(), c) for c, e, k in zip(chunks, ends.tolist(), counts.tolist(), strict=True)]
@@ -218,7 +247,7 @@ class Segmenter:
         self.ids.add(flat)
         self.count.add(counts)
         self.score.add(total)
-        self.loss.add(total - second)
+        self.loss.add(loss)
 
     def chunk_nbest(self, chunk: str) -> list[tuple[float, bytes]]:
         """The N best (score, ids) of a chunk: A* from the end, forward Viterbi scores being what a prefix can still add."""
@@ -285,29 +314,45 @@ def combined(losses: list[list[float]], n: int) -> list[tuple[float, tuple[int,
     return out
 
 
-def a_star(v: Vocabulary, text: str, n: int) -> list[tuple[float, list[int]]]:
-    """The n best segmentations (score, ids with -1 for a character that is no piece) of a text in which blanks are marks."""
-    size = len(text)
+def lattice(v: Vocabulary, text: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
+    """Edges (start, score, id) into each place, the longest first, and the best score of each prefix."""
+    size, ids, scores = len(text), v.ids, v.scores.tolist()
     into: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
     ahead = [0.0] + [-np.inf] * size
-    scores = v.scores
     for j in range(1, size + 1):
         for i in range(max(0, j - v.longest), j):
-            k = v.ids.get(text[i:j], -1)
+            k = ids.get(text[i:j], -1)
             if k >= 0 or j - i == 1:
-                s = float(scores[k]) if k >= 0 else v.unknown_score
+                s = scores[k] if k >= 0 else v.unknown_score
                 into[j].append((i, s, k))
-                ahead[j] = max(ahead[j], ahead[i] + s)
-    # (bound of the whole, lengths from the end negated, place, own score, ids from the end); a prefix of an order goes before what it begins
-    heap = [(-ahead[size], (), size, 0.0, ())]
-    out = []
+                if ahead[i] + s > ahead[j]:
+                    ahead[j] = ahead[i] + s
+    return into, ahead
+
+
+def a_star(v: Vocabulary, text: str, n: int) -> list[tuple[float, list[int]]]:
+    """The n best segmentations (score, ids with -1 for a character that is no piece) of a text in which blanks are marks.
+
+    What a hypothesis holds is its own piece and the hypothesis after it. Of equal bounds the one made last is next, and of those made together the one
+    with the longest piece: a plateau is searched in depth, and the first result is the one that Viterbi prefers.
+    """
+    into, ahead = lattice(v, text)
+    size = len(text)
+    # (bound of the whole negated, order, place, own score, (id, hypothesis after it))
+    heap: list = [(-ahead[size], 0, size, 0.0, None)]
+    made, out = 0, []
     while heap and len(out) < n:
-        _, lengths, at, own, ids = heapq.heappop(heap)
+        _, _, at, own, chain_ = heapq.heappop(heap)
         if at == 0:
-            out.append((own, list(ids[::-1])))
+            ids = []
+            while chain_:
+                ids.append(chain_[0])
+                chain_ = chain_[1]
+            out.append((own, ids))
             continue
-        for i, s, k in into[at]:
-            heapq.heappush(heap, (-(ahead[i] + own + s), (*lengths, i - at), i, own + s, (*ids, k)))
+        for i, s, k in reversed(into[at]):  # the shortest piece is made first
+            made -= 1
+            heapq.heappush(heap, (-(ahead[i] + own + s), made, i, own + s, (k, chain_)))
     return out
 
 
