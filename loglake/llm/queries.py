@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loglake.llm import ann, chat, decontaminate, htmltext, minhash, pieces, quality, sharding, tokencount, urlfilter
-from loglake.llm.shared import table
+from loglake.llm.shared import ship, table
 
 SHARDS = 40
 
@@ -23,14 +23,17 @@ def crc32_sql(text: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.ranks_of())
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltext.extract(pages, htmltext.train(pages)).select("page_id", "url", "text", "n_chars")
 
@@ -40,10 +43,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -51,20 +56,24 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.filter_urls(pages, urlfilter.RULES).select("page_id", "host", "path", "rule", "verdict")
 

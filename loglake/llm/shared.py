@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +52,13 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors where they can't be expected to find it: neither on PYTHONPATH nor in the working folder."""
+    root = Path(__file__).resolve().parents[2]
+    known = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    context = spark.sparkContext
+    if root not in known and not getattr(context, "_loglake_shipped", False):
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='loglake-')}/loglake", "zip", root, "loglake"))
+        context._loglake_shipped = True
