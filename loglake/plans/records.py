@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.operators import identity, ledger
+from loglake.operators import evidence, identity, ledger
 from loglake.plans.lines import events
 from loglake.plans.registry import query, table
 
@@ -301,3 +301,18 @@ def reenrich_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identity_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = identity.resolve(asked(spark, sf_dir), identity.claims(facts(spark, sf_dir)), "id")
     return out.groupBy((F.col("id") % 3).alias("part")).agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("user").eqNullSafe(F.lit("u0"))).alias("right_cases"), F.count_if(F.col("user").isNull()).alias("none"))
+
+
+@query(f"""WITH b AS (SELECT event_id + 1 AS record_id, event_id % 19 = 5 AS other_raw, event_id % 23 = 7 AS other_claim, event_id % 29 = 3 AS open FROM events)
+SELECT CASE WHEN other_raw THEN 'fail' ELSE 'pass' END AS raw_hash, CASE WHEN open THEN 'skip' WHEN other_raw THEN 'fail' ELSE 'pass' END AS leaf, CASE WHEN open THEN 'skip' ELSE 'pass' END AS inclusion, CASE WHEN open THEN 'skip' ELSE 'pass' END AS chain,
+  CASE WHEN other_claim OR other_raw THEN 'fail' ELSE 'pass' END AS derived, count(*) AS n FROM b GROUP BY ALL""")
+def evidence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records(spark, sf_dir)
+    e = F.col("record_id") - 1
+    first = lambda raw: F.substring_index(raw.cast("string"), ":", 1)
+    leaf = leaves(spark, sf_dir)
+    claim = F.when(e % 23 == 7, "none").otherwise(first(F.col("raw")))
+    given = rows.select("record_id", "segment", F.when(e % 19 == 5, F.lit("forged:1:1").cast("binary")).otherwise(F.col("raw")).alias("raw"), F.sha2("raw", 256).alias("raw_sha256"), claim.alias("claimed"))
+    proofs = ledger.inclusion_paths(leaf).filter((F.col("record_id") - 1) % 29 != 3)
+    checked = evidence.checks(evidence.bundles(given, proofs, ledger.seals(leaf)), first)
+    return checked.groupBy(*[F.col("checks")[k].alias(k) for k in evidence.CHECKS]).agg(F.count(F.lit(1)).alias("n"))

@@ -260,3 +260,14 @@ def export_hec_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s"), F.col("doc_id") % 4).alias("source_id"), F.greatest(F.lit(1), F.octet_length(F.coalesce("text", F.lit("")))).cast("bigint").alias("bytes"))
     b = exports.batches(docs, "source_id", "doc_id", "bytes", 65536)
     return b.groupBy("source_id", "batch").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT DISTINCT 's' || (user_id % 5) AS source_id, 'keys renamed: user->usr | value shape of note changed: qstr->word | quarantine rate 0.25' AS signals FROM events")
+def drift_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (fa, a), (fb, b) = ((drift.fields(x), x) for x in halves(spark, sf_dir))
+    ha, hb = drift.shape_histogram(fa.filter("key != 'value'")), drift.shape_histogram(fb.filter("key != 'value'"))
+    changes = drift.key_changes(drift.key_presence(fa, a), drift.key_presence(fb, b))
+    kinds = drift.dominant_kind(a).select("source_id", F.col("kind").alias("base_kind")).join(drift.dominant_kind(b).select("source_id", F.col("kind").alias("now_kind")), "source_id")
+    rates = kinds.select("source_id", F.lit(0.25).alias("rate"))
+    found = drift.signals(kinds, changes, drift.rename_candidates(changes, ha, hb), ha, hb, rates)
+    return found.select("source_id", F.array_join("signals", " | ").alias("signals"))
