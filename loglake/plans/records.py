@@ -188,7 +188,7 @@ FACTS = "SELECT event_id AS record_id, ['dhcp', 'radius', 'vpn'][event_id % 3 +
 CLAIMS = f"""facts AS ({FACTS}),
 f1 AS (SELECT *, CASE kind WHEN 'dhcp' THEN INTERVAL 8 HOUR ELSE INTERVAL 12 HOUR END AS ttl, lag(action) OVER w AS pa, lag(who) OVER w AS pw, lag(mo) OVER w AS pt, lead(mo) OVER w AS nx FROM facts WINDOW w AS (PARTITION BY ip, kind ORDER BY mo, record_id)),
 f2 AS (SELECT *, sum(CASE WHEN action = 'bind' AND NOT coalesce(pa = 'bind' AND pw = who AND mo < pt + ttl, false) THEN 1 ELSE 0 END) OVER (PARTITION BY ip, kind ORDER BY mo, record_id) AS c FROM f1),
-f3 AS (SELECT ip, kind, c, min(who) AS who, min(mo) AS valid_from, max(mo + ttl) AS e, max_by(nx, mo) AS closer, min(record_id) AS record_id FROM f2 WHERE action = 'bind' GROUP BY ip, kind, c),
+f3 AS (SELECT ip, kind, c, min(who) AS who, min(mo) AS valid_from, max(mo + ttl) AS e, arg_max_null(nx, mo) AS closer, min(record_id) AS record_id FROM f2 WHERE action = 'bind' GROUP BY ip, kind, c),
 f4 AS (SELECT *, coalesce(closer <= e, false) AS closed, CASE WHEN coalesce(closer <= e, false) THEN closer ELSE e END AS valid_to FROM f3),
 claims AS (SELECT ip, kind, 'u' || who AS "user", 'h' || who AS host, valid_from, valid_to, closed, record_id FROM f4 WHERE valid_to > valid_from)"""
 
