@@ -43,6 +43,7 @@ class Vocabulary:
         self.pieces, self.byte_ids, self.unknown, self.dummy_prefix = pieces, byte_ids, unknown, dummy_prefix
         self.ids = {p: k for k, p in enumerate(pieces) if usable[k]}
         self.scores = np.array(scores, np.float64)
+        self.score_list = self.scores.tolist()
         self.unknown_score = min((float(self.scores[k]) for p, k in self.ids.items() if p.strip(SPACE)), default=0.0) - 10.0
         self.longest = max(map(len, self.ids), default=1)
         # white space and digits of other kinds that pieces hold count as signs
@@ -316,7 +317,7 @@ def combined(losses: list[list[float]], n: int) -> list[tuple[float, tuple[int,
 
 def lattice(v: Vocabulary, text: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
     """Edges (start, score, id) into each place, the longest first, and the best score of each prefix."""
-    size, ids, scores = len(text), v.ids, v.scores.tolist()
+    size, ids, scores = len(text), v.ids, v.score_list
     into: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
     ahead = [0.0] + [-np.inf] * size
     for j in range(1, size + 1):
