@@ -6,8 +6,9 @@
    and add up their share of the products, the driver factors what is as wide as the rank.
 4. Windows of ``2 * STRIDE`` words of each document are projected, and parts whose cosine is ``COSINE`` or more are candidates, if the product
    is ``COVERED`` of the part's square or more. Words that a large share of the documents holds have no weight here; they count in step 5.
-5. A candidate's surroundings are aligned with the whole item: the longest common subsequence must hold ``SHARE`` of the item's words, and that with the
-   item's answer (an answer column, or its last sentence) ``ANSWER`` of the answer's.
+5. A candidate's surroundings are aligned with the whole item: the longest common subsequence must hold ``SHARE`` of the item's words. Where the item
+   has an answer of its own (an answer column), that with the answer must hold ``ANSWER`` of its words, too; without one the share of the item's last
+   sentence is reported and decides nothing.
 
 The benchmark is worked on in blocks of ``BLOCK_ITEMS`` items, so that what is sent to tasks stays bounded for benchmarks of any size.
 """
@@ -165,8 +166,8 @@ def multiply(idf: np.ndarray, basis: np.ndarray, gram: bool):
 class Index:
     """A block's items, their parts and the latent space; what tasks get."""
 
-    def __init__(self, ids: list, items: list[np.ndarray], answers: list[np.ndarray], idf: np.ndarray, space: np.ndarray) -> None:
-        self.ids = ids
+    def __init__(self, ids: list, items: list[np.ndarray], answers: list[np.ndarray], asked: list[bool], idf: np.ndarray, space: np.ndarray) -> None:
+        self.ids, self.asked = ids, asked  # asked: the answer is one of a column, and must be there
         self.items, self.answers = [x.tolist() for x in items], [x.tolist() for x in answers]
         self.sizes = np.array([len(x) for x in items])
         self.counts = idf > 0
@@ -228,7 +229,7 @@ class Index:
             if common(near, item) < SHARE * len(item):
                 continue
             share, answer = lcs(near, item) / len(item), lcs(near, self.answers[k]) / max(1, len(self.answers[k]))
-            if share >= SHARE and answer >= ANSWER and (k not in best or best[k] < (float(cosine[p]), share, answer)):
+            if share >= SHARE and (answer >= ANSWER or not self.asked[k]) and (k not in best or best[k] < (float(cosine[p]), share, answer)):
                 best[k] = (float(cosine[p]), share, answer)
 
 
@@ -254,6 +255,7 @@ def pieces(item: np.ndarray) -> list[np.ndarray]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
     """(id, item, cosine, lcs_share, answer_share) of every item that a row of ``docs`` holds.
 
+    With ``answer_col`` an item that has an answer there counts only with its answer; an item without one counts by its own words alone.
     Null or empty texts and items match nothing. Items with the same text are found each. Repeated rows give repeated results; an empty table on either
     side gives an empty result; further columns are not read.
     """
@@ -273,11 +275,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def block_leaks(docs: DataFrame, block: DataFrame, id_col: str, text_col: str, schema: str) -> DataFrame | None:
-    rows = [(r["id"], words(r["text"]), words(r["answer"]) or words(answer_of(r["text"]))) for r in block.collect()]
+    rows = [(r["id"], words(r["text"]), own or words(answer_of(r["text"])), bool(own)) for r in block.collect() for own in [words(r["answer"])]]
     rows = [r for r in rows if r[1]]
     if not rows:
         return None
-    vocabulary = {w: k for k, w in enumerate(sorted({w for _, item, answer in rows for w in (*item, *answer)}), 1)}
+    vocabulary = {w: k for k, w in enumerate(sorted({w for _, item, answer, _ in rows for w in (*item, *answer)}), 1)}
     number = lambda ws: np.array([vocabulary[w] for w in ws], np.uint32)
     items, answers = [number(r[1]) for r in rows], [number(r[2]) for r in rows]
     coded = stored(encode(docs, vocabulary, id_col, text_col), "codes", compression="zstd")
@@ -285,7 +287,7 @@ def block_leaks(docs: DataFrame, block: DataFrame, id_col: str, text_col: str, s
     idf = weights(seen, docs.count(), [p for x in items for p in pieces(x)])
     passages = docs.sparkSession.createDataFrame([(bytearray(p.tobytes()),) for x in items for p in pieces(x)], "codes binary")
     space, _ = randomised_svd(passages, idf, min(RANK, sum(len(pieces(x)) for x in items)))
-    index = Index([r[0] for r in rows], items, answers, idf, space)
+    index = Index([r[0] for r in rows], items, answers, [r[3] for r in rows], idf, space)
     sent = docs.sparkSession.sparkContext.broadcast(index)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     names, types = arrow.names, arrow.types

@@ -14,6 +14,7 @@ than one in a million each. Large buckets and families are cut into blocks, and
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from loglake.llm.components import components
 from loglake.llm.shared import stored
@@ -29,25 +31,35 @@ WORDS = 5
 BANDS, ROWS = 32, 6
 #: At a similarity of 0.85 a pair shares no band with probability (1 - 0.85^6)^32 = 3e-7.
 HASHES = BANDS * ROWS
-#: How far a signature's estimate may fall below the threshold: over five standard deviations, sqrt(0.85 * 0.15 / 192) = 0.026 each.
-SLACK = 0.14
+#: Bands and rows for thresholds below 0.85: at 0.8 (1 - 0.8^5)^48 = 5e-9; further down there are as many bands as ``MISSED`` asks for.
+LOW_BANDS, LOW_ROWS, MISSED = 48, 5, 1e-6
+#: How far a signature's estimate may fall below the threshold: ``DEVIATIONS`` standard deviations, sqrt(0.85 * 0.15 / 192) = 0.026 each, and this at least.
+SLACK, DEVIATIONS = 0.14, 5.4
 BLOCK = 1024
 #: Shingles of a block of full sets.
 BLOCK_SHINGLES = 1 << 19
-#: Ids of candidate families are broadcast up to this count (8 bytes each), beyond it joined by shuffle.
+#: Ids of candidate families are broadcast up to this count (8 bytes each; an eighth of it if they are not bigint), beyond it joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
+def banding(least: float) -> tuple[int, int]:
+    """Bands, and rows of a band, for links of a similarity of ``least`` or more."""
+    if least >= 0.85:
+        return BANDS, ROWS
+    return max(LOW_BANDS, math.ceil(math.log(MISSED) / math.log1p(-(least**LOW_ROWS)))), LOW_ROWS
+
+
 @functools.cache
-def tables():
+def tables(n_bands: int = BANDS, n_rows: int = ROWS):
+    n_hashes = n_bands * n_rows
     r = np.random.default_rng(20240229)
     letters = r.integers(1, 1 << 63, 256, dtype=np.uint64)
-    a = r.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    b = r.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-    bands = r.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-    return letters, a, b, bands, r.integers(1, 1 << 63, BANDS, dtype=np.uint64)
+    a = r.integers(0, 1 << 31, n_hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = r.integers(0, 1 << 32, n_hashes, dtype=np.uint32)
+    bands = r.integers(1, 1 << 63, (n_bands, n_rows), dtype=np.uint64) | np.uint64(1)
+    return letters, a, b, bands, r.integers(1, 1 << 63, n_bands, dtype=np.uint64)
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -89,10 +101,10 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(mix((sums[ends] - sums[starts]) * down[starts]))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    _, a, b, _, _ = tables()
+def minima(hashes: np.ndarray, layout: tuple[int, int] = (BANDS, ROWS)) -> np.ndarray:
+    _, a, b, _, _ = tables(*layout)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, np.uint32(0xFFFFFFFF))
+    least = np.full(len(a), np.uint32(0xFFFFFFFF))
     for at in range(0, len(x), 1024):
         values = a[:, None] * x[None, at : at + 1024]
         values += b[:, None]
@@ -100,12 +112,12 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    _, _, _, factors, own = tables()
-    return mix((least.reshape(BANDS, ROWS).astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64) + own).view(np.int64)
+def band_keys(least: np.ndarray, layout: tuple[int, int] = (BANDS, ROWS)) -> np.ndarray:
+    _, _, _, factors, own = tables(*layout)
+    return mix((least.reshape(layout).astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64) + own).view(np.int64)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, layout: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """id, n_shingles, set_key (128 bits of the set; null for no words), signature (a byte a hash function), bands."""
     schema = pa.schema([("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -117,8 +129,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not len(h):
                     out.append((0, None, None, None))
                     continue
-                least = minima(h)
-                out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), least.astype(np.uint8).tobytes(), band_keys(least)))
+                least = minima(h, layout)
+                out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), least.astype(np.uint8).tobytes(), band_keys(least, layout)))
             columns = [pa.array([row[k] for row in out], field.type) for k, field in enumerate(schema)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *schema.names])
 
@@ -190,8 +202,9 @@ def grouped(rows: DataFrame, payload: str, work) -> DataFrame:
 
 
 def by_signature(least: float):
-    need = least - SLACK
-    most = int(HASHES * (1 - (need + (1 - need) / 256)))  # functions that may differ; a byte agrees by chance once in 256
+    bands, rows = banding(least)
+    need = least - max(SLACK, DEVIATIONS * math.sqrt(least * (1 - least) / (bands * rows)))
+    most = int(bands * rows * (1 - (need + (1 - need) / 256)))  # functions that may differ; a byte agrees by chance once in 256
 
     def work(loads):
         s = np.frombuffer(b"".join(loads), np.uint8).reshape(len(loads), -1)
@@ -230,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same text are linked, with repeated ids or not; null ids count only where a component has no other (component_id and kept are then null). An
     empty table gives an empty result; further columns are not read.
     """
-    rows = stored(sketch(docs, id_col, text_col), "sketch")
+    rows = stored(sketch(docs, id_col, text_col, banding(num / den)), "sketch")
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("size"))
     faces = rows.filter("n_shingles > 0").select("set_key", "signature", "bands")
     found = families(docs, faces, classes, id_col, text_col, num, den)
@@ -256,7 +269,7 @@ def families(docs, faces: DataFrame, classes: DataFrame, id_col: str, text_col:
     sized = stored(sized, "families")
     totals = sized.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
     ids = sized.select("first_id").distinct()
-    if sized.count() <= BROADCAST_IDS:
+    if sized.count() <= (BROADCAST_IDS if isinstance(docs.schema[id_col].dataType, LongType) else BROADCAST_IDS // 8):
         ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(ids, F.col("id").eqNullSafe(F.col("first_id")), "left_semi").select("t")
 
