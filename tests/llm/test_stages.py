@@ -2,7 +2,7 @@
 
 import pytest
 
-from loglake.llm import minhash
+from loglake.llm import decontaminate, minhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -28,3 +28,15 @@ def test_banding_misses_less_than_one_in_a_million():
         bands, n = minhash.banding(least)
         assert (1 - least**n) ** bands < 1e-6
     assert minhash.banding(0.85) == (32, 6)
+
+
+def test_leaks_without_the_last_sentence(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(30)) + f". Last{k}.") for k in range(4)]
+    docs = [(k, f"some words before {items[k][1].rsplit('. ', 1)[0]} and after") for k in range(4)]
+    docs += [(10 + k, items[k][1]) for k in range(4)] + [(20, "i0w1 i0w2 i0w3 Last0.")]
+    bench = spark.createDataFrame([(k, t, f"Last{k}" if k < 2 else None) for k, t in items], "item_id bigint, text string, answer string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(rows_of(spark, docs), bench).collect()}
+    assert got == {(k, k) for k in range(4)} | {(10 + k, k) for k in range(4)}
+    # an answer of its own is asked for, where there is one
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(rows_of(spark, docs), bench, answer_col="answer").collect()}
+    assert got == {(k, k) for k in (2, 3)} | {(10 + k, k) for k in range(4)}
