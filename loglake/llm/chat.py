@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, END = "### ", "</turn>"
@@ -62,10 +63,19 @@ def loss_spans(formatted: str, learned: str = "assistant") -> list[tuple[int, in
 
 
 class Fold:
-    """Messages of one conversation, as the events come; texts are lists of deltas until they are read."""
+    """Messages of one conversation, as the events come; texts are lists of deltas until they are read.
+
+    Turns are kept in order, so that what an event takes back is cut from the end: each turn is put in and taken out once.
+    """
 
     def __init__(self) -> None:
         self.messages: dict = {}
+        self.order: list = []
+
+    def put(self, turn, role: str, parts: list[str]) -> None:
+        if turn not in self.messages:
+            insort(self.order, turn)
+        self.messages[turn] = (role, parts)
 
     def take(self, kind: str, turn, role: str, text: str) -> None:
         if turn is None or kind not in KINDS:
@@ -73,19 +83,19 @@ class Fold:
         known = self.messages.get(turn)
         if kind == "delta":
             if known is None:
-                self.messages[turn] = (role, [text])
+                self.put(turn, role, [text])
             else:
                 known[1].append(text)
             return
-        for later in [t for t in self.messages if t > turn]:
-            del self.messages[later]
+        while self.order and self.order[-1] > turn:
+            del self.messages[self.order.pop()]
         if kind == "message":
-            self.messages[turn] = (role, [text])
+            self.put(turn, role, [text])
         elif known is not None:
-            self.messages[turn] = (known[0], [text] if kind == "edit" else [])
+            self.put(turn, known[0], [text] if kind == "edit" else [])
 
     def final(self) -> list[tuple[str, str]]:
-        return [(role, "".join(parts)) for _, (role, parts) in sorted(self.messages.items())]
+        return [(role, "".join(parts)) for role, parts in (self.messages[t] for t in self.order)]
 
 
 def format_log(events: DataFrame) -> DataFrame:
@@ -127,27 +137,33 @@ def format_log(events: DataFrame) -> DataFrame:
 
 
 def log_of(conversations: DataFrame, delta_chars: int = 2048) -> DataFrame:
-    """The event log of a table of rows (conv_id, turn, role, text): each row a ``message`` and, where it is long, ``delta`` events of ``delta_chars``.
+    """The event log of a table of rows (conv_id, turn, role, text), as a chat service would have written it.
 
-    Rows of a conversation are ordered by turn, then role and text, and are a turn each, so repeated rows stay. Null texts and roles are empty.
+    A row is a ``message`` and, where it is long, ``delta`` events of ``delta_chars``. By a hash of conversation and turn, a quarter of the rows come
+    first as a draft that is regenerated and streamed anew, and a quarter as a draft with an answer, both of which an ``edit`` takes back. The fold of the
+    log is the table. Rows of a conversation are ordered by turn, then role and text, and are a turn each, so repeated rows stay. Null texts and roles are
+    empty, null conversations are one conversation, no rows give no events.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    role = F.coalesce(F.col("role"), F.lit(""))
-    # the turn's place within its conversation; a conversation is folded in one task anyway
+    text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     kept = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
-    packed = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
-    placed = packed.select("conv_id", F.posexplode("rows").alias("turn", "row"))
-    parts = F.greatest(F.lit(1), F.ceil(F.char_length("row.text") / delta_chars)).cast("int")
-    cut = placed.select("conv_id", "turn", "row", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    return cut.select(
-        "conv_id",
-        F.col("turn").cast("bigint").alias("seq"),
-        F.col("part").cast("bigint").alias("part"),
-        F.when(F.col("part") == 0, "message").otherwise("delta").alias("kind"),
-        F.col("turn").cast("bigint").alias("turn"),
-        F.col("row.role").alias("role"),
-        F.substring(F.col("row.text"), F.col("part") * delta_chars + 1, F.lit(delta_chars)).alias("text"),
-    )
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    placed = kept.withColumn("turn", at.cast("bigint")).withColumn("way", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)))
+    parts = F.greatest(F.lit(1), F.ceil(F.char_length("text") / delta_chars)).cast("int")
+
+    def event(part, kind, turn, said):
+        return F.struct(part.cast("bigint").alias("part"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), turn.alias("turn"), said.alias("text"))
+
+    def chunks(first: str):
+        """The text in pieces: the first as ``first``, deltas after it."""
+        kind = lambda k: F.when(k == 0, F.lit(first)).otherwise(F.lit("delta"))
+        return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: event(k, kind(k), F.col("turn"), F.substring(F.col("text"), k * delta_chars + 1, F.lit(delta_chars))))
+
+    draft = event(F.lit(-3), "message", F.col("turn"), F.concat(F.lit("draft of "), F.col("role")))
+    again = F.array(draft, event(F.lit(-2), "regenerate", F.col("turn"), F.lit("")))
+    answered = F.array(draft, event(F.lit(-2), "message", F.col("turn") + 1, F.lit("taken back")))
+    events = F.when(F.col("way") == 1, F.concat(again, chunks("delta"))).when(F.col("way") == 2, F.concat(answered, chunks("edit"))).otherwise(chunks("message"))
+    made = placed.select("conv_id", F.col("turn").alias("seq"), "role", F.explode(events).alias("e"))
+    return made.select("conv_id", "seq", "e.part", "e.kind", "e.turn", "role", "e.text")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

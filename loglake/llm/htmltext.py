@@ -1,11 +1,13 @@
 """HTML extraction: a recurrent labeller of blocks.
 
 A page becomes the sequence of its leaf blocks (text between block-level tags). A block's vector holds its hashed path of tags, classes and ids, its own
-tag, its hashed words and a few numbers. A bidirectional LSTM in numpy reads the sequence from both ends and labels every block content or not, so a
-block's context in the whole document counts. The text is that of the content blocks, in order.
+tag, its hashed words and numbers about its text and its place in the tree (which container holds most of the page's text, how a block stands to it and
+to its neighbours). A bidirectional LSTM in numpy reads the sequence from both ends and labels every block content or not, so a block's context in the
+whole document counts. The text is that of the content blocks, in order.
 
-The model is fitted on a bounded sample of the pages at hand (``TRAIN_PAGES``). Its labels come from containers whose names say what they hold, and
-random changes (names hidden or replaced, foreign blocks put in) keep it from leaning on one name alone.
+The model is fitted on two kinds of pages. ``composed`` ones are put together at random from words of the pages at hand: an article and menus, notices,
+adverts, forms, reader comments and so on before, within and after it, in containers with telling, foreign or no names; their labels are known by
+construction. Pages of the sample whose containers' names tell what they hold join them as they are; pages without such names lend their words only.
 """
 
 from __future__ import annotations
@@ -21,22 +23,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of the least seeded hash that the labeller is fitted on, and the blocks of each that are used there.
-TRAIN_PAGES, TRAIN_BLOCKS = 320, 120
-PATH, OWN, WORDS, NUMBERS = 64, 24, 24, 8
+#: Pages that the labeller is fitted on (drawn by a seeded hash of their ids), composed pages, and the longest run of a page's blocks (from a seeded
+#: place in it) and of its words that are used there.
+TRAIN_PAGES, COMPOSED, TRAIN_BLOCKS, TRAIN_WORDS = 320, 1200, 400, 150
+PATH, OWN, WORDS, NUMBERS = 64, 24, 24, 20
 WIDTH = PATH + OWN + WORDS + NUMBERS
-HIDDEN = 16
+HIDDEN = 24
 SEED = 5
 
+#: A leaf block: path (outermost first; a tag and its names joined by dots), text, share of linked characters, and the path's elements by number.
+Block = tuple[tuple[str, ...], str, float, tuple[int, ...]]
+
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S
 )
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HIDES = re.compile(r"hidden|display", re.I)
+UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 # Elements of HTML by kind, and what names of containers say.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TEXT = frozenset("script style title noscript template textarea iframe object svg math canvas select xmp noembed noframes".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption td th tr caption summary legend".split())
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CONTENT = frozenset("article main content post entry story".split())
 OTHER = frozenset(
@@ -44,29 +54,43 @@ OTHER = frozenset(
 )
 
 
-def leaves(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """Path (outermost first; a tag and its names joined by dots), text and share of linked characters of each block that holds text."""
+def unseen(attributes: str) -> bool:
+    """Whether an element's attributes hide it from readers."""
+    if not HIDES.search(attributes):
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").strip()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
+            return True
+    return False
+
+
+def leaves(page: str | None) -> list[Block]:
+    """The blocks that hold text which a reader is shown: none of scripts, styles and the like, nor of hidden elements."""
     if not page:
         return []
-    stack: list[tuple[str, str]] = []
-    out: list[tuple[tuple[str, ...], str, float]] = []
+    stack: list[tuple[str, str, int, bool]] = []
+    out: list[Block] = []
     parts: list[str] = []
-    linked = total = at = 0
+    linked = total = at = opened = 0
 
     def close() -> None:
         nonlocal linked, total
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(n for _, n in stack), text, linked / max(total, 1)))
+                nodes = [n for n in stack if n[0] not in INLINE]
+                out.append((tuple(n[1] for n in nodes), text, linked / max(total, 1), tuple(n[2] for n in nodes)))
             parts.clear()
         linked = total = 0
 
     def say(raw: str) -> None:
         nonlocal linked, total
+        if stack and stack[-1][3]:
+            return
         parts.append(raw)
         total += len(raw)
-        if any(t == "a" for t, _ in stack):
+        if any(n[0] == "a" for n in stack):
             linked += len(raw)
 
     def pop(names, barriers) -> None:
@@ -108,7 +132,8 @@ def leaves(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             pop(*CLOSES[tag])
         if tag not in VOID:
             names = ".".join(w for g in NAMES.finditer(m[3]) for w in re.split(r"[^a-z0-9]+", (g[1] or g[2] or g[3] or "").lower()) if w) if m[3] else ""
-            stack.append((tag, f"{tag}.{names}" if names else tag))
+            opened += 1
+            stack.append((tag, f"{tag}.{names}" if names else tag, opened, bool(stack and stack[-1][3]) or bool(m[3]) and unseen(m[3])))
     close()
     return out
 
@@ -135,16 +160,79 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-def vectors(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def common(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """Elements that two paths share."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def places(blocks: list[Block]) -> np.ndarray:
+    """Where blocks stand in the tree, about the container that holds most text (a grandchild's counts half, and so on)."""
+    mass: dict[int, float] = {}
+    held: dict[int, list[float]] = {}
+    alike: dict[tuple[str, ...], int] = {}
+    deep: list[int] = []
+    whole = 0.0
+    for path, text, linked, ids in blocks:
+        n = len(text) * (1 - linked)
+        up = len(ids) - (1 if path and path[-1].split(".", 1)[0] in TEXTUAL else 0)
+        deep.append(up)
+        whole += n
+        alike[path] = alike.get(path, 0) + 1
+        for k in range(up - 1, max(-1, up - 4), -1):
+            mass[ids[k]] = mass.get(ids[k], 0.0) + n
+            n /= 2
+        if up:
+            sums = held.setdefault(ids[up - 1], [0.0, 0.0])
+            sums[0] += len(text)
+            sums[1] += len(text) * linked
+    top = max(mass, key=lambda u: (mass[u], -u)) if mass else 0
+    inside = [k for k, b in enumerate(blocks) if top in b[3]]
+    first, last = (inside[0], inside[-1]) if inside else (0, len(blocks))
+    chain = blocks[inside[0]][3] if inside else ()
+    chain = chain[: chain.index(top) + 1] if inside else ()
+    out = np.zeros((len(blocks), 12), np.float32)
+    before: tuple[int, ...] = ()
+    for k, ((path, _, _, ids), up) in enumerate(zip(blocks, deep, strict=True)):
+        shared = common(ids, chain)
+        box = ids[up - 1] if up else 0
+        size, links = held.get(box, (0.0, 0.0))
+        is_in = shared == len(chain)
+        out[k] = (
+            mass.get(box, 0.0) / max(whole, 1),
+            box == top,
+            is_in,
+            shared / max(len(chain), 1),
+            (up - len(chain)) / 4 if is_in else 0,
+            k < first,
+            k > last,
+            np.log1p(alike[path]) / 4,
+            common(ids, before) / max(len(ids), 1),
+            box in before,
+            links / max(size, 1),
+            np.log1p(size) / 8,
+        )
+        before = ids
+    return out
+
+
+def vectors(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), WIDTH), np.float32)
-    for k, (path, text, linked) in enumerate(blocks):
+    if not blocks:
+        return out
+    out[:, -12:] = places(blocks)
+    for k, (path, text, linked, _) in enumerate(blocks):
         row = out[k]
         row[: PATH + OWN] = path_vector(path)
         words = text.lower().split()
         at = np.fromiter((slot(w, WORDS) for w in words), np.int64, len(words))
         row[PATH + OWN : PATH + OWN + WORDS] = np.bincount(at, minlength=WORDS) / np.sqrt(len(words))
         n = len(text)
-        row[-NUMBERS:] = np.log1p(n) / 6, np.log1p(len(words)) / 4, linked, k / len(blocks), text[-1] in ".!?", sum(map(str.isdigit, text)) / n, len(path) / 8, 1
+        row[-20:-12] = np.log1p(n) / 6, np.log1p(len(words)) / 4, linked, k / len(blocks), text[-1] in ".!?", sum(map(str.isdigit, text)) / n, len(path) / 8, 1
     return out
 
 
@@ -235,44 +323,200 @@ def gradient(x, steps, target, mask, p) -> tuple[float, dict[str, np.ndarray]]:
     return loss, g
 
 
-def disturbed(blocks: list, r: np.random.Generator) -> tuple[list, list[int]]:
-    """A page's blocks with their labels, some names hidden or replaced and some blocks of other kinds put in."""
-    labels = [weak_label(path) for path, _, _ in blocks]
-    swap = {}
-    if r.random() < 0.5:
-        swap["article"] = str(r.choice(["main", "div.content", "div.post", "section.entry", "div.story", "div"]))
-    if r.random() < 0.3:
-        swap |= {"nav": "div.menu", "footer": str(r.choice(["div.footer", "div.copyright"])), "div.ad": str(r.choice(["aside", "div.promo", "div.sponsor", "div.banner"]))}
-    out = [(tuple(swap.get(n, n) for n in path), text, linked) for path, text, linked in blocks]
-    names = sorted(OTHER)
-    for _ in range(r.integers(0, 4)):
-        at = int(r.integers(0, len(out) + 1))
-        name = str(r.choice(names))
-        node = name if name in ("nav", "header", "footer", "aside", "form", "menu", "button", "label", "fieldset", "dialog") else f"{r.choice(['div', 'section', 'ul', 'p'])}.{name}"
-        inside = out[min(at, len(out) - 1)][0][:3] if out else ("html", "body")
-        for _ in range(int(r.integers(1, 5))):
-            text = blocks[int(r.integers(len(blocks)))][1]
-            words = text.split()
-            out.insert(at, ((*inside, node, str(r.choice(["p", "li", "div", "span"]))), " ".join(words[: int(r.integers(1, 40))]), float(r.random() < 0.3)))
-            labels.insert(at, 0)
-    return out, labels
-
-
-def fit(pages: list[list], rounds: int = 200, batch: int = 32, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Adam over disturbed copies of the pages' blocks. Without a page with blocks the start weights are returned."""
-    pages = [b[:TRAIN_BLOCKS] for b in pages if b]
-    p = init(seed)
-    if not pages:
-        return p
+# Names that containers of each kind often have; the generator takes one of them, a foreign one or none.
+TELLING = {
+    "content": "article main div.content div.post section.entry div.story main.content div.article",
+    "nav": "nav div.nav ul.menu div.menu div.breadcrumb ol.pagination div.toolbar",
+    "header": "header div.header div.masthead",
+    "footer": "footer div.footer div.copyright p.legal",
+    "side": "aside aside.sidebar div.sidebar div.related div.widget",
+    "notice": "div.notice div.cookie div.banner section.consent div.alert",
+    "ad": "div.ad div.ads aside.promo div.sponsor ins.advert",
+    "form": "form form.search form.newsletter div.subscribe form.login",
+    "comments": "section.comments div.comments ol.comment-list div.replies div.discussion div.thread",
+    "share": "div.share ul.social div.buttons",
+}
+
+
+class Composer:
+    """Pages put together at random from given words, as blocks with their labels."""
+
+    def __init__(self, words: list[str], r: np.random.Generator):
+        self.words, self.r = words * (1 + 2000 // len(words)), r
+
+    def some(self, low: int, high: int) -> int:
+        return int(self.r.integers(low, high + 1))
+
+    def chance(self, p: float) -> bool:
+        return bool(self.r.random() < p)
+
+    def of(self, *values):
+        return values[self.some(0, len(values) - 1)]
+
+    def said(self, n: int, stop: bool = True) -> str:
+        n = min(n, len(self.words))
+        at = self.some(0, len(self.words) - n)
+        text = " ".join(self.words[at : at + n])
+        if stop and self.chance(0.5):
+            text = re.sub(r"((?:\S+ ){9}\S+) ", r"\1. ", text)
+        return text.rstrip(".,;:") + (self.of(".", ".", ".", "!", "?") if stop else "")
+
+    def sized(self) -> int:
+        return max(1, int(np.exp(self.r.normal(3.4, 0.9))))
+
+    def foreign(self) -> str:
+        return "".join(chr(97 + int(k)) for k in self.r.integers(0, 26, self.some(2, 6)))
+
+    def box(self, kind: str, within: list) -> list:
+        p = self.r.random()
+        name = self.of(*TELLING[kind].split()) if p < 0.4 else self.of("div", "div", "section", "ul" if kind == "nav" else "div") if p < 0.65 else f"{self.of('div', 'div', 'section')}.{self.foreign()}"
+        return self.within(within, name)
+
+    def within(self, stack: list, *names: str) -> list:
+        out = list(stack)
+        for name in names:
+            self.count += 1
+            out.append((name, self.count))
+        return out
+
+    def put(self, stack: list, text: str, linked: float, label: int) -> None:
+        if text:
+            self.blocks.append((tuple(n for n, _ in stack), text, linked, tuple(k for _, k in stack)))
+            self.labels.append(label)
+
+    def nav(self, stack):
+        inner = self.box("nav", stack)
+        inner = self.within(inner, "ul") if self.chance(0.7) else inner
+        for _ in range(self.some(2, 9)):
+            self.put(self.within(inner, self.of("li", "li", "div")), self.said(self.some(1, 3), False), 1.0, 0)
+
+    def header(self, stack):
+        inner = self.box("header", stack)
+        self.put(self.within(inner, self.of("h1", "div", "p", "h2")), self.said(self.some(1, 4), False), float(self.chance(0.5)), 0)
+        if self.chance(0.4):
+            self.put(self.within(inner, "p"), self.said(self.some(3, 9), self.chance(0.5)), 0.0, 0)
+
+    def footer(self, stack):
+        inner = self.box("footer", stack)
+        for _ in range(self.some(1, 3)):
+            at = inner if self.chance(0.5) else self.within(inner, self.of("p", "div", "li"))
+            self.put(at, self.of("\u00a9 ", "\u00a9 2024 ", "") + self.said(self.some(2, 25)), self.of(0.0, 0.0, 0.3, 1.0), 0)
+
+    def side(self, stack):
+        inner = self.box("side", stack)
+        self.put(self.within(inner, self.of("h3", "h4", "p")), self.said(self.some(1, 4), False), 0.0, 0)
+        for _ in range(self.some(1, 6)):
+            self.put(self.within(inner, *self.of(("ul", "li"), ("p",), ("div",))), self.said(self.some(2, 12), self.chance(0.3)), self.of(1.0, 1.0, 0.0), 0)
+
+    def notice(self, stack):
+        inner = self.box("notice", stack)
+        self.put(inner if self.chance(0.5) else self.within(inner, "p"), self.said(self.some(4, 25)), self.of(0.0, 0.2), 0)
+
+    def ad(self, stack):
+        inner = self.box("ad", stack)
+        for _ in range(self.some(1, 2)):
+            self.put(inner if self.chance(0.6) else self.within(inner, self.of("p", "span", "div")), self.said(self.some(2, 25), self.chance(0.8)), self.of(0.0, 0.0, 1.0, 0.5), 0)
+
+    def form(self, stack):
+        inner = self.box("form", stack)
+        for _ in range(self.some(1, 4)):
+            self.put(self.within(inner, self.of("label", "p", "button", "div")), self.said(self.some(1, 6), False), 0.0, 0)
+
+    def share(self, stack):
+        inner = self.box("share", stack)
+        for _ in range(self.some(2, 5)):
+            self.put(self.within(inner, self.of("li", "span", "div")), self.said(1, False), 1.0, 0)
+
+    def comments(self, stack):
+        inner = self.box("comments", stack)
+        if self.chance(0.6):
+            self.put(self.within(inner, self.of("h2", "h3", "p")), f"{self.some(1, 90)} {self.said(1, False)}" if self.chance(0.5) else self.said(self.some(1, 3), False), 0.0, 0)
+        item, author, body = self.of("div", "li", "div.c", "article", f"div.{self.foreign()}"), self.of("div", "p", "span", "b", "h4"), self.of("p", "p", "div", "")
+        named, dated, reply, bare = self.chance(0.8), self.chance(0.4), self.chance(0.4), self.chance(0.3)
+        for _ in range(self.some(1, 8)):
+            at = inner if bare else self.within(inner, item)
+            if named:
+                self.put(self.within(at, author), self.said(self.some(1, 2), False) + (f", {self.some(1, 28)}.{self.some(1, 12)}.20{self.some(10, 24)}" if dated else self.of("", "", ":")), self.of(0.0, 1.0), 0)
+            for _ in range(self.of(1, 1, 1, 2)):
+                self.put(self.within(at, body) if body else at, self.said(self.some(3, 45)), 0.0, 0)
+            if reply:
+                self.put(self.within(at, self.of("div", "span", "p")), self.said(1, False), 1.0, 0)
+
+    def article(self, stack):
+        inner = stack if self.chance(0.08) else self.box("content", stack)
+        for _ in range(self.of(0, 0, 0, 1, 1, 2)):
+            inner = self.within(inner, self.of("div", f"div.{self.foreign()}"))
+        if self.chance(0.8):
+            self.put(self.within(inner, self.of("h1", "h1", "h1", "h2", "h3")), self.said(self.some(1, 14), self.chance(0.2)), self.of(0.0, 0.0, 0.0, 1.0), 1)
+        if self.chance(0.1):
+            return self.put(inner, self.said(self.sized() * self.some(1, 20)), 0.0, 1)
+        own, short = self.of("p", "p", "p", "p", "p", "div"), self.chance(0.15)
+        foreign = [f for f in ("ad", "notice", "side", "share", "form", "nav") if self.chance(0.1)]
+        count = self.of(1, 2, self.some(1, 6), self.some(3, 14), self.some(5, 30))
+        at = inner
+        for k in range(count):
+            p = self.r.random()
+            if p < 0.07:
+                at = self.within(inner, "section") if self.chance(0.4) else inner
+                self.put(self.within(at, self.of("h2", "h3", "h4")), self.said(self.some(1, 8), False), 0.0, 1)
+            elif p < 0.16:
+                ul = self.within(at, self.of("ul", "ol"))
+                for _ in range(self.some(2, 7)):
+                    self.put(self.within(ul, "li"), self.said(self.some(1, 25), self.chance(0.6)), self.of(0.0, 0.0, 0.3), 1)
+            elif p < 0.21:
+                self.put(self.within(at, *self.of(("blockquote", "p"), ("blockquote",), ("figure", "figcaption"), ("pre",), ("dl", "dd"))), self.said(self.sized()), 0.0, 1)
+            elif p < 0.235:
+                table = self.within(at, "table")
+                for _ in range(self.some(1, 4)):
+                    row = self.within(table, "tr")
+                    for _ in range(self.some(1, 4)):
+                        self.put(self.within(row, self.of("td", "td", "th")), self.of(self.said(self.some(1, 5), False), str(self.some(0, 9999))), 0.0, 1)
+            else:
+                n = self.some(1, 8) if short or self.chance(0.08) else self.sized()
+                self.put(self.within(at, own), self.said(n, self.chance(0.95)), self.of(0.0, 0.0, 0.0, 0.0, 0.1, 0.4), 1)
+            if foreign and self.chance(0.3):
+                getattr(self, foreign.pop())(at)
+        for kind in [*foreign, *(["share"] if self.chance(0.1) else []), *(["side"] if self.chance(0.08) else []), *(["comments"] if self.chance(0.25) else [])]:
+            getattr(self, kind)(inner)
+
+    def page(self) -> tuple[list[Block], list[int]]:
+        self.blocks, self.labels, self.count = [], [], 0
+        stack = self.within([], "html", "body")
+        for _ in range(self.of(0, 0, 1, 1, 2)):
+            stack = self.within(stack, self.of("div", f"div.{self.foreign()}"))
+        bare = self.chance(0.08)
+        before = [k for k, p in (("notice", 0.25), ("header", 0.5), ("nav", 0.7), ("notice", 0.1), ("ad", 0.4), ("side", 0.15), ("form", 0.15)) if not bare and self.chance(p)]
+        after = [k for k, p in (("share", 0.15), ("side", 0.3), ("comments", 0.35), ("ad", 0.2), ("form", 0.2), ("nav", 0.15), ("notice", 0.1), ("footer", 0.7)) if not bare and self.chance(p)]
+        column = self.within(stack, self.of("div", "main", f"div.{self.foreign()}")) if self.chance(0.3) else stack
+        for kind in before:
+            getattr(self, kind)(stack)
+        if not self.chance(0.03):
+            self.article(column)
+        for kind in after:
+            getattr(self, kind)(column if self.chance(0.5) else stack)
+        return self.blocks, self.labels
+
+
+def composed(words: list[str], count: int, seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors and labels of composed pages."""
+    maker = Composer(words or ["word"], np.random.default_rng(seed))
+    pages = (maker.page() for _ in range(count))
+    return [(vectors(blocks), np.array(labels, float)) for blocks, labels in pages if blocks]
+
+
+def fit(pages: list[tuple[np.ndarray, np.ndarray]], words: list[str], rounds: int = 320, batch: int = 32, seed: int = SEED) -> dict[str, np.ndarray]:
+    """Adam over composed pages and the labelled ones given (vectors, labels), the latter a third of each step at most."""
     r = np.random.default_rng(seed)
+    made = composed(words, COMPOSED, seed)
+    p = init(seed)
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     for t in range(1, rounds + 1):
-        made = [disturbed(pages[int(k)], r) if r.random() < 0.7 else (pages[int(k)], [weak_label(b[0]) for b in pages[int(k)]]) for k in r.integers(0, len(pages), batch)]
-        rows = [vectors(b) for b, _ in made]
-        counts = np.array([len(x) for x in rows])
-        x, steps, spread = layout(rows, counts)
+        given = batch // 3 if pages else 0
+        chosen = [pages[int(k)] for k in r.integers(0, len(pages), given)] if given else []
+        chosen += [made[int(k)] for k in r.integers(0, len(made), batch - given)]
+        x, steps, spread = layout([b for b, _ in chosen], np.array([len(b) for b, _ in chosen]))
         target, mask = np.zeros(len(x)), np.zeros(len(x))
-        for s, (_, y) in zip(spread, made, strict=True):
+        for s, (_, y) in zip(spread, chosen, strict=True):
             target[s + 1 : s + 1 + len(y)] = y
             mask[s + 1 : s + 1 + len(y)] = 1
         _, g = gradient(x, steps, target, mask, p)
@@ -284,16 +528,28 @@ def fit(pages: list[list], rounds: int = 200, batch: int = 32, seed: int = SEED)
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict[str, np.ndarray]:
-    """Fits on a bounded sample; tasks cut its pages into blocks, the driver gets at most ``TRAIN_BLOCKS`` of each."""
-    sample = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).filter("html is not null").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(TRAIN_PAGES)
+    """Fits on a bounded sample. Tasks turn its pages into vectors (of whole blocks); the driver gets, of each page, a run of at most ``TRAIN_BLOCKS``
+    vectors if its names tell labels, and ``TRAIN_WORDS`` words (64 characters of a word at most), both from a seeded place in the page. Only ids are ranked, pages are fetched after."""
+    ids = pages.select(F.col(id_col).cast("string").alias("id")).filter(F.col(html_col).isNotNull())
+    chosen = ids.distinct().orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(TRAIN_PAGES)
+    sample = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).filter("html is not null").join(F.broadcast(chosen), "id")  # TRAIN_PAGES ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [leaves(x)[:TRAIN_BLOCKS] for x in b["html"]]
-            yield pd.DataFrame({"paths": [["\t".join(p) for p, _, _ in f] for f in found], "texts": [[t[:2000] for _, t, _ in f] for f in found], "links": [[k for _, _, k in f] for f in found]})
-
-    rows = sample.mapInPandas(run, "paths array<string>, texts array<string>, links array<double>").collect()
-    return fit([list(zip([tuple(x.split("\t")) for x in r["paths"]], r["texts"], r["links"], strict=True)) for r in rows])
+            out = []
+            for key, page in zip(b["id"], b["html"], strict=True):
+                found, r = leaves(page), np.random.default_rng(zlib.crc32(key.encode()))
+                labels = [weak_label(block[0]) for block in found]
+                at = int(r.integers(0, max(1, len(found) - TRAIN_BLOCKS + 1)))
+                run_ = slice(at, at + TRAIN_BLOCKS) if 0 < sum(labels) else slice(0, 0)
+                words = " ".join(block[1] for block in found).split()
+                at = int(r.integers(0, max(1, len(words) - TRAIN_WORDS + 1)))
+                out.append((key, vectors(found)[run_].astype(np.float16).tobytes(), bytes(labels[run_]), [w[:64] for w in words[at : at + TRAIN_WORDS]]))
+            yield pd.DataFrame(out, columns=["id", "x", "y", "words"])
+
+    rows = sample.mapInPandas(run, "id string, x binary, y binary, words array<string>").dropDuplicates(["id"]).orderBy("id").collect()
+    known = [(np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH).astype(np.float32), np.frombuffer(r["y"], np.uint8).astype(float)) for r in rows if r["y"]]
+    return fit(known, [w for r in rows for w in r["words"]])
 
 
 def extract(pages: DataFrame, model: dict[str, np.ndarray], html_col: str = "html", least: float = 0.5) -> DataFrame:

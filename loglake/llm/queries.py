@@ -99,10 +99,15 @@ WITH d AS (
   SELECT doc_id, source, src, CAST(octet_length(encode(t)) + 16 AS BIGINT) AS size, {crc32_sql('t')} AS text_crc32 FROM d
 ), h AS (
   SELECT *, CAST('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(text_crc32 AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM c
+), n AS (
+  SELECT src, count(*) AS n, CAST('0x' || substr(md5('0|' || src), 1, 15) AS BIGINT) AS sh FROM h GROUP BY src
+), u AS (
+  SELECT src, n, (row_number() OVER (PARTITION BY n ORDER BY sh, src) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY n)
+    + (CAST('0x' || substr(md5('0|' || CAST(n AS VARCHAR)), 1, 15) AS BIGINT) >> 8) / 4503599627370496::DOUBLE AS o FROM n
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY src ORDER BY h, doc_id, text_crc32, size) AS rank, count(*) OVER (PARTITION BY src) AS n, count(*) OVER () AS total FROM h
+  SELECT h.*, n, o - floor(o) AS u, row_number() OVER (PARTITION BY src ORDER BY h, doc_id, text_crc32, size) - 1 AS rank, count(*) OVER () AS total FROM h JOIN u USING (src)
 ), p AS (
-  SELECT *, row_number() OVER (ORDER BY (rank - 0.5::DOUBLE) / n, src, rank) - 1 AS pos FROM r
+  SELECT *, row_number() OVER (ORDER BY (rank + u) / n, src, rank) - 1 AS pos FROM r
 )
 SELECT doc_id, source, size, text_crc32, 'rows' AS law, CAST(pos * {SHARDS} // total AS INTEGER) AS shard,
   CAST(pos - ((pos * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard

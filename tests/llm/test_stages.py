@@ -40,3 +40,77 @@ def test_leaks_without_the_last_sentence(spark):
     # an answer of its own is asked for, where there is one
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(rows_of(spark, docs), bench, answer_col="answer").collect()}
     assert got == {(k, k) for k in (2, 3)} | {(10 + k, k) for k in range(4)}
+
+
+def test_small_sources_are_interleaved(spark):
+    from pyspark.sql import functions as F
+
+    from loglake.llm import sharding
+
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10_000, "big").otherwise(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("source"), F.lit("t").alias("text"))
+    got = sharding.shard_documents(rows, 40).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "big").alias("big")).collect()
+    assert len(got) == 40 and all(r["n"] == 500 and abs(r["big"] - 250) <= 2 for r in got)
+
+
+def test_copies_of_a_row_are_dealt_out(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loglake.llm import sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = spark.range(300).select(F.when(F.col("id") < 100, 1).otherwise(F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.lit("t").alias("text"))
+    got = sharding.shard_documents(rows, 8)
+    assert got.count() == 300 and got.filter("doc_id = 1").count() == 100
+    slots = got.groupBy("shard").agg(F.sort_array(F.collect_list("slot")).alias("s")).collect()
+    assert all(r["s"] == list(range(len(r["s"]))) and len(r["s"]) in (37, 38) for r in slots) and len(slots) == 8
+    docs = rows.filter("doc_id != 1").withColumn("more", F.lit(5))
+    sharding.write_shards(docs, sharding.shard_documents(docs, 3), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.groupBy("shard").count().filter("count between 66 and 67").count() == 3 and back.filter("more = 5").count() == 200
+
+
+def test_fold_against_replay():
+    import random
+
+    from loglake.llm import chat
+
+    for seed in range(300):
+        r = random.Random(seed)
+        log = [(r.choice([*chat.KINDS, "delta", "noise"]), r.choice([None, 0, 1, 2, 3, 9]), r.choice(["user", "assistant"]), r.choice("abc")) for _ in range(r.randint(0, 25))]
+        fold, plain = chat.Fold(), []
+        for kind, turn, role, text in log:
+            fold.take(kind, turn, role, text)
+            if turn is None or kind == "noise":
+                continue
+            own = [m for m in plain if m[0] == turn]
+            if kind == "delta":
+                plain = plain if own else [*plain, [turn, role, ""]]
+                next(m for m in plain if m[0] == turn)[2] += text
+                continue
+            plain = [m for m in plain if m[0] <= turn]
+            if kind == "message":
+                plain = [m for m in plain if m[0] != turn] + [[turn, role, text]]
+            elif own:
+                own[0][2] = text if kind == "edit" else ""
+        assert fold.final() == [(role, text) for _, role, text in sorted(plain, key=lambda m: m[0])]
+
+
+def test_fold_is_linear():
+    import time
+
+    from loglake.llm import chat
+
+    fold, began = chat.Fold(), time.time()
+    for k in range(200_000):
+        fold.take("message", k, "user", "x")
+    assert len(fold.final()) == 200_000 and time.time() - began < 20
+
+
+def test_log_of_a_table_takes_things_back(spark):
+    from loglake.llm import chat
+
+    rows = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"{c}:{t} " + "y" * (t * 700)) for c in range(10) for t in range(8)], "conv_id bigint, turn bigint, role string, text string")
+    log = chat.log_of(rows)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    got = {r["conv_id"]: r["formatted"] for r in chat.format_log(log).collect()}
+    assert got == {c: chat.render([("assistant" if t % 2 else "user", f"{c}:{t} " + "y" * (t * 700)) for t in range(8)]) for c in range(10)}
