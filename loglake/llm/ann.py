@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglake.llm.shared import discard, store, stored
+from loglake.llm.shared import discard, ship, store, stored
 
 log = logging.getLogger(__name__)
 
@@ -328,6 +328,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col
     vectors is as near as its nearest, and as a query is searched by each, with its results merged. Fewer candidates than k give as many rows; an empty
     table gives none; further columns are not read.
     """
+    ship(vectors.sparkSession)
     spark = vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     some, kind = usable(vectors, id_col, vec_col)

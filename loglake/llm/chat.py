@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglake.llm.shared import ship
+
 OPEN, END = "### ", "</turn>"
 #: What may stand in the way of reading back.
 CONTROL = re.compile(r"\\|###|</turn>")
@@ -104,6 +106,7 @@ def format_log(events: DataFrame) -> DataFrame:
     Events are folded by (seq, part); ties are folded by kind, turn, role and text. Null roles and texts count as empty; null conversations are one
     conversation. A conversation whose events leave no message has an empty text; no events, no rows. Further columns are not read.
     """
+    ship(events.sparkSession)
     order = ["seq", "part", "kind", "turn", "role", "text"]
     rows = events.select("conv_id", *order).repartition("conv_id").sortWithinPartitions("conv_id", *order).select(F.col("conv_id").cast("string"), "kind", F.col("turn").cast("string"), "role", "text")
 
@@ -168,6 +171,7 @@ def log_of(conversations: DataFrame, delta_chars: int = 2048) -> DataFrame:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What the formatted conversations say when they are read back."""
+    ship(formatted.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

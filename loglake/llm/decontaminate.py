@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Documents become sequences of codes: a word of the benchmark has its number, any other word 0. The codes are stored once, later steps read them only.
+1. Documents become sequences of codes: a word is the CRC-32 of its bytes where a bitmap of the benchmark's words (of fixed size) may hold it, else 0. The
+   codes are stored once for the whole benchmark, later steps read them only.
 2. Document frequencies of the benchmark's words over all documents give the inverse document frequencies.
 3. A randomised SVD of the TF-IDF matrix of the benchmark's passages (items cut into parts of ``STRIDE`` words) gives a latent space: tasks hold passages
    and add up their share of the products, the driver factors what is as wide as the rank.
@@ -10,14 +11,15 @@
    has an answer of its own (an answer column), that with the answer must hold ``ANSWER`` of its words, too; without one the share of the item's last
    sentence is reported and decides nothing.
 
-The benchmark is worked on in blocks of ``BLOCK_ITEMS`` items, so that what is sent to tasks stays bounded for benchmarks of any size.
+The benchmark is indexed in blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words at most, so that what the driver holds and tasks get stays
+bounded for benchmarks of any size; each block reads the codes again, not the texts. Two words with the same CRC-32 count as one.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from loglake.llm.shared import stored
+from loglake.llm.shared import ship, stored
 
-BLOCK_ITEMS = 2000
+BLOCK_ITEMS, BLOCK_WORDS = 2000, 500_000
+#: Bits of a word's code that the bitmap of the benchmark's words tells apart (half a megabyte).
+BITS = 22
 STRIDE = 32
 RANK = 512
 COSINE, COVERED = 0.4, 0.35
 #: Words in more documents than this share (and this number) don't count in the retrieval, unless a part would keep fewer than ``LEFT``.
-COMMON, COMMON_ROWS, LEFT = 0.02, 20, 3
+COMMON, COMMON_ROWS, LEFT = 0.02, 20, 8
 #: Blocks of a document that are projected together.
 SPAN = 128
 SHARE, ANSWER = 0.6, 0.5
@@ -78,17 +82,37 @@ def weights(seen: np.ndarray, rows: int, parts: list[np.ndarray]) -> np.ndarray:
     return np.where(common, 0.0, idf)
 
 
-def encode(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
+def coded_words(found: list[bytes]) -> np.ndarray:
+    """CRC-32 of each word; 0 is kept for other words."""
+    return np.maximum(np.fromiter(map(crc32, found), np.uint32, len(found)), 1)
+
+
+def benchmark_words(items: DataFrame) -> np.ndarray:
+    """The bitmap of the codes of all words of ``items`` (text, answer): ``1 << BITS`` bits, whatever the benchmark's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [coded_words(words(x)) >> np.uint32(32 - BITS) for c in (0, 1) for x in batch.column(c).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)).astype(np.int32) if seen else [], pa.int32())], names=["slot"])
+
+    out = np.zeros(1 << BITS, bool)
+    for batch in items.select("text", "answer").mapInArrow(run, "slot int").distinct().toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = True
+    return np.packbits(out)
+
+
+def encode(docs: DataFrame, bitmap: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(id, codes): four bytes a word; documents without a word of the benchmark are left out."""
     kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap).astype(bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
+        known = sent.value
         for batch in batches:
             ids, out = [], []
             for k, text in enumerate(batch.column(1)):
-                w = words(text.as_py())
-                codes = np.fromiter(map(get, w, repeat(0)), np.uint32, len(w))
+                codes = coded_words(words(text.as_py()))
+                codes[~known[codes >> np.uint32(32 - BITS)]] = 0
                 if codes.any():
                     ids.append(k)
                     out.append(codes.tobytes())
@@ -97,14 +121,25 @@ def encode(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, codes binary")
 
 
-def frequencies(coded: DataFrame, size: int) -> np.ndarray:
-    """Documents that hold each word; tasks count first, and the answer has a row a word of the block at most."""
+def numbered(codes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Codes as numbers from 1 in a block's (sorted) vocabulary, 0 where it doesn't hold them."""
+    live = np.flatnonzero(codes)
+    at = np.minimum(np.searchsorted(vocabulary, codes[live]), len(vocabulary) - 1)
+    out = np.zeros(len(codes), np.uint32)
+    out[live] = np.where(vocabulary[at] == codes[live], at + 1, 0)
+    return out
+
+
+def frequencies(coded: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Documents that hold each word of the block; tasks count first, and the answer has a row a word of the block at most."""
+    size = len(vocabulary) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for codes in batch.column(0).to_pylist():
-                total[np.unique(np.frombuffer(codes, np.uint32))] += 1
+                total[numbered(np.unique(np.frombuffer(codes, np.uint32)), vocabulary)] += 1
+        total[0] = 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["word", "n"])
 
@@ -115,22 +150,34 @@ def frequencies(coded: DataFrame, size: int) -> np.ndarray:
 
 
 def summed(passages: DataFrame, share, rows: int, columns: int, pieces: int = 16) -> np.ndarray:
-    """Sum over tasks of the matrix that ``share(list of code arrays)`` gives; strips of rows are added up by as many tasks."""
+    """Sum over tasks of the matrix that ``share(list of code arrays)`` gives. Tasks pass on the rows they have touched; strips of rows are added up by as
+    many tasks."""
     height = -(-rows // pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((rows, columns))
+        total = None
         for batch in batches:
-            total += share([np.frombuffer(x, np.uint32) for x in batch.column(0).to_pylist()])
-        strips = [total[at : at + height].astype(np.float64).tobytes() for at in range(0, rows, height)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(strips)), pa.int32()), pa.array(strips, pa.binary())], names=["strip", "part"])
+            if batch.num_rows:
+                total = (np.zeros((rows, columns)) if total is None else total) + share([np.frombuffer(x, np.uint32) for x in batch.column(0).to_pylist()])
+        if total is None:
+            return
+        touched = np.flatnonzero(total.any(axis=1))
+        strip = touched // height
+        out = [(k, touched[strip == k], total[touched[strip == k]]) for k in np.unique(strip).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in out], pa.int32()), pa.array([at.tobytes() for _, at, _ in out], pa.binary()), pa.array([x.tobytes() for _, _, x in out], pa.binary())], names=["strip", "at", "part"])
 
     def add(key, table):
-        total = sum(np.frombuffer(x) for x in table.column("part").to_pylist())
+        first = key[0].as_py() * height
+        total = np.zeros((min(height, rows - first), columns))
+        for at, part in zip(table.column("at").to_pylist(), table.column("part").to_pylist(), strict=True):
+            total[np.frombuffer(at, np.int64) - first] += np.frombuffer(part).reshape(-1, columns)
         return pa.table({"strip": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
-    parts = passages.select("codes").mapInArrow(run, "strip int, part binary").groupBy("strip").applyInArrow(add, "strip int, part binary").collect()
-    return np.concatenate([np.frombuffer(r["part"]) for r in sorted(parts, key=lambda r: r["strip"])]).reshape(rows, columns)
+    out = np.zeros((rows, columns))
+    for r in passages.select("codes").mapInArrow(run, "strip int, at binary, part binary").groupBy("strip").applyInArrow(add, "strip int, part binary").collect():
+        part = np.frombuffer(r["part"]).reshape(-1, columns)
+        out[r["strip"] * height : r["strip"] * height + len(part)] = part
+    return out
 
 
 def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, power: int = 1, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -259,45 +306,49 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Null or empty texts and items match nothing. Items with the same text are found each. Repeated rows give repeated results; an empty table on either
     side gives an empty result; further columns are not read.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"{id_col} {kind}, item_id {item_kind}, cosine double, lcs_share double, answer_share double"
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).cast("string").alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
     items = items.filter("text is not null")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.split("text", r"\s+"))).alias("words")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], schema)
+    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["words"] // BLOCK_WORDS))
+    coded = stored(encode(docs, benchmark_words(items), id_col, text_col), "codes", compression="zstd")
+    rows = docs.count()
     found = None
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        leaks = block_leaks(docs, part, id_col, text_col, schema)
+        leaks = block_leaks(coded, rows, part, schema)
         if leaks is not None:
             found = leaks if found is None else found.unionByName(leaks)
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def block_leaks(docs: DataFrame, block: DataFrame, id_col: str, text_col: str, schema: str) -> DataFrame | None:
+def block_leaks(coded: DataFrame, count: int, block: DataFrame, schema: str) -> DataFrame | None:
     rows = [(r["id"], words(r["text"]), own or words(answer_of(r["text"])), bool(own)) for r in block.collect() for own in [words(r["answer"])]]
-    rows = [r for r in rows if r[1]]
+    rows = [(key, coded_words(item), coded_words(answer), asked) for key, item, answer, asked in rows if item]
     if not rows:
         return None
-    vocabulary = {w: k for k, w in enumerate(sorted({w for _, item, answer, _ in rows for w in (*item, *answer)}), 1)}
-    number = lambda ws: np.array([vocabulary[w] for w in ws], np.uint32)
-    items, answers = [number(r[1]) for r in rows], [number(r[2]) for r in rows]
-    coded = stored(encode(docs, vocabulary, id_col, text_col), "codes", compression="zstd")
-    seen = frequencies(coded, len(vocabulary) + 1)
-    idf = weights(seen, docs.count(), [p for x in items for p in pieces(x)])
-    passages = docs.sparkSession.createDataFrame([(bytearray(p.tobytes()),) for x in items for p in pieces(x)], "codes binary")
+    vocabulary = np.unique(np.concatenate([x for _, item, answer, _ in rows for x in (item, answer)]))
+    items, answers = [numbered(r[1], vocabulary) for r in rows], [numbered(r[2], vocabulary) for r in rows]
+    spark = coded.sparkSession
+    seen = frequencies(coded, vocabulary)
+    idf = weights(seen, count, [p for x in items for p in pieces(x)])
+    passages = spark.createDataFrame([(bytearray(p.tobytes()),) for x in items for p in pieces(x)], "codes binary")
     space, _ = randomised_svd(passages, idf, min(RANK, sum(len(pieces(x)) for x in items)))
-    index = Index([r[0] for r in rows], items, answers, [r[3] for r in rows], idf, space)
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = spark.sparkContext.broadcast((Index([r[0] for r in rows], items, answers, [r[3] for r in rows], idf, space), vocabulary))
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     names, types = arrow.names, arrow.types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, known = sent.value
         for batch in batches:
             at, out = [], []
             for k, codes in enumerate(batch.column(1)):
-                for hit in own.search(np.frombuffer(codes.as_py(), np.uint32)):
+                for hit in own.search(numbered(np.frombuffer(codes.as_py(), np.uint32), known)):
                     at.append(k)
                     out.append(hit)
             columns = [pa.array([own.ids[h[0]] for h in out], types[1]), *(pa.array([h[j] for h in out], pa.float64()) for j in (1, 2, 3))]

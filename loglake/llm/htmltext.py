@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglake.llm.shared import ship
+
 #: Pages that the labeller is fitted on (drawn by a seeded hash of their ids), composed pages, and the longest run of a page's blocks (from a seeded
 #: place in it) and of its words that are used there.
 TRAIN_PAGES, COMPOSED, TRAIN_BLOCKS, TRAIN_WORDS = 320, 1200, 400, 150
@@ -530,6 +532,7 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], words: list[str], rounds: in
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict[str, np.ndarray]:
     """Fits on a bounded sample. Tasks turn its pages into vectors (of whole blocks); the driver gets, of each page, a run of at most ``TRAIN_BLOCKS``
     vectors if its names tell labels, and ``TRAIN_WORDS`` words (64 characters of a word at most), both from a seeded place in the page. Only ids are ranked, pages are fetched after."""
+    ship(pages.sparkSession)
     ids = pages.select(F.col(id_col).cast("string").alias("id")).filter(F.col(html_col).isNotNull())
     chosen = ids.distinct().orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(TRAIN_PAGES)
     sample = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).filter("html is not null").join(F.broadcast(chosen), "id")  # TRAIN_PAGES ids
@@ -558,6 +561,7 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray], html_col: str = "htm
     Null and empty pages and those without a content block have an empty text. White space within a block is one blank; blocks are joined by two line
     ends; nothing is cut. Repeated rows are read each; an empty table gives an empty result.
     """
+    ship(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from loglake.llm.components import components
-from loglake.llm.shared import stored
+from loglake.llm.shared import ship, stored
 
 WORDS = 5
 BANDS, ROWS = 32, 6
@@ -35,7 +35,7 @@ HASHES = BANDS * ROWS
 LOW_BANDS, LOW_ROWS, MISSED = 48, 5, 1e-6
 #: How far a signature's estimate may fall below the threshold: ``DEVIATIONS`` standard deviations, sqrt(0.85 * 0.15 / 192) = 0.026 each, and this at least.
 SLACK, DEVIATIONS = 0.14, 5.4
-BLOCK = 1024
+BLOCK = 256
 #: Shingles of a block of full sets.
 BLOCK_SHINGLES = 1 << 19
 #: Ids of candidate families are broadcast up to this count (8 bytes each; an eighth of it if they are not bigint), beyond it joined by shuffle.
@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same text are linked, with repeated ids or not; null ids count only where a component has no other (component_id and kept are then null). An
     empty table gives an empty result; further columns are not read.
     """
+    ship(docs.sparkSession)
     rows = stored(sketch(docs, id_col, text_col, banding(num / den)), "sketch")
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("size"))
     faces = rows.filter("n_shingles > 0").select("set_key", "signature", "bands")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglake.llm.shared import ship
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 SPACE = "▁"
@@ -63,6 +65,8 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
+        if any(sp.normalize(x) != SPACE + x.replace(" ", SPACE) for x in ("a  b", "\u00c4\uff21 \u00bd", "x ")):
+            raise ValueError(f"{path} normalises texts, or puts no blank before them: only models that take texts as they are can be read back without loss")
         usable = [not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k)) for k in range(n)]
         byte_ids = [k for k in range(n) if sp.is_byte(k)]
         return cls([sp.id_to_piece(k) for k in range(n)], [sp.get_score(k) for k in range(n)], usable, byte_ids if len(byte_ids) == 256 else [], sp.unk_id())
@@ -367,14 +371,17 @@ _segmenters: dict = {}
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, nbest: int = NBEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ids (best segmentation), n_tokens, score, round_trip, and nbest: (score, n_tokens, crc32 of the ids as 4-byte integers) best first.
+    """Per row: id, ids (best segmentation), n_tokens, score, round_trip, and nbest, the best segmentations in order: (score, n_tokens, ids_crc32, at,
+    removed, put). A segmentation's ids are those of the best, with ``removed`` of them from ``at`` (counted from 0) on replaced by ``put``
+    (``segmentations`` lists them whole); ids_crc32 is over the ids as 4-byte integers.
 
     ``round_trip`` says that the decoded ids are the text (blank marks in it read as blanks). Null and empty texts have no ids, no score and no
     segmentations. Repeated rows are encoded each; an empty table gives an empty result; further columns are not read.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
-    nested = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64())]))
+    nested = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("at", pa.int32()), ("removed", pa.int32()), ("put", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
@@ -395,7 +402,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, nbest: int = NBEST
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), *encoded(s, some, nested)], names=["id", "ids", "n_tokens", "score", "round_trip", "nbest"])
                 at = end
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>, n_tokens int, score double, round_trip boolean, nbest array<struct<score: double, n_tokens: int, ids_crc32: bigint>>")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>, n_tokens int, score double, round_trip boolean, nbest array<struct<score: double, n_tokens: int, ids_crc32: bigint, at: int, removed: int, put: array<int>>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -404,7 +411,7 @@ def encoded(s: Segmenter, texts: list[str | None], nested: pa.DataType) -> list[
     flat, ends, found = s.texts_nbest(cut)
     ends = np.concatenate(([0], ends)).astype(np.int32)
     trip = [decode_ids(s.v, flat[a:b].tolist()) == (t or "").replace(SPACE, " ") for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
-    many = [[{"score": x, "n_tokens": len(b) // 4, "ids_crc32": zlib.crc32(b)} for x, b in f] for f in found]
+    many = [[{"score": x, "n_tokens": len(b) // 4, "ids_crc32": zlib.crc32(b), **change(f[0][1], b)} for x, b in f] for f in found]
     return [
         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
         pa.array(np.diff(ends), pa.int32()),
@@ -414,8 +421,28 @@ def encoded(s: Segmenter, texts: list[str | None], nested: pa.DataType) -> list[
     ]
 
 
+def change(best: bytes, other: bytes) -> dict:
+    """What makes ``other`` of ``best`` (4-byte ids): the place, how many ids go, and those that come."""
+    if best == other:
+        return {"at": 0, "removed": 0, "put": []}
+    a, b = np.frombuffer(best, np.int32), np.frombuffer(other, np.int32)
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    at = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[len(a) - n + at :] != b[len(b) - n + at :])
+    left = n - at - (int(differ[-1]) + 1 if len(differ) else 0)
+    return {"at": at, "removed": len(a) - at - left, "put": b[at : len(b) - left].tolist()}
+
+
+def segmentations(encoded_docs: DataFrame, out: str = "segmentations") -> DataFrame:
+    """``encoded_docs`` with the ids of each of its best segmentations, whole."""
+    whole = F.transform("nbest", lambda x: F.concat(F.slice("ids", 1, x["at"]), x["put"], F.slice("ids", x["at"] + x["removed"] + 1, F.size("ids"))))
+    return encoded_docs.withColumn(out, whole)
+
+
 def decode_documents(encoded_docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded_docs`` with the text of its ids; null ids have a null text, ids outside the vocabulary none."""
+    ship(encoded_docs.sparkSession)
     sent = encoded_docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("string")

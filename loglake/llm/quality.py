@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglake.llm.shared import ship
+
 #: At most so many labelled documents (those of the least seeded hash), and of these so many that their lines stay below the second bound.
 TRAIN_DOCS, TRAIN_LINES = 6000, 400_000
 FOLDS = 5
@@ -239,7 +241,9 @@ def fold(id_col):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on labelled documents outside the held-out fold. An id with several labels has their mean, at least 0.5 being good; null labels don't count."""
+    """Fits on labelled documents outside the held-out fold: at most ``TRAIN_DOCS``, in the order of a seeded hash, until they hold ``TRAIN_LINES`` lines
+    (the draw doesn't look at lengths; the document that would pass the bound gives a run of its lines). An id with several labels has their mean, at least 0.5 being good; null labels don't count."""
+    ship(docs.sparkSession)
     judged = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     chosen = judged.filter(fold(F.col("_id")) != 0).orderBy(F.xxhash64(F.lit(7), "_id"), "_id").limit(TRAIN_DOCS)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null")
@@ -254,11 +258,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found, y, lines = [], [], 0
     for r in rows.toLocalIterator():
         bins, sizes = np.frombuffer(r["bins"], np.uint8).reshape(-1, len(FEATURES)), np.frombuffer(r["sizes"], np.int32)
-        if lines + len(sizes) > TRAIN_LINES:
-            continue
+        left = TRAIN_LINES - lines
+        if len(sizes) > left:  # the last document of the draw: a run of its lines from a seeded place
+            at = int(np.random.default_rng(lines).integers(0, len(sizes) - left + 1))
+            bins, sizes = bins[at : at + left], sizes[at : at + left]
         lines += len(sizes)
         found.append((bins, sizes))
         y.append(r["label"])
+        if lines >= TRAIN_LINES:
+            break
     return fit(found, np.array(y))
 
 
@@ -268,6 +276,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     Texts that are null, empty or without a word score 0 where the model has both labels. Repeated rows are scored each; an empty table gives an empty
     result. Only the text is an input of the score.
     """
+    ship(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

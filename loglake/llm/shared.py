@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests on one machine) a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset a folder of our own on one machine (tests), an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_loglake_shared", None)
     if not where:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="loglake-")
         spark._loglake_shared = where
     return where.rstrip("/")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[8]``; not ``local-cluster``)."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: a cut of the lineage that outlives executors."""
     return df.sparkSession.read.schema(df.schema).parquet(store(df, name, **options))
@@ -29,9 +36,19 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 def store(df: DataFrame, name: str, **options: str) -> str:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _written.setdefault(id(df.sparkSession.sparkContext), set()).add(path)
     return path
 
 
+_written: dict[int, set[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what the operators have stored for the results so far; for callers that have written these and read them no more."""
+    for path in _written.pop(id(spark.sparkContext), set()):
+        discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table that ``store`` wrote and that no later plan reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -55,10 +72,9 @@ def text_or_empty(column: str = "text"):
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors where they can't be expected to find it: neither on PYTHONPATH nor in the working folder."""
-    root = Path(__file__).resolve().parents[2]
-    known = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    """Sends the package to the executors of a cluster, once; operators with work in Python call it."""
     context = spark.sparkContext
-    if root not in known and not getattr(context, "_loglake_shipped", False):
+    if not is_local(spark) and not getattr(context, "_loglake_shipped", False):
+        root = Path(__file__).resolve().parents[2]
         context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='loglake-')}/loglake", "zip", root, "loglake"))
         context._loglake_shipped = True

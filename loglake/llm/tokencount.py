@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglake.llm.shared import shared_dir, stored
+from loglake.llm.shared import shared_dir, ship, stored
 
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -140,7 +140,12 @@ def documents(found: DataFrame) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, file, ordinal, n_tokens) of every row of ``docs``, counted in token files that are written to the shared folder and left there."""
+    """(id, file, ordinal, n_tokens) of every row of ``docs``, counted in token files that are written to the shared folder (``tokens-*``).
+
+    Null and empty texts have 0 tokens, texts of any length are read whole, repeated rows and ids are counted each, an empty table gives an empty result,
+    and further columns (whatever their names) are not read. The files are the product: they are the caller's, and stay until the caller deletes them.
+    """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     placed = stored(write_tokens(docs, ranks, path, id_col=id_col, text_col=text_col), "placed")

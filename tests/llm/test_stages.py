@@ -114,3 +114,92 @@ def test_log_of_a_table_takes_things_back(spark):
     assert {r["kind"] for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
     got = {r["conv_id"]: r["formatted"] for r in chat.format_log(log).collect()}
     assert got == {c: chat.render([("assistant" if t % 2 else "user", f"{c}:{t} " + "y" * (t * 700)) for t in range(8)]) for c in range(10)}
+
+
+def test_decontamination_stage_tells_rows_by_id_and_text(spark, tmp_path):
+    item = " ".join(f"item{k}" for k in range(40))
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, f"before {item} after"), (1, "another text under the same id"), (None, f"{item}"), (None, None), (2, "")]
+    got = corpus_pipeline.decontamination_stage(spark, rows_of(spark, rows), str(tmp_path)).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [rows[1], rows[3], rows[4]]))
+
+
+@pytest.mark.parametrize("name", ["quality_stage", "near_duplicate_stage", "decontamination_stage"])
+def test_stages_at_the_edges(spark, sf_dir, name):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.limit(0).unionByName(spark.createDataFrame([(None, None, None, None, None), (5, "", "en", "s", 0), (5, "", "en", "s", 0)], docs.schema))
+    for rows in (docs.limit(0), odd):
+        got = getattr(corpus_pipeline, name)(spark, rows, sf_dir)
+        assert got.columns == docs.columns and got.count() <= rows.count()
+
+
+def test_recall_of_leaks_against_all_pairs(spark):
+    """Every document against every item by the longest common subsequence: paraphrases of a share of 0.6 to 0.9, items of common words among them."""
+    import random
+
+    r = random.Random(8)
+    rare = [f"w{k}x" for k in range(4000)]
+    often = [f"c{k}" for k in range(40)]
+    said = lambda n, share: [r.choice(often) if r.random() < share else r.choice(rare) for _ in range(n)]
+    items = [said(r.randrange(25, 90), 0.8 if k % 4 == 0 else 0.3) for k in range(60)]
+    docs = []
+    for k in range(900):
+        body = said(r.randrange(0, 250), 0.5)
+        if k % 3 == 0:
+            item, keep = items[k % 60], r.uniform(0.62, 0.9)
+            own = [w if r.random() < keep else r.choice(rare) for w in item]
+            at = r.randrange(len(body) + 1)
+            body = [*body[:at], *own, *body[at:]]
+        docs.append(body)
+    want = {(d, k) for d, body in enumerate(docs) for k, item in enumerate(items) if len(body) and decontaminate.lcs(body, item) >= 0.6 * len(item) and near(body, item)}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(rows_of(spark, [(k, " ".join(x)) for k, x in enumerate(docs)]), bench).collect()}
+    assert got <= {(d, k) for d, body in enumerate(docs) for k, item in enumerate(items) if decontaminate.lcs(body, item) >= 0.6 * len(item)}
+    assert len(got & want) >= 0.95 * len(want) > 200
+
+
+def near(body, item):
+    """Whether some run of twice the item's length has the share, so that scattered words of a long document don't count."""
+    return any(decontaminate.lcs(body[at : at + 2 * len(item)], item) >= 0.6 * len(item) for at in range(0, max(1, len(body) - len(item)), max(1, len(item) // 2)))
+
+
+def test_segmentations_come_whole(spark):
+    from loglake.llm import pieces
+
+    v = pieces.Vocabulary.load()
+    docs = rows_of(spark, [(1, "the quick brown foxes of the onerbleretion"), (2, ""), (3, None), (4, "a")])
+    import zlib
+
+    import numpy as np
+
+    for row in pieces.segmentations(pieces.encode_documents(docs, v)).collect():
+        assert len(row["segmentations"]) == len(row["nbest"])
+        for one, whole in zip(row["nbest"], row["segmentations"], strict=True):
+            assert zlib.crc32(np.array(whole, np.int32).tobytes()) == one["ids_crc32"] and len(whole) == one["n_tokens"]
+            assert pieces.decode_ids(v, whole) == {1: "the quick brown foxes of the onerbleretion", 4: "a"}[row["doc_id"]]
+
+
+def test_listed_rules_against_brute_force(spark):
+    import random
+    import re
+
+    from loglake.llm import urlfilter
+
+    r = random.Random(2)
+    names = [f"n{k}" for k in range(300)] + ["ads", "shop", "com", "org", "img"]
+    word = lambda: r.choice(names)
+    lines = ["! note", "[head]", "", "a.com##div", "*"]
+    for k in range(3000):
+        lines.append(r.choice([f"||{word()}.{word()}^", f"||{word()}.com/{word()}/", f"/{word()}/*/{word()}.", f"{word()}-{word()}", f"|http://{word()}.org/", f"/{word()}|", f"@@||{word()}.com^", f"||{word()}.org^*{word()}$script,third-party"]))
+    rules = urlfilter.read_rules(lines)
+    assert 2000 < len(rules) <= 3000
+    urls = [f"http://{r.choice(['', 'www.', word() + '.'])}{word()}.{r.choice(['com', 'org', word()])}/{word()}/{r.choice([word(), word().upper() + '-' + word()])}/{word()}.{word()}" for _ in range(3000)] + [None, "", "x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {x["page_id"]: (x["host"] + x["path"], x["verdict"]) for x in urlfilter.filter_urls(df, rules).collect()}
+    compiled = [(re.compile(x.pattern), x.verdict) for x in rules]
+    blocked = 0
+    for text, verdict in got.values():
+        hits = {v for p, v in compiled if p.search(text)}
+        assert verdict == ("allow" if "allow" in hits or not hits else "block")
+        blocked += verdict == "block"
+    assert 100 < blocked < 2900
