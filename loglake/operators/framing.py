@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.functions.values import ip_number, to_ip
+from loglake.functions.values import ip_bits, to_ip
 
 MORE, CONT = 1, 2
 
@@ -40,22 +40,31 @@ def multiline(lines: DataFrame, file: str, pos: str, start: str, max_lines: int
     return own.groupBy(file, "_g", "_own").agg(F.min(pos).alias(pos), F.count(F.lit(1)).alias("lines"), text.alias("raw")).drop("_g", "_own")
 
 
+def peer_ip(peer: Column) -> Column:
+    """The address of ``ip``, ``ip:port`` or ``[ip]:port``; version 4 also where it is mapped into version 6. Null where there is none."""
+    bracketed = F.regexp_extract(peer, r"^\[([^\]]+)\](:[0-9]+)?$", 1)
+    bare = F.regexp_replace(peer, r":[^:]*$", "")
+    return F.coalesce(to_ip(F.nullif(bracketed, F.lit(""))), to_ip(peer), to_ip(bare))
+
+
 def peer_source(peers: DataFrame, prefixes: list[tuple[str, str]], fallback: str, peer: str = "peer") -> DataFrame:
     """``peers`` with the source of the longest prefix that holds the address. The prefixes are configuration; each length is one equi-join on the
-    address' leading bits, so no range join is needed."""
-    by_length: dict[int, dict[int, str]] = {}
+    address' leading bits, so no range join is needed. Host bits of a prefix are masked, of equal prefixes the first counts."""
+    by_length: dict[tuple[int, int], dict[str, str]] = {}
     for text, source in prefixes:
-        net = ipaddress.ip_network(text)
-        by_length.setdefault(net.prefixlen, {})[int(net.network_address) >> (32 - net.prefixlen)] = source
+        net = ipaddress.ip_network(text, strict=False)
+        bits = f"{int(net.network_address):0{net.max_prefixlen}b}"[: net.prefixlen]
+        by_length.setdefault((net.prefixlen, net.max_prefixlen), {}).setdefault(bits, source)
     spark = peers.sparkSession
-    out = peers.withColumn("_ip", ip_number(to_ip(F.col(peer))))
+    out = peers.withColumn("_bits", ip_bits(peer_ip(F.col(peer))))
     found = []
-    for length in sorted(by_length, reverse=True):
-        rows = spark.createDataFrame(sorted(by_length[length].items()), f"_k{length} bigint, _s{length} string")
-        side = F.broadcast(rows) if len(by_length[length]) <= 100_000 else rows
-        out = out.join(side, F.shiftright("_ip", 32 - length) == F.col(f"_k{length}"), "left").drop(f"_k{length}")
-        found.append(f"_s{length}")
-    return out.withColumn("source_id", F.coalesce(*[F.col(c) for c in found], F.lit(fallback))).drop("_ip", *found)
+    for n, ((length, width), rows) in enumerate(sorted(by_length.items(), reverse=True)):
+        side = spark.createDataFrame(sorted(rows.items()), f"_k{n} string, _s{n} string")
+        side = F.broadcast(side) if len(rows) <= 100_000 else side
+        key = F.when(F.length("_bits") == width, F.substring("_bits", 1, length))
+        out = out.join(side, key == F.col(f"_k{n}"), "left").drop(f"_k{n}")
+        found.append(f"_s{n}")
+    return out.withColumn("source_id", F.coalesce(*[F.col(c) for c in found], F.lit(fallback))).drop("_bits", *found)
 
 
 def admit(rows: DataFrame, allowed: DataFrame | None, column: str = "source_id") -> DataFrame:
@@ -69,7 +78,7 @@ def ingest_counters(rows: DataFrame) -> DataFrame:
 
 
 # Syntax that the linear-time regex dialect of specs does not have.
-FORBIDDEN = {"lookaround": r"\(\?(=|!|<=|<!)", "backreference": r"\\[1-9]|\(\?P=", "atomic_or_possessive": r"\(\?>|[*+?}]\+"}
+FORBIDDEN = {"lookaround": r"\(\?(=|!|<=|<!)", "backreference": r"\\[1-9]|\(\?P=", "atomic_or_possessive": r"\(\?>|[*+?}]\+", "group_name": r"\(\?<[A-Za-z_]"}
 
 
 def lint_patterns(specs: DataFrame, key: str, pattern: str) -> DataFrame:

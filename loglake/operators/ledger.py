@@ -6,9 +6,16 @@ one row; trees of different segments are independent.
 
 from __future__ import annotations
 
+import hashlib
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglake.session import ship
+
 SEGMENT_RECORDS = 250_000
 ZERO = "00" * 32
 
@@ -78,13 +85,13 @@ def next_level(level: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), half - 1), pair)
 
 
-def trees(leaves: DataFrame) -> DataFrame:
-    """(segment, first_seq, last_seq, count, levels) from (segment, record_id, leaf); ``levels`` runs from the leaves to the root."""
+def trees(leaves: DataFrame, *more: str) -> DataFrame:
+    """(segment, first_seq, last_seq, count, levels) from (segment, record_id, leaf); ``levels`` runs from the leaves to the root, ``ids`` are the records'."""
     rows = leaves.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("record_id", "leaf"))).alias("rows"))
     first = F.transform("rows", lambda r: r["leaf"])
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size("rows"))).cast("int")))
     levels = F.aggregate(steps, F.array(first), lambda acc, _: F.when(F.size(F.element_at(acc, -1)) > 1, F.array_append(acc, next_level(F.element_at(acc, -1)))).otherwise(acc))
-    return rows.select("segment", F.element_at("rows", 1)["record_id"].alias("first_seq"), F.element_at("rows", -1)["record_id"].alias("last_seq"), F.size("rows").cast("bigint").alias("count"), levels.alias("levels"))
+    return rows.select("segment", F.element_at("rows", 1)["record_id"].alias("first_seq"), F.element_at("rows", -1)["record_id"].alias("last_seq"), F.size("rows").cast("bigint").alias("count"), levels.alias("levels"), F.transform("rows", lambda r: r["record_id"]).alias("ids")).select("segment", "first_seq", "last_seq", "count", "levels", *more)
 
 
 def roots(leaves: DataFrame) -> DataFrame:
@@ -98,14 +105,17 @@ def nodes(leaves: DataFrame) -> DataFrame:
 
 
 def inclusion_paths(leaves: DataFrame) -> DataFrame:
-    """(segment, record_id, index, size, leaf, path): siblings from leaf to root; a node that went up alone has none."""
-    order = Window.partitionBy("segment")
-    indexed = leaves.withColumn("index", F.row_number().over(order.orderBy("record_id")).cast("bigint") - 1).withColumn("size", F.count(F.lit(1)).over(order))
-    steps = indexed.withColumn("level", F.explode_outer(F.when(F.col("size") > 1, F.sequence(F.lit(0), F.ceil(F.log2("size")).cast("int") - 1))))
-    wanted = steps.withColumn("i", F.expr("cast(shiftright(index, level) ^ 1L as int)"))
-    found = wanted.join(nodes(leaves), ["segment", "level", "i"], "left")
-    path = F.transform(F.array_sort(F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("level", "hash")))), lambda x: x["hash"])
-    return found.groupBy("segment", "record_id", "index", "size", "leaf").agg(path.alias("path"))
+    """(segment, record_id, index, size, leaf, path): siblings from leaf to root; a node that went up alone has none.
+
+    A segment's tree is in its row, so its paths are read off there: one shuffle, that of the leaves to their segments.
+    """
+    rows = trees(leaves, "ids")
+    depth = F.size("levels") - 1
+    steps = F.when(depth > 0, F.sequence(F.lit(0), depth - 1)).otherwise(F.array().cast("array<int>"))
+    sibling = lambda i, level: F.get(F.element_at("levels", level + 1), F.call_function("shiftright", i, level).bitwiseXOR(F.lit(1)))
+    path = lambda i: F.array_compact(F.transform(steps, lambda level: sibling(i, level)))
+    paths = F.transform("ids", lambda r, i: F.struct(r.alias("record_id"), i.cast("bigint").alias("index"), F.col("count").alias("size"), F.get(F.element_at("levels", 1), i).alias("leaf"), path(i).alias("path")))
+    return rows.select("segment", F.inline(paths))
 
 
 def verify_inclusion(leaf: Column, index: Column, size: Column, path: Column, root: Column) -> Column:
@@ -128,21 +138,34 @@ def chain_hash(prev: Column, root: Column, segment: Column, count: Column) -> Co
 
 
 def seals(leaves: DataFrame) -> DataFrame:
-    """The ledger (segment, first_seq, last_seq, count, root, prev, chain). The chain is a fold over one small row a segment."""
-    rows = roots(leaves).agg(F.array_sort(F.collect_list(F.struct("segment", "first_seq", "last_seq", "count", "root"))).alias("rows"))
-    kind = "array<struct<segment:bigint,first_seq:bigint,last_seq:bigint,count:bigint,root:binary,prev:binary,chain:binary>>"
+    """The ledger (segment, first_seq, last_seq, count, root, prev, chain). Each link needs the one before, so the chain is a stream through one task: a
+    hundred bytes a segment, of which only the last hash is held."""
+    ship(leaves.sparkSession)
 
-    def link(acc: Column, s: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1))["chain"], F.unhex(F.lit(ZERO)))
-        return F.array_append(acc, F.struct(s["segment"].alias("segment"), s["first_seq"].alias("first_seq"), s["last_seq"].alias("last_seq"), s["count"].alias("count"), s["root"].alias("root"), prev.alias("prev"), chain_hash(prev, s["root"], s["segment"], s["count"]).alias("chain")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = bytes(32)
+        for batch in batches:
+            before, after = [], []
+            for segment, count, root in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+                before.append(chain)
+                chain = hashlib.sha256(b"\x02" + chain + root + struct.pack(">qq", segment, count)).digest()
+                after.append(chain)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=[*batch.schema.names, "prev", "chain"])
 
-    return rows.select(F.inline(F.aggregate("rows", F.array().cast(kind), link)))
+    rows = roots(leaves).select("segment", "first_seq", "last_seq", "count", "root")
+    return rows.coalesce(1).sortWithinPartitions("segment").mapInArrow(run, "segment bigint, first_seq bigint, last_seq bigint, count bigint, root binary, prev binary, chain binary")
 
 
 def verify_chain(ledger: DataFrame) -> DataFrame:
-    """(segment, reason) of each seal that doesn't follow from the one before it: gap, sequence, range, prev, chain."""
-    order = Window.orderBy("segment")
-    before = ledger.select("*", F.lag("segment").over(order).alias("_s"), F.lag("last_seq").over(order).alias("_l"), F.lag("chain").over(order).alias("_c"))
+    """(segment, reason) of each seal that doesn't follow from the one before it: gap, sequence, range, prev, chain. The seal before is found within
+    blocks of segments, and across them from one row a block."""
+    block = F.floor(F.col("segment") / 4096)
+    within = Window.partitionBy("_b").orderBy("segment")
+    rows = ledger.withColumn("_b", block)
+    last = rows.groupBy("_b").agg(F.max_by(F.struct("segment", "last_seq", "chain"), "segment").alias("_end"))
+    ends = last.withColumn("_end", F.lag("_end").over(Window.orderBy("_b")))  # one row a block
+    seal = F.coalesce(F.lag(F.struct("segment", "last_seq", "chain")).over(within), F.col("_end"))
+    before = rows.join(ends, "_b").withColumn("_p", seal).select("*", F.col("_p.segment").alias("_s"), F.col("_p.last_seq").alias("_l"), F.col("_p.chain").alias("_c"))
     prev = F.coalesce(F.col("_c"), F.unhex(F.lit(ZERO)))
     reason = (
         F.when(F.col("segment") != F.coalesce(F.col("_s"), F.lit(0)) + 1, "gap")
@@ -170,16 +193,57 @@ def tampered(stored: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def newest_by_hash(records: DataFrame) -> DataFrame:
-    return records.groupBy(F.sha2("raw", 256).alias("raw_sha256")).agg(F.max("record_id").alias("record_id"), F.count(F.lit(1)).alias("copies"))
+    """The newest record of each content, with the number of its copies."""
+    return records.groupBy(F.sha2("raw", 256).alias("raw_sha256")).agg(F.max_by(F.struct(*[c for c in records.columns]), "record_id").alias("r"), F.count(F.lit(1)).alias("copies")).select("raw_sha256", "copies", "r.*")
+
+
+def dense_ids(rows: DataFrame, bucket: Column, order: list, out: str = "record_id") -> DataFrame:
+    """``rows`` numbered from 1 in the order of (bucket, order): buckets are counted, then rows are numbered within theirs, so no task sees all rows.
+    ``bucket`` must be a number that doesn't fall along ``order``."""
+    keyed = rows.withColumn("_b", bucket)
+    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.floor(F.col("_b") / 1024))
+    above = counts.groupBy("_s").agg(F.sum("_n").alias("_m")).withColumn("_above", F.sum("_m").over(Window.orderBy("_s")) - F.col("_m")).drop("_m")  # a row for 1024 buckets
+    before = counts.join(above, "_s").withColumn("_before", F.col("_above") + F.sum("_n").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_n")).select("_b", "_before")
+    return keyed.join(before, "_b").withColumn(out, (F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(*order))).cast("bigint")).drop("_b", "_before")
+
+
+def verify_records(records: DataFrame, proofs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(record_id, ok, sealed, reason) of records (record_id, segment, leaf of what is stored now) against their proofs (leaf, index, size, path, root,
+    prev, chain: what the segment's footer says) and the ledger: a record whose segment isn't sealed is fine and not sealed."""
+    own = proofs.select("record_id", F.struct("leaf", "index", "size", "path", "root", "prev", "chain").alias("p"))
+    both = records.select("record_id", "segment", "leaf").join(own, "record_id", "left").join(ledger.select("segment", F.struct("root", "chain").alias("s")), "segment", "left")
+    p, sealed = F.col("p"), F.col("p").isNotNull() & F.col("s").isNotNull()
+    reason = (
+        F.when(~sealed, None)
+        .when(F.col("leaf") != p["leaf"], "record does not match its leaf hash")
+        .when(~verify_inclusion(p["leaf"], p["index"], p["size"], p["path"], p["root"]), "inclusion proof does not verify against the segment root")
+        .when(chain_hash(p["prev"], p["root"], F.col("segment"), p["size"]) != p["chain"], "segment chain link does not verify")
+        .when(p["root"] != F.col("s.root"), "segment root does not match the ledger")
+    )
+    return both.select("record_id", reason.isNull().alias("ok"), sealed.alias("sealed"), reason.alias("reason"))
+
+
+def scan(records: DataFrame, start: int) -> DataFrame:
+    """Records from an id on, in order."""
+    return records.filter(F.col("record_id") >= start).orderBy("record_id")
+
+
+def segment_list(ledger: DataFrame, records: DataFrame) -> DataFrame:
+    """(segment, sealed, first_seq, last_seq, count): the sealed segments, and the one that is being written, if it has records."""
+    open_ = records.join(ledger.select("segment"), "segment", "left_anti").groupBy("segment").agg(F.min("record_id").alias("first_seq"), F.max("record_id").alias("last_seq"), F.count(F.lit(1)).alias("count"))
+    return ledger.select("segment", F.lit(True).alias("sealed"), "first_seq", "last_seq", "count").unionByName(open_.withColumn("sealed", F.lit(False)))
 
 
 def checkpoint_links(log: DataFrame) -> DataFrame:
     """(checkpoint, reason) of a checkpoint log (checkpoint, covered, signature, prev): prev is the hash of the signature before, coverage never falls."""
-    order = Window.orderBy("checkpoint")
-    rows = log.select("*", F.lag("signature").over(order).alias("_s"), F.lag("covered").over(order).alias("_c"))
-    wanted = F.when(F.col("_s").isNull(), F.unhex(F.lit(ZERO))).otherwise(sha(F.col("_s")))
-    reason = F.when(F.col("prev") != wanted, "prev").when(F.col("covered") < F.col("_c"), "coverage")
-    return rows.withColumn("reason", reason).filter("reason is not null").select("checkpoint", "reason")
+    within = Window.partitionBy("_b").orderBy("checkpoint")
+    rows = log.withColumn("_b", F.floor(F.col("checkpoint") / 4096))
+    own = F.struct("signature", "covered")
+    ends = rows.groupBy("_b").agg(F.max_by(own, "checkpoint").alias("_end")).withColumn("_end", F.lag("_end").over(Window.orderBy("_b")))  # one row a block
+    before = rows.join(ends, "_b").withColumn("_p", F.coalesce(F.lag(own).over(within), F.col("_end")))
+    wanted = F.when(F.col("_p").isNull(), F.unhex(F.lit(ZERO))).otherwise(sha(F.col("_p.signature")))
+    reason = F.when(F.col("prev") != wanted, "prev").when(F.col("covered") < F.col("_p.covered"), "coverage")
+    return before.withColumn("reason", reason).filter("reason is not null").select("checkpoint", "reason")
 
 
 def reconcile(records: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,12 +1,17 @@
 """Parser specs compiled to columns: raw lines to typed events, and the rest to quarantine.
 
 A spec is a dict: ``id, version, vendor, product, signature`` and ``extractors``, each ``id, kind, options`` (of ``extract.EXTRACTORS``), ``class_uid,
-activity_id`` and ``map``: target path -> {``from``: key or keys | ``const``, ``type``, ``optional``, ``values``, ``default``, ``unit``, ``layout``,
+activity_id, render`` and ``map``: target path -> {``from``: key or keys | ``const``, ``type``, ``optional``, ``values``, ``default``, ``unit``, ``layout``,
 ``zone``}. For each extractor a candidate struct is built, null where it does not match; the first candidate in order of spec id and place wins.
+``render`` (``auto`` for key=value pairs, or a template with ``{field}``) says how the line is written from its fields; an event whose rendering isn't the
+line is kept, flagged. A line that meets an extractor with options that can't be followed is not parsed at all (stage ``extract``).
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +48,29 @@ def extraction(spec: dict, extractor: dict, raw: Column) -> Column:
     return F.when(F.substring(raw, 1, 512).rlike(spec["signature"].replace("(?P<", "(?<")), found)
 
 
+def unsupported(extractor: dict) -> str | None:
+    """Why an extractor can't be followed, if so: a record that reaches it fails."""
+    quote = extractor.get("options", {}).get("quote", '"')
+    return f'csv quote "{quote}" is unsupported' if extractor["kind"] == "csv" and quote != '"' else None
+
+
+def rendered(extractor: dict, fields: Column, typed: dict[str, Column]) -> Column:
+    """The line as the extractor's ``render`` writes it: pairs in their order, or a template's literals and values (typed ones as they were converted)."""
+    how, options = extractor["render"], extractor.get("options", {})
+    if how == "auto":
+        pair, sep, quote = options.get("pair_sep", " "), options.get("kv_sep", "="), options.get("quote", '"')
+        value = lambda v: F.when(v.contains(pair), F.concat(F.lit(quote), v, F.lit(quote))).otherwise(v)
+        return F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(sep), value(e["value"]))), pair)
+    out = []
+    for text, name in re.findall(r"((?:[^{}]|\{\{|\}\})+)|\{([^{}]*)\}", how):
+        if text:
+            out.append(F.lit(text.replace("{{", "{").replace("}}", "}")))
+        else:
+            raw = F.coalesce(F.try_element_at(fields, F.lit(name)), F.lit(""))
+            out.append(F.coalesce(typed[name].cast("string"), raw) if name in typed else raw)
+    return F.concat(*out) if out else F.lit("")
+
+
 class Candidate:
     """The event that an extractor's fields make, in steps of their own columns, so that each is computed once: what was found, the parts that the map
     reads, the converted values, the event (null, unless every key that isn't optional is there and every conversion but that of times succeeds)."""
@@ -53,16 +81,22 @@ class Candidate:
         self.keys = list(dict.fromkeys(k for keys in self.sources.values() for k in keys))
 
     def found(self) -> dict[str, Column]:
+        if unsupported(self.extractor):
+            return {f"{self.name}_f": F.coalesce(F.substring(self.raw, 1, 512).rlike(self.spec["signature"].replace("(?P<", "(?<")) if self.spec.get("signature") else self.raw.isNotNull(), F.lit(False))}
         return {f"{self.name}_f": extraction(self.spec, self.extractor, self.raw)}
 
     def part(self, key: str) -> str:
         return f"{self.name}_p{self.keys.index(key)}"
 
     def parts(self) -> dict[str, Column]:
+        if unsupported(self.extractor):
+            return {}
         return {self.part(k): F.try_element_at(F.col(f"{self.name}_f.fields"), F.lit(k)) for k in self.keys}
 
     def values(self) -> dict[str, Column]:
         out = {}
+        if unsupported(self.extractor):
+            return out
         for n, (path, keys) in enumerate(self.sources.items()):
             parts = [F.nullif(F.col(self.part(k)), F.lit("")) for k in keys]
             joined = parts[0] if len(parts) == 1 else F.concat(*[x for p in parts for x in (p, F.lit(" "))][:-1])
@@ -71,6 +105,8 @@ class Candidate:
 
     def event(self) -> dict[str, Column]:
         found, x = F.col(f"{self.name}_f"), self.extractor
+        if unsupported(x):
+            return {}
         fields = found["fields"]
         ok = found.isNotNull()
         for key, wanted in x.get("when", {}).items():
@@ -78,6 +114,7 @@ class Candidate:
         targets: dict[str, Column] = {p: F.lit(how["const"]) for p, how in x["map"].items() if "const" in how}
         constant = sum(len(str(how["const"]).encode()) for how in x["map"].values() if "const" in how)
         flags = [F.lit(None).cast("string")]
+        typed: dict[str, Column] = {}
         for n, (path, keys) in enumerate(self.sources.items()):
             how, value = x["map"][path], F.col(f"{self.name}_v{n}")
             parts = [F.col(self.part(k)) for k in keys]
@@ -92,6 +129,11 @@ class Candidate:
             elif how.get("type", "string") != "string":
                 ok = ok & (empty | value.isNotNull())
             targets[path] = value
+            typed.setdefault(keys[0], value)
+        render_ok = F.lit(None).cast("boolean")
+        if x.get("render"):
+            render_ok = F.coalesce(rendered(x, fields, typed) == self.raw, F.lit(False))
+            flags.append(F.when(~render_ok, "render_back_mismatch"))
         targets["class_uid"] = F.lit(x.get("class_uid", 4001))
         targets["activity_id"] = targets.get("activity_id", F.lit(x.get("activity_id", 1)))
         targets["type_uid"] = targets["class_uid"].cast("bigint") * 100 + targets["activity_id"].cast("bigint")
@@ -111,6 +153,7 @@ class Candidate:
             F.transform(found["dupes"], lambda d: F.concat(d["k"], F.lit("="), d["v"])).alias("dupes"),
             F.concat(found["flags"], F.array_compact(F.array(*flags))).alias("flags"),
             coverage.alias("coverage"),
+            render_ok.alias("render_ok"),
             F.lit(self.spec["id"]).alias("parser_id"),
             F.lit(self.spec["version"]).alias("parser_version"),
             F.lit(x["id"]).alias("extractor"),
@@ -121,8 +164,8 @@ class Candidate:
 
 
 def normalize(lines: DataFrame, specs: list[dict], raw: str = "raw", received: str = "received_at") -> DataFrame:
-    """``lines`` with ``event`` (a struct, null where no spec matches) and the columns derived from it: event_id, event_time, time_from_receipt,
-    parse_confidence. Null lines match nothing."""
+    """``lines`` with ``event`` (a struct, null where no spec matches) and the columns derived from it: event_time, time_from_receipt, parse_confidence
+    (0.8 where the time can't be read, the confidence is flagged or the rendering differs), and extract_error. Null lines match nothing."""
     order = [(s, x) for s in sorted(specs, key=lambda s: s["id"]) for x in s["extractors"]]
     every = [Candidate(f"_c{k}", s, x, F.col(raw), F.col(received)) for k, (s, x) in enumerate(order)]
     out, own = lines, []
@@ -130,22 +173,42 @@ def normalize(lines: DataFrame, specs: list[dict], raw: str = "raw", received: s
         columns = {name: c for x in every for name, c in step(x).items()}
         out = out.withColumns(columns)
         own += columns
-    out = out.withColumn("event", F.coalesce(*[F.col(f"{x.name}_e") for x in every])).drop(*own)
+    broken = [x for x in every if unsupported(x.extractor)]
+    event = F.coalesce(*[F.col(f"{x.name}_e") for x in every if x not in broken], F.lit(None))
+    if broken:  # the first candidate that matches or can't be followed decides
+        reached = lambda x: F.when(F.col(f"{x.name}_f"), F.lit(unsupported(x.extractor))) if x in broken else F.when(F.col(f"{x.name}_e").isNotNull(), F.lit(""))
+        out = out.withColumn("extract_error", F.nullif(F.coalesce(*[reached(x) for x in every]), F.lit("")))
+        event = F.when(F.col("extract_error").isNull(), event)
+    else:
+        out = out.withColumn("extract_error", F.lit(None).cast("string"))
+    out = out.withColumn("event", event).drop(*own)
     time = F.nullif(F.col("event.ocsf.time"), F.lit(0))
     return out.withColumns(
         {
             "event_time": F.coalesce(F.timestamp_millis(time), F.col(received)),
             "time_from_receipt": time.isNull(),
-            "parse_confidence": F.when(F.size("event.flags") > 0, 0.8).otherwise(1.0),
+            "parse_confidence": F.when(~F.coalesce("event.render_ok", F.lit(True)) | F.coalesce(F.arrays_overlap("event.flags", F.array(F.lit("time_unparseable"), F.lit("low_confidence"))), F.lit(False)), 0.8).otherwise(1.0),
         }
     )
 
 
+def staged(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with failure_stage and error, both null for events: ``detect`` where no parser matched, ``extract`` where an extractor failed,
+    ``normalize`` where a later step left its reason in a column ``enrich_error``."""
+    late = F.col("enrich_error") if "enrich_error" in parsed.columns else F.lit(None).cast("string")
+    missed = F.col("event").isNull()
+    stage = F.when(F.col("extract_error").isNotNull(), "extract").when(missed, "detect").when(late.isNotNull(), "normalize")
+    error = F.when(F.col("extract_error").isNotNull(), F.col("extract_error")).when(missed, "no parser matched").otherwise(late)
+    return parsed.withColumns({"failure_stage": stage, "error": error})
+
+
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events, and quarantine rows with stage and reason."""
-    events = parsed.filter("event is not null")
-    rest = parsed.filter("event is null").drop("event", "event_time", "time_from_receipt", "parse_confidence")
-    return events, rest.withColumns({"failure_stage": F.lit("detect"), "error": F.lit("no parser matched"), "status": F.lit("open")})
+    """Events, and quarantine rows with stage and reason (``staged``)."""
+    # counting the rows here keeps the filters above the extraction: pushed below it, they would repeat it for each field that an event must have
+    parsed = parsed.observe(f"parsed-{uuid.uuid4().hex}", F.count(F.lit(1)))
+    fine = F.col("event").isNotNull() & F.col("enrich_error").isNull() if "enrich_error" in parsed.columns else F.col("event").isNotNull()
+    rest = staged(parsed.filter(~fine)).withColumn("status", F.lit("open"))
+    return parsed.filter(fine).drop("extract_error", "enrich_error"), rest.drop("event", "event_time", "time_from_receipt", "parse_confidence", "extract_error", "enrich_error")
 
 
 def siem(event: Column) -> list[Column]:

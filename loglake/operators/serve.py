@@ -44,18 +44,64 @@ def active_specs(history: DataFrame) -> DataFrame:
     return moved.groupBy("spec_id").agg(F.max_by("to_version", F.struct("changed_at", "seq")).alias("version"))
 
 
-def event_page(events: DataFrame, limit: int, cursor: tuple[int, str] | None = None, where: Column | None = None) -> DataFrame:
-    """Newest first by (record_id, event_id), after the cursor; one row more than asked for says that there is a next page."""
+def event_page(events: DataFrame, limit: int, cursor: tuple[int, str] | None = None, where: Column | None = None, source: str | None = None, parser: str | None = None, current: bool = False, received_from=None, received_to=None) -> DataFrame:
+    """Newest first by (record_id, event_id), after the cursor, of what the filters let through (times of receipt are inclusive). The last row's
+    ``next_cursor`` is its event id where there is a further page, null else; a limit that isn't within 1 to 500 is 100."""
+    limit = limit if 0 < limit <= MAX_PAGE else 100
     out = events if where is None else events.filter(where)
+    given = {"source_id": source, "parser_id": parser}
+    for column, value in given.items():
+        out = out if value is None else out.filter(F.col(column) == value)
+    out = out.filter("is_current") if current else out
+    out = out if received_from is None else out.filter(F.col("received_at") >= F.lit(received_from))
+    out = out if received_to is None else out.filter(F.col("received_at") <= F.lit(received_to))
     if cursor:
         record, event = cursor
         out = out.filter((F.col("record_id") < record) | ((F.col("record_id") == record) & (F.col("event_id") < event)))
-    return out.orderBy(F.desc("record_id"), F.desc("event_id")).limit(min(limit, MAX_PAGE) + 1)
+    page = out.orderBy(F.desc("record_id"), F.desc("event_id")).limit(limit + 1)  # one more says that there is a next page
+    numbered = page.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("record_id"), F.desc("event_id")))).withColumn("_more", F.count(F.lit(1)).over(Window.partitionBy()) > limit)
+    last = (F.col("_n") == limit) & F.col("_more")
+    return numbered.filter(F.col("_n") <= limit).withColumn("next_cursor", F.when(last, F.col("event_id").cast("string"))).drop("_n", "_more")
 
 
-def event_filter(ip: str | None = None, source: str | None = None, severity: list[int] | None = None, flag: str | None = None, since=None, until=None) -> Column:
-    """Conjunction of what is given: address on either side, source, severities, an integrity flag, a half-open span of event time."""
+def tail_since(events: DataFrame, since: int, limit: int = 100, order: str = "seq") -> DataFrame:
+    """The oldest events after ``since``, in order of arrival."""
+    return events.filter(F.col(order) > since).orderBy(order).limit(limit)
+
+
+def event_totals(events: DataFrame) -> DataFrame:
+    """Events, and the highest record id (0: none)."""
+    return events.agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.max("record_id"), F.lit(0)).cast("bigint").alias("max_record_id"))
+
+
+def current_event(events: DataFrame, records: DataFrame) -> DataFrame:
+    """The current events of the records asked for (record_id); a record without an event has none."""
+    return events.filter("is_current").join(records.select("record_id").distinct(), "record_id", "left_semi")
+
+
+def proposal_states(proposals: DataFrame, actions: DataFrame) -> DataFrame:
+    """(id, status) of proposals (id) after their actions (id, seq, action): pending first. A rejection counts only while it is pending; an approval
+    makes it approved, or stale where its base version was no longer active (``conflict``)."""
+    moved = actions.withColumn("to", F.when(F.col("action") == "reject", "rejected").when(F.col("action") == "conflict", "stale").when(F.col("action") == "approve", "approved")).filter("to is not null")
+    last = moved.filter("to != 'rejected'").groupBy("id").agg(F.max_by("to", "seq").alias("_last"))
+    out = moved.filter("to = 'rejected'").groupBy("id").agg(F.min("seq").alias("_no"))
+    joined = proposals.select("id").join(last, "id", "left").join(out, "id", "left")
+    # an approval goes through whatever the status; a rejection needs a proposal that nothing else has moved
+    return joined.select("id", F.coalesce("_last", F.when(F.col("_no").isNotNull(), "rejected"), F.lit("pending")).alias("status"))
+
+
+def event_filter(ip: str | None = None, source: str | None = None, severity: list[int] | None = None, flag: str | None = None, since=None, until=None, src_ip: str | None = None, dst_ip: str | None = None, vendor: str | None = None, user: str | None = None, host: str | None = None, action: int | None = None, current: bool = False) -> Column:
+    """Conjunction of what is given: address on either or one side, vendor, source, severities, action, an integrity flag, a user or host among the
+    entities, a half-open span of event time, current events only."""
     out = F.lit(True)
+    for column, value in (("src_ip", src_ip), ("dst_ip", dst_ip), ("vendor", vendor), ("action_id", action)):
+        if value is not None:
+            out = out & F.coalesce(F.col(column) == value, F.lit(False))
+    for kind, value in (("user", user), ("host", host)):
+        if value is not None:
+            out = out & F.coalesce(F.exists("entities", lambda e, k=kind, v=value: (e["type"] == k) & (e["id"] == v)), F.lit(False))
+    if current:
+        out = out & F.col("is_current")
     if ip is not None:
         out = out & ((F.col("src_ip") == ip) | (F.col("dst_ip") == ip))
     if source is not None:
@@ -71,6 +117,14 @@ def event_filter(ip: str | None = None, source: str | None = None, severity: lis
     return out
 
 
+def telemetry_totals(events: DataFrame, quarantine: DataFrame, seals: DataFrame) -> DataFrame:
+    """One row: events, open quarantine, the last record that a seal covers (0: none)."""
+    a = events.agg(F.count(F.lit(1)).alias("events"))
+    b = quarantine.agg(F.count_if(F.col("status") == "open").alias("open_quarantine"))
+    c = seals.agg(F.coalesce(F.max("last_seq"), F.lit(0)).cast("bigint").alias("sealed_through"))
+    return a.crossJoin(b).crossJoin(c)  # one row each
+
+
 def telemetry(events: DataFrame) -> DataFrame:
     """Per source: events and their rate over the span of all."""
     span = events.agg((F.max(F.unix_micros("event_time")) - F.min(F.unix_micros("event_time"))).alias("_span"))
@@ -83,10 +137,9 @@ def samples(rows: DataFrame, n: int, by: str = "source_id", order: str = "record
 
 
 def first_alerts(alerts: DataFrame) -> DataFrame:
-    """Alerts that open a case: none of the same source and parser is open before it. ``resolved`` closes the one before."""
-    order = Window.partitionBy("source_id", "parser_id").orderBy("seq")
-    before = F.lag("resolved").over(order)
-    return alerts.withColumn("_b", before).filter("_b is null or _b").drop("_b")
+    """The first alert of each source and parser; later ones are the same alert, whatever has become of it."""
+    first = alerts.groupBy("source_id", "parser_id").agg(F.min("seq").alias("seq"))
+    return alerts.join(first, ["source_id", "parser_id", "seq"], "left_semi")
 
 
 def review_queue(proposals: DataFrame, alerts: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -95,4 +148,5 @@ def review_queue(proposals: DataFrame, alerts: DataFrame, quarantine: DataFrame)
     b = alerts.select(F.lit(2).alias("rank"), F.lit("alert").alias("kind"), F.col("id").cast("string").alias("key"), F.lit(None).cast("string").alias("stage"))
     stages = quarantine.filter("status = 'open'").groupBy("source_id", "failure_stage").agg(F.count(F.lit(1)).alias("n"))
     best = stages.groupBy("source_id").agg(F.min_by("failure_stage", F.struct(-F.col("n"), F.col("failure_stage"))).alias("stage"))
+    # shown by rank, the newest key first
     return a.unionByName(b).unionByName(best.select(F.lit(3).alias("rank"), F.lit("quarantine").alias("kind"), F.col("source_id").alias("key"), "stage"))

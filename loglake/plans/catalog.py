@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loglake.plans import logs, records, service, unknown
+from loglake.plans import files, logs, proposals, records, service, unknown
 from loglake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "logs", "records", "service", "unknown"]
+__all__ = ["ORACLES", "QUERIES", "files", "logs", "proposals", "records", "service", "unknown"]

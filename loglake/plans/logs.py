@@ -36,16 +36,24 @@ def kv_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(F.col("d.k").alias("k"), F.col("d.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def extracted(spark: SparkSession, sf_dir: str, spec: int, **options) -> DataFrame:
+    """Lines of all formats through the first extractor of one spec, behind its signature; those that it takes."""
+    chosen = MIXED_SPECS[spec]
+    extractor = chosen["extractors"][0]
+    found = normalize.extraction(chosen, extractor | {"options": extractor.get("options", {}) | options}, F.col("raw"))
+    return mixed_lines(spark, sf_dir).withColumn("x", found).filter("x is not null")
+
+
 @query(f"""SELECT event_id AS record_id, {MS} AS ts, event_type AS action, value, 'a, "' || event_id || '"' AS note, '' AS col_7, 7 AS columns FROM events WHERE event_id % 6 = 1""")
 def extract_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = mixed_lines(spark, sf_dir).filter("record_id % 6 = 1").withColumn("x", extract.csv(F.col("raw"), ["ts", "user", "action", "value", "note", "_"], min_columns=6))
+    x = extracted(spark, sf_dir, 1)
     field = lambda k: F.try_element_at("x.fields", F.lit(k))
     return x.select("record_id", field("ts").cast("bigint").alias("ts"), field("action").alias("action"), field("value").cast("double").alias("value"), field("note").alias("note"), field("col_7").alias("col_7"), extract.csv_columns(F.col("raw")).alias("columns"))
 
 
 @query(f"""SELECT event_id AS record_id, {MS} AS ts, user_id AS user_id, event_type AS action, value, '' AS none, 't' || (event_id % 3) AS tag FROM events WHERE event_id % 6 = 2""")
 def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = mixed_lines(spark, sf_dir).filter("record_id % 6 = 2").withColumn("x", extract.json(F.col("raw"), ["user.id", "user.tags[0]"]))
+    x = extracted(spark, sf_dir, 2, paths=["user.id", "user.tags[0]"])
     field = lambda k: F.try_element_at("x.fields", F.lit(k))
     return x.select("record_id", field("ts").cast("bigint").alias("ts"), field("user.id").cast("bigint").alias("user_id"), field("action").alias("action"), field("value").cast("double").alias("value"), field("none").alias("none"), field("user.tags[0]").alias("tag"))
 
@@ -53,29 +61,29 @@ def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH e AS (SELECT * FROM events WHERE event_id % 6 = 2)
 SELECT event_id AS record_id, 'ts' AS path, CAST({MS} AS VARCHAR) AS value FROM e UNION ALL SELECT event_id, 'user.id', CAST(user_id AS VARCHAR) FROM e
 UNION ALL SELECT event_id, 'user.tags.0', 't' || (event_id % 3) FROM e UNION ALL SELECT event_id, 'user.tags.1', 't' || (event_id % 5) FROM e
-UNION ALL SELECT event_id, 'action', event_type FROM e UNION ALL SELECT event_id, 'none', '' FROM e UNION ALL SELECT event_id, 'props.k', json_extract_string(props, '$.k') FROM e""")
+UNION ALL SELECT event_id, 'action', event_type FROM e UNION ALL SELECT event_id, 'none', '' FROM e UNION ALL SELECT event_id, 'value', printf('%.2f', value) FROM e UNION ALL SELECT event_id, 'props.k', json_extract_string(props, '$.k') FROM e""")
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.flatten_json(mixed_lines(spark, sf_dir).filter("record_id % 6 = 2"), "record_id", "raw").filter("path != 'value'")
+    number = F.format_string("%.2f", F.col("value").try_cast("double"))
+    return extract.flatten_json(mixed_lines(spark, sf_dir), "record_id", "raw").withColumn("value", F.when(F.col("path") == "value", number).otherwise(F.col("value")))
 
 
 @query(f"""SELECT event_id AS record_id, 'Gate|way' AS device_product, event_type AS name, event_id % 10 AS severity, {MS} AS rt, 'user ' || user_id AS suser, 'a=b' AS msg, value FROM events WHERE event_id % 6 = 3""")
 def extract_cef(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = mixed_lines(spark, sf_dir).filter("record_id % 6 = 3").withColumn("x", extract.cef(F.col("raw")))
+    x = extracted(spark, sf_dir, 3)
     field = lambda k: F.try_element_at("x.fields", F.lit(k))
     return x.select("record_id", field("device_product").alias("device_product"), field("name").alias("name"), field("severity").cast("bigint").alias("severity"), field("rt").cast("bigint").alias("rt"), field("suser").alias("suser"), field("msg").alias("msg"), field("cn1").cast("double").alias("value"))
 
 
 @query(f"""SELECT event_id AS record_id, event_type AS leef_event, 'u' || user_id AS "user", {MS} AS ts, 'a b' AS note, value FROM events WHERE event_id % 6 = 4""")
 def extract_leef(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = mixed_lines(spark, sf_dir).filter("record_id % 6 = 4").withColumn("x", extract.leef(F.col("raw")))
+    x = extracted(spark, sf_dir, 4)
     field = lambda k: F.try_element_at("x.fields", F.lit(k))
     return x.select("record_id", field("event_id").alias("leef_event"), field("usrName").alias("user"), field("devTime").cast("bigint").alias("ts"), field("note").alias("note"), field("value").cast("double").alias("value"))
 
 
 @query("""SELECT event_id AS record_id, 'gate' || (event_id % 4) AS host, event_id % 1000 AS pid, 'u' || user_id AS "user", event_type AS action, value FROM events WHERE event_id % 6 = 5""")
 def extract_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = MIXED_SPECS[-1]["extractors"][0]["options"]["pattern"]
-    x = mixed_lines(spark, sf_dir).filter("record_id % 6 = 5").withColumn("x", extract.regex(F.col("raw"), pattern))
+    x = extracted(spark, sf_dir, 5)
     field = lambda k: F.try_element_at("x.fields", F.lit(k))
     return x.select("record_id", field("host").alias("host"), field("pid").cast("bigint").alias("pid"), field("user").alias("user"), field("action").alias("action"), field("value").cast("double").alias("value"))
 
@@ -139,34 +147,59 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("record_id", (F.col("event.coverage.mapped_bytes") - value).cast("bigint").alias("mapped_without_value"), F.col("event.coverage.unmapped_bytes").cast("bigint").alias("note_bytes"))
 
 
-@query(f"""SELECT event_id % 13 = 0 OR event_id % 17 = 0 AS odd, CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN false ELSE true END AS render_ok, count(*) AS n FROM events WHERE {KV_OK} GROUP BY ALL""")
+RENDERED = [
+    {"id": "auto", "version": "1", "signature": "^user=", "extractors": [{"id": "pairs", "kind": "kv", "render": "auto", "map": {"actor.user.name": {"from": "user"}}}]},
+    {"id": "text", "version": "1", "signature": "^user ", "extractors": [{"id": "words", "kind": "regex", "options": {"pattern": r"^user (?P<user>\S+) did (?P<action>[a-z]+) \{(?P<value>\S+)\}$"}, "render": "user {user} did {action} {{{value}}}", "map": {"actor.user.name": {"from": "user", "lower": True}, "message": {"from": "action"}}}]},
+]
+
+
+@query("""SELECT event_id AS record_id, CASE WHEN event_id % 2 = 0 THEN event_id % 4 <> 0 ELSE event_id % 3 <> 0 END AS render_ok, CASE WHEN CASE WHEN event_id % 2 = 0 THEN event_id % 4 <> 0 ELSE event_id % 3 <> 0 END THEN 1.0 ELSE 0.8 END::DOUBLE AS parse_confidence FROM events""")
 def render_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = kv_lines(spark, sf_dir).withColumn("x", extract.kv(F.col("raw"))).filter("record_id % 11 != 0 and (record_id * 37) % 70000 <= 65535")
-    f = lambda k: F.try_element_at("x.fields", F.lit(k))
-    again = F.concat(F.lit("ts="), f("ts"), F.lit(" user="), f("user"), F.lit(' action="'), f("action"), F.lit('" value='), f("value"), F.lit(" ip="), f("ip"), F.lit(" port="), f("port"))
-    odd = (F.col("record_id") % 13 == 0) | (F.col("record_id") % 17 == 0)
-    return x.groupBy(odd.alias("odd"), (again == F.col("raw")).alias("render_ok")).agg(F.count(F.lit(1)).alias("n"))
+    e = F.col("event_id")
+    pairs = F.format_string('user=u%d note="%s', F.col("user_id"), F.col("event_type"))
+    raw = F.when(e % 4 == 0, F.concat(pairs, F.lit('"'))).when(e % 2 == 0, F.concat(pairs, F.lit(' again"'))).otherwise(F.format_string("user %s%d did %s {%d}", F.when(e % 3 == 0, "U").otherwise("u"), F.col("user_id"), F.col("event_type"), e))
+    lines = events(spark, sf_dir).select(e.alias("record_id"), raw.alias("raw"), F.col("ts").alias("received_at"))
+    return normalize.normalize(lines, RENDERED).select("record_id", F.col("event.render_ok").alias("render_ok"), "parse_confidence")
 
 
-@query(f"""SELECT event_id AS record_id, CASE WHEN event_id % 5 = 0 THEN {MS} + 60000 ELSE {MS} END AS event_ms, event_id % 5 = 0 AS time_from_receipt, CASE WHEN event_id % 7 = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS parse_confidence FROM events""")
+@query(f"""SELECT event_id AS record_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN {MS} + 60000 ELSE {MS} END AS event_ms, event_id % 5 = 0 OR event_id % 7 = 0 AS time_from_receipt, CASE WHEN event_id % 7 = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS parse_confidence FROM events""")
 def event_time_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    time = F.when(e % 5 == 0, F.lit(0).cast("bigint")).otherwise(F.unix_millis("ts"))
-    line = F.concat(F.lit("ts="), time.cast("string"), F.lit(" user=a k=b"), F.when(e % 7 == 0, " k=c").otherwise(""))
+    time = F.when(e % 7 == 0, F.lit("soon")).when(e % 5 == 0, F.lit("0")).otherwise(F.unix_millis("ts").cast("string"))
+    line = F.concat(F.lit("ts="), time, F.lit(" user=a k=b"), F.when(e % 3 == 0, " k=c").otherwise(""))  # a repeated key is flagged, and no matter of confidence
     spec = {"id": "t", "version": "1", "extractors": [{"id": "x", "kind": "kv", "map": {"time": {"from": "ts", "type": "time", "layout": "epoch_ms"}}}]}
     lines = events(spark, sf_dir).select(e.alias("record_id"), line.alias("raw"), (F.col("ts") + F.expr("INTERVAL 60 SECOND")).alias("received_at"))
     parsed = normalize.normalize(lines, [spec])
     return parsed.select("record_id", F.unix_millis("event_time").alias("event_ms"), "time_from_receipt", "parse_confidence")
 
 
-@query("""SELECT CASE event_id % 6 WHEN 0 THEN 'kv' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'cef' WHEN 4 THEN 'leef' ELSE 'unknown' END AS hint, count(*) AS n FROM events GROUP BY ALL""")
+BROKEN = {"id": "b_csv", "version": "1", "signature": "^[0-9]{13},", "extractors": [{"id": "row", "kind": "csv", "options": {"names": ["ts"], "quote": "'"}, "map": {}}]}
+
+
+@query(f"""SELECT CASE event_id % 6 WHEN 0 THEN CASE WHEN NOT {KV_OK} THEN 'detect' WHEN event_id % 10 = 0 THEN 'normalize' ELSE 'event' END WHEN 1 THEN 'extract' ELSE 'detect' END AS stage,
+  CASE event_id % 6 WHEN 0 THEN CASE WHEN NOT {KV_OK} THEN 'no parser matched' WHEN event_id % 10 = 0 THEN 'no such host' END WHEN 1 THEN 'csv quote "''" is unsupported' ELSE 'no parser matched' END AS error, count(*) AS n FROM events GROUP BY ALL""")
+def failure_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = normalize.normalize(mixed_lines(spark, sf_dir), [KV_SPEC, BROKEN])
+    late = parsed.withColumn("enrich_error", F.when(F.col("record_id") % 10 == 0, "no such host"))
+    return normalize.staged(late).groupBy(F.coalesce("failure_stage", F.lit("event")).alias("stage"), "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def odd_lines(spark: SparkSession, sf_dir: str, other: dict[int, str]) -> DataFrame:
+    """Lines of all formats, and others by the id modulo 12."""
+    e = F.col("record_id") % 12
+    return mixed_lines(spark, sf_dir).withColumn("raw", F.coalesce(*[F.when(e == k, F.lit(v)) for k, v in other.items()], F.col("raw")))
+
+
+@query("""SELECT CASE event_id % 12 WHEN 0 THEN 'kv' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'cef' WHEN 4 THEN 'leef' WHEN 6 THEN 'syslog5424' WHEN 7 THEN 'syslog3164' WHEN 8 THEN 'xml' WHEN 9 THEN 'xml' WHEN 11 THEN 'json' ELSE 'unknown' END AS hint, count(*) AS n FROM events GROUP BY ALL""")
 def sniff_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_lines(spark, sf_dir).groupBy(V.sniff(F.col("raw")).alias("hint")).agg(F.count(F.lit(1)).alias("n"))
+    other = {6: "<34>1 2024-01-02T03:04:05Z host app - - x", 7: "<34>12 Oct 11 22:14:15 host su: x", 8: "  <?xml version='1.0'?>", 9: "<Event x='1'>", 10: "<5 is less than a=1 b=2", 11: "  [1, 2]"}
+    return odd_lines(spark, sf_dir, other).groupBy(V.sniff(F.col("raw")).alias("hint")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT CASE event_id % 6 WHEN 0 THEN 'kv' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'cef' WHEN 4 THEN 'leef' ELSE 'text' END AS kind, count(*) AS n FROM events GROUP BY ALL""")
+@query("""SELECT CASE event_id % 12 WHEN 0 THEN 'kv' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'cef' WHEN 4 THEN 'leef' WHEN 10 THEN 'kv' WHEN 11 THEN 'leef' ELSE 'text' END AS kind, count(*) AS n FROM events GROUP BY ALL""")
 def line_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_lines(spark, sf_dir).groupBy(V.line_kind(F.col("raw")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    other = {6: "CEF:x|no version", 7: "far " * 50 + "CEF:0|a", 8: '{"broken": ', 9: "a=1 b=2 c=3", 10: '  a=1 b="2 3" c=4 d=', 11: "x LEEF:2.0|a"}
+    return odd_lines(spark, sf_dir, other).groupBy(V.line_kind(F.col("raw")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""WITH b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
@@ -193,11 +226,15 @@ def spec_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framing.lint_patterns(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), pattern.alias("pattern")), "id", "pattern")
 
 
-@query("""SELECT CASE event_id % 6 WHEN 0 THEN 'ip' WHEN 1 THEN 'uuid' WHEN 2 THEN 'timestamp' WHEN 3 THEN 'epoch' WHEN 4 THEN 'int' ELSE 'word' END AS shape, count(*) AS n FROM events GROUP BY ALL""")
+@query("""SELECT CASE event_id % 12 WHEN 0 THEN 'ip' WHEN 1 THEN 'uuid' WHEN 2 THEN 'timestamp' WHEN 3 THEN 'epoch' WHEN 4 THEN 'int' WHEN 5 THEN 'word' WHEN 6 THEN 'timestamp' WHEN 7 THEN 'epoch' WHEN 8 THEN 'other' WHEN 9 THEN 'qstr' WHEN 10 THEN 'hex' ELSE 'ip' END AS shape, count(*) AS n FROM events GROUP BY ALL""")
 def value_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    x = F.when(e % 6 == 0, F.format_string("10.1.%d.%d", e % 256, e % 200)).when(e % 6 == 1, F.regexp_replace(F.md5(e.cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).when(e % 6 == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(e % 6 == 3, F.unix_millis("ts").cast("string")).when(e % 6 == 4, (e % 1000).cast("string")).otherwise(F.col("event_type"))
-    return events(spark, sf_dir).groupBy(V.shape(x).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    every = [
+        F.format_string("10.1.%d.%d", e % 256, e % 200), F.regexp_replace(F.md5(e.cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.unix_millis("ts").cast("string"), (e % 1000).cast("string"), F.col("event_type"),
+        F.date_format("ts", "yyyy/MM/dd"), F.format_string("27%08d", e), F.format_string("+%d", e), F.col("event_type"), F.format_string("0x%x", e), F.format_string("300.1.2.%d", e % 1000),
+    ]
+    x = F.coalesce(*[F.when(e % 12 == k, v) for k, v in enumerate(every)])
+    return events(spark, sf_dir).groupBy(V.shape(x, e % 12 == 9).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""SELECT event_id AS record_id, 'u' || user_id AS user_name, '10.0.' || (user_id % 4) || '.' || (event_id % 250) AS src_ip, CAST((event_id * 37) % 70000 AS INTEGER) AS src_port, 0 AS dst_port, '' AS protocol, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 2 ELSE 1 END::BIGINT AS severity FROM events WHERE {KV_OK}""")
@@ -228,14 +265,15 @@ def dedup_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("addr", "offset").agg(F.min("record_id").alias("record_id"))
 
 
-PREFIXES = [("10.0.0.0/8", "corp"), ("10.1.0.0/16", "branch"), ("10.1.2.0/24", "lab"), ("192.168.0.0/16", "home")]
+PREFIXES = [("10.0.0.0/8", "corp"), ("10.1.0.0/16", "branch"), ("10.1.2.9/24", "lab"), ("192.168.0.0/16", "home"), ("fd00::/8", "inside"), ("fd00:1:2::/48", "rack"), ("fd00:1:2:3::/65", "half")]
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 3 THEN 'listener' WHEN c_custkey % 4 = 2 THEN 'home' WHEN c_custkey % 3 = 1 AND c_custkey % 5 = 2 THEN 'lab' WHEN c_custkey % 3 = 1 THEN 'branch' ELSE 'corp' END AS source_id FROM customer""")
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 8 = 7 THEN 'rack' WHEN c_custkey % 8 = 6 THEN CASE WHEN c_custkey % 3 = 0 THEN 'half' ELSE 'rack' END WHEN c_custkey % 8 = 5 THEN 'inside' WHEN c_custkey % 4 = 3 THEN 'listener' WHEN c_custkey % 4 = 2 THEN 'home' WHEN c_custkey % 3 = 1 AND c_custkey % 5 = 2 THEN 'lab' WHEN c_custkey % 3 = 1 THEN 'branch' ELSE 'corp' END AS source_id FROM customer""")
 def peer_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    ip = F.when(k % 4 == 3, F.lit("172.16.0.9")).when(k % 4 == 2, F.format_string("192.168.%d.1", k % 200)).otherwise(F.format_string("10.%d.%d.7", k % 3, k % 5))
-    peers = table(spark, sf_dir, "customer").select(k.alias("id"), ip.alias("peer"))
+    six = F.when(k % 8 == 7, F.lit("[FD00:1:2::7]:514")).when(k % 8 == 6, F.when(k % 3 == 0, F.lit("fd00:1:2:3:7fff::1")).otherwise(F.lit("[fd00:1:2:3:8000::1]:6514"))).when(k % 8 == 5, F.format_string("fd00:%x::1", k % 60000 + 2))
+    four = F.when(k % 4 == 3, F.lit("172.16.0.9:514")).when(k % 4 == 2, F.format_string("::ffff:192.168.%d.1", k % 200)).otherwise(F.format_string("10.%d.%d.7:%d", k % 3, k % 5, k % 60000 + 1))
+    peers = table(spark, sf_dir, "customer").select(k.alias("id"), F.coalesce(six, four).alias("peer"))
     return framing.peer_source(peers, PREFIXES, "listener").select("id", "source_id")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.operators import evidence, identity, ledger
-from loglake.plans.lines import events
+from loglake.operators import evidence, extract, identity, ledger, normalize
+from loglake.plans.lines import KV_OK, KV_SPEC, events, kv_lines
 from loglake.plans.registry import query, table
 
 SEGMENT = 1000
@@ -127,9 +127,9 @@ def tamper_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.tampered(stored, now)
 
 
-@query(f"SELECT sha256(encode({RAW})) AS raw_sha256, max(event_id) + 1 AS record_id, count(*) AS copies FROM events GROUP BY 1")
+@query(f"SELECT sha256(encode({RAW})) AS raw_sha256, max(event_id) + 1 AS record_id, count(*) AS copies, max_by(epoch_us(ts), event_id) AS received_us, any_value({RAW}) AS raw FROM events GROUP BY 1")
 def get_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.newest_by_hash(records(spark, sf_dir))
+    return ledger.newest_by_hash(records(spark, sf_dir)).select("raw_sha256", "record_id", "copies", F.unix_micros("ts").alias("received_us"), F.col("raw").cast("string").alias("raw"))
 
 
 @query(f"WITH RECURSIVE {CHAIN} SELECT CAST(sum(count) AS BIGINT) AS records, max(last_seq) AS sealed_through, count(*) AS segments, max_by(lower(hex(chain)), segment) AS head FROM chain")
@@ -137,11 +137,54 @@ def ledger_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.seals(leaves(spark, sf_dir)).agg(F.sum("count").alias("records"), F.max("last_seq").alias("sealed_through"), F.count(F.lit(1)).alias("segments"), F.max_by(F.lower(F.hex("chain")), "segment").alias("head"))
 
 
-@query(f"SELECT event_id + 1 AS record_id, event_id // {SEGMENT} + 1 AS segment, event_id + 1 <= 800 AS sealed, sha256(encode({RAW})) AS raw_sha256 FROM events")
+def closed(rows: DataFrame) -> DataFrame:
+    """Rows of the segments that are full; the last one may still be written."""
+    full = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == SEGMENT).select("segment")
+    return rows.join(full, "segment", "left_semi")
+
+
+CLOSED = f"SELECT event_id // {SEGMENT} + 1 AS segment FROM events GROUP BY 1 HAVING count(*) = {SEGMENT}"
+
+
+@query(f"""WITH RECURSIVE {CHAIN}, levels AS (SELECT DISTINCT segment, level FROM tree WHERE n > 1), paths AS (SELECT r.segment, r.record_id, coalesce(string_agg(lower(hex(t.h)), ',' ORDER BY t.level), '') AS path FROM numbered r LEFT JOIN levels l ON l.segment = r.segment
+LEFT JOIN tree t ON t.segment = r.segment AND t.level = l.level AND t.i = xor(r.i >> l.level, 1) GROUP BY ALL), done AS ({CLOSED})
+SELECT event_id + 1 AS record_id, event_id // {SEGMENT} + 1 AS segment, d.segment IS NOT NULL AS sealed, sha256(encode({RAW})) AS raw_sha256, CASE WHEN d.segment IS NOT NULL THEN md5(p.path) END AS proof_md5, CASE WHEN d.segment IS NOT NULL THEN lower(hex(c.chain)) END AS chain
+FROM events e JOIN paths p ON p.record_id = e.event_id + 1 LEFT JOIN done d ON d.segment = event_id // {SEGMENT} + 1 JOIN chain c ON c.segment = event_id // {SEGMENT} + 1""")
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir)
-    proofs = ledger.inclusion_paths(leaves(spark, sf_dir)).filter("record_id <= 800").select("record_id", "path")
-    return rows.join(proofs, "record_id", "left").select("record_id", "segment", F.col("path").isNotNull().alias("sealed"), F.sha2("raw", 256).alias("raw_sha256"))
+    rows, sealed = records(spark, sf_dir), closed(leaves(spark, sf_dir))
+    proofs = ledger.inclusion_paths(sealed).select("record_id", F.array_join(F.transform("path", lambda h: F.lower(F.hex(h))), ",").alias("path"))
+    seal = ledger.seals(sealed).select("segment", F.lower(F.hex("chain")).alias("chain"))
+    out = rows.join(proofs, "record_id", "left").join(seal, "segment", "left")
+    return out.select("record_id", "segment", F.col("chain").isNotNull().alias("sealed"), F.sha2("raw", 256).alias("raw_sha256"), F.md5("path").alias("proof_md5"), "chain")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY date_trunc('hour', ts), user_id, event_id) AS record_id FROM events")
+def record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hour = F.floor(F.unix_seconds("ts") / 3600)
+    return ledger.dense_ids(events(spark, sf_dir).select("event_id", "user_id", "ts"), hour, ["user_id", "event_id"]).select("event_id", "record_id")
+
+
+@query(f"""WITH done AS ({CLOSED}) SELECT event_id + 1 AS record_id, d.segment IS NULL OR (event_id % 101 <> 0 AND event_id % 103 <> 0 AND d.segment % 3 <> 2 AND d.segment % 5 <> 4) AS ok, d.segment IS NOT NULL AS sealed,
+  CASE WHEN d.segment IS NULL THEN NULL WHEN event_id % 101 = 0 THEN 'record does not match its leaf hash' WHEN event_id % 103 = 0 THEN 'inclusion proof does not verify against the segment root' WHEN d.segment % 3 = 2 THEN 'segment chain link does not verify' WHEN d.segment % 5 = 4 THEN 'segment root does not match the ledger' END AS reason
+FROM events LEFT JOIN done d ON d.segment = event_id // {SEGMENT} + 1""")
+def verify_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, every = F.col("record_id") - 1, leaves(spark, sf_dir)
+    sealed = ledger.seals(closed(every))
+    footer = sealed.select("segment", "root", "prev", F.when(F.col("segment") % 3 == 2, ledger.sha(F.col("chain"))).otherwise(F.col("chain")).alias("chain"))
+    proofs = ledger.inclusion_paths(closed(every)).join(footer, "segment").withColumn("path", F.when(e % 103 == 0, F.transform("path", lambda h: ledger.sha(h))).otherwise(F.col("path")))
+    now = every.withColumn("leaf", F.when(e % 101 == 0, ledger.sha(F.col("leaf"))).otherwise(F.col("leaf")))
+    book = sealed.withColumn("root", F.when(F.col("segment") % 5 == 4, ledger.sha(F.col("root"))).otherwise(F.col("root")))
+    return ledger.verify_records(now, proofs, book)
+
+
+@query(f"SELECT event_id + 1 AS record_id, {RAW} AS raw FROM events WHERE event_id + 1 >= 500")
+def scan_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.scan(records(spark, sf_dir), 500).select("record_id", F.col("raw").cast("string").alias("raw"))
+
+
+@query(f"WITH done AS ({CLOSED}) SELECT event_id // {SEGMENT} + 1 AS segment, bool_or(d.segment IS NOT NULL) AS sealed, min(event_id) + 1 AS first_seq, max(event_id) + 1 AS last_seq, count(*) AS count FROM events LEFT JOIN done d ON d.segment = event_id // {SEGMENT} + 1 GROUP BY 1")
+def segment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.segment_list(ledger.seals(closed(leaves(spark, sf_dir))), records(spark, sf_dir))
 
 
 @query("SELECT event_id + 1 AS record_id, event_id % 50 <> 3 AS sha_match FROM events")
@@ -160,11 +203,14 @@ def checkpoint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.checkpoint_links(log.join(prev, "checkpoint"))
 
 
-@query("SELECT count(*) AS ingested, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS events, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS quarantined, true AS conserved FROM events")
+@query(f"SELECT count(*) AS ingested, count(*) FILTER ({KV_OK}) AS events, count(*) FILTER (NOT {KV_OK}) AS quarantined, 0::BIGINT AS lost, 0::BIGINT AS twice FROM events")
 def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.col("event_type") != "error"
-    counts = events(spark, sf_dir).agg(F.count(F.lit(1)).alias("ingested"), F.count_if(ok).alias("events"), F.count_if(~ok).alias("quarantined"))
-    return counts.withColumn("conserved", F.col("ingested") == F.col("events") + F.col("quarantined"))
+    lines = kv_lines(spark, sf_dir)
+    fine, rest = normalize.split(normalize.normalize(lines, [KV_SPEC]))
+    out = fine.select("record_id", F.lit(1).alias("event")).unionByName(rest.select("record_id", F.lit(0).alias("event")))
+    # every record that came in is one event or one quarantine row
+    met = lines.select("record_id").join(out.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("event")), "record_id", "left")
+    return met.agg(F.count(F.lit(1)).alias("ingested"), F.sum("event").alias("events"), F.sum(F.col("n") - F.col("event")).alias("quarantined"), F.count_if(F.col("n").isNull()).alias("lost"), F.count_if(F.col("n") > 1).alias("twice"))
 
 
 @query(f"""WITH m AS (SELECT sha256(encode({RAW})) AS sha, count(*) AS expected FROM events WHERE event_id % 7 <> 0 GROUP BY 1), f AS (SELECT sha256(encode({RAW})) AS sha, count(*) AS found FROM events WHERE event_id % 11 <> 0 GROUP BY 1)
@@ -198,11 +244,11 @@ def identity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).groupBy("kind", "action").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ip").alias("ips"))
 
 
-@query("SELECT event_id AS record_id FROM events WHERE event_id % 5 <> 1 AND event_id % 5 <> 3")
+@query("SELECT event_id AS record_id FROM events WHERE event_id % 7 NOT IN (1, 3, 4)")
 def valid_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("record_id") % 5
+    e = F.col("record_id") % 7
     rows = facts(spark, sf_dir)
-    odd = rows.withColumns({"ip": F.when(e == 1, "8.8.8.8").when(e == 2, "172.20.1.1").otherwise(F.col("ip")), "kind": F.when(e == 3, "arp").otherwise(F.col("kind"))})
+    odd = rows.withColumns({"ip": F.when(e == 1, "8.8.8.8").when(e == 2, "172.20.1.1").when(e == 4, "127.0.0.1").when(e == 5, "FE80::1").when(e == 6, "fd12:3456::7").otherwise(F.col("ip")), "kind": F.when(e == 3, "arp").otherwise(F.col("kind"))})
     return identity.valid_facts(odd.union(odd)).select("record_id")
 
 
@@ -316,3 +362,63 @@ def evidence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     proofs = ledger.inclusion_paths(leaf).filter((F.col("record_id") - 1) % 29 != 3)
     checked = evidence.checks(evidence.bundles(given, proofs, ledger.seals(leaf)), first)
     return checked.groupBy(*[F.col("checks")[k].alias(k) for k in evidence.CHECKS]).agg(F.count(F.lit(1)).alias("n"))
+
+
+RULE = {"kind": "radius", "when": {"field": "action", "in": ["purchase", "error", "view"]}, "action": {"field": "action", "enum": {"purchase": "bind", "view": "bind", "error": "release"}}, "ip": "ip", "user": "user", "host": "note"}
+
+
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity facts that the fields of key=value lines tell."""
+    lines = kv_lines(spark, sf_dir).withColumn("x", extract.kv(F.col("raw")))
+    time = F.try_element_at("x.fields", F.lit("ts")).try_cast("bigint")
+    fact = identity.facts_of(F.col("x.fields"), RULE, F.col("received_at"), F.when(F.col("record_id") % 3 != 0, time))
+    return lines.withColumn("fact", fact).filter("fact is not null").select("fact.*", "record_id", "source_id")
+
+
+@query("""SELECT event_id AS record_id, 'radius' AS kind, CASE event_type WHEN 'error' THEN 'release' ELSE 'bind' END AS action, CASE WHEN event_id % 11 <> 0 THEN '10.0.' || (user_id % 4) || '.' || (event_id % 250) ELSE '' END AS ip, 'u' || user_id AS "user", CASE WHEN event_id % 17 = 0 THEN 'open end' ELSE '' END AS host,
+  CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) ELSE epoch_us(ts) // 1000 * 1000 END AS at_us FROM events WHERE event_type IN ('purchase', 'error', 'view')""")
+def identity_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told(spark, sf_dir).select("record_id", "kind", "action", "ip", "user", "host", F.unix_micros("at").alias("at_us"))
+
+
+@query("""WITH f AS (SELECT event_id AS record_id, CASE event_type WHEN 'error' THEN 'release' ELSE 'bind' END AS action, '10.0.' || (user_id % 4) || '.' || (event_id % 250) AS ip, user_id AS who, CASE WHEN event_id % 17 = 0 THEN 'open end' ELSE '' END AS host, CASE WHEN event_id % 3 = 0 THEN ts ELSE to_timestamp(epoch_us(ts) // 1000 / 1000.0)::TIMESTAMP END AS mo, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) ELSE epoch_us(ts) // 1000 * 1000 END AS us FROM events WHERE event_type IN ('purchase', 'error', 'view') AND event_id % 11 <> 0),
+w AS (SELECT *, lag(action) OVER o AS pa, lag((who, host)) OVER o AS pw, lag(us) OVER o AS pt, lead(us) OVER o AS nx FROM f WINDOW o AS (PARTITION BY ip ORDER BY us, record_id)),
+c AS (SELECT *, sum(CASE WHEN action = 'bind' AND NOT coalesce(pa = 'bind' AND pw = (who, host) AND us < pt + 43200000000, false) THEN 1 ELSE 0 END) OVER (PARTITION BY ip ORDER BY us, record_id) AS c FROM w),
+g AS (SELECT ip, c, arg_min(who, (us, record_id)) AS who, min(us) AS valid_from, max(us) + 43200000000 AS e, arg_max_null(nx, (us, record_id)) AS closer FROM c WHERE action = 'bind' GROUP BY ip, c)
+SELECT ip, 'u' || who AS "user", valid_from, CASE WHEN coalesce(closer <= e, false) THEN closer ELSE e END AS valid_to FROM g WHERE CASE WHEN coalesce(closer <= e, false) THEN closer ELSE e END > valid_from""")
+def identity_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.rebuild(told(spark, sf_dir)).select("ip", "user", F.unix_micros("valid_from").alias("valid_from"), F.unix_micros("valid_to").alias("valid_to"))
+
+
+EDGES = f"""{CLAIMS}, ed AS (SELECT DISTINCT 'ip-host' AS type, ip AS a, host AS b, valid_from FROM claims WHERE kind = 'dhcp' UNION SELECT 'host-mac', host, 'AA:00:00:00:00:0' || substr(host, 2), valid_from FROM claims WHERE kind = 'dhcp' UNION SELECT 'ip-user', ip, "user", valid_from FROM claims WHERE kind <> 'dhcp'),
+ask AS (SELECT DISTINCT 'ip' AS kind, '10.0.0.' || (n_nationkey % 20) AS id FROM nation UNION SELECT 'user', 'u1' UNION SELECT 'host', 'h2'),
+hit AS (SELECT k.kind, k.id, ed.* FROM ask k JOIN ed ON (k.kind = 'ip' AND ed.type <> 'host-mac' AND ed.a = k.id) OR (k.kind = 'user' AND ed.type = 'ip-user' AND ed.b = k.id) OR (k.kind = 'host' AND ((ed.type = 'ip-host' AND ed.b = k.id) OR (ed.type = 'host-mac' AND ed.a = k.id)))),
+nb AS (SELECT * FROM hit UNION SELECT h.kind, h.id, ed.* FROM (SELECT DISTINCT kind, id, b FROM hit WHERE type = 'ip-host' AND kind <> 'host') h JOIN ed ON ed.type = 'host-mac' AND ed.a = h.b)"""
+
+
+def around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.lit("ip").alias("kind"), F.format_string("10.0.0.%d", F.col("n_nationkey") % 20).alias("id"))
+    known = nations.unionByName(table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(F.struct(F.lit("user").alias("kind"), F.lit("u1").alias("id")), F.struct(F.lit("host").alias("kind"), F.lit("h2").alias("id")))).alias("n")).select("n.*"))
+    return identity.neighbours(identity.claims(facts(spark, sf_dir)), known)
+
+
+@query(f"WITH {EDGES} SELECT kind, id, type, a, b, epoch_us(valid_from) AS valid_from FROM nb")
+def identity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return around(spark, sf_dir).select("kind", "id", "type", "a", "b", F.unix_micros("valid_from").alias("valid_from")).distinct()
+
+
+@query(f"WITH {EDGES} SELECT CASE type WHEN 'host-mac' THEN 'host' ELSE 'ip' END AS kind, a AS id FROM nb UNION SELECT CASE type WHEN 'host-mac' THEN 'mac' WHEN 'ip-host' THEN 'host' ELSE 'user' END, b FROM nb")
+def identity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.nodes(around(spark, sf_dir))
+
+
+@query(f"""{RESOLVED.replace(f'asked AS ({ASKED})', "asked AS (SELECT event_id * 2 AS id, '10.0.0.' || (user_id % 25) AS ip, ts + INTERVAL 7 MINUTE AS mo FROM events UNION ALL SELECT event_id * 2 + 1, '10.0.0.' || (event_id % 22), ts + INTERVAL 7 MINUTE FROM events WHERE event_id % 4 <> 0)")},
+l AS (SELECT a.id // 2 AS id, a.id % 2 AS side, u."user", d.host FROM asked a LEFT JOIN u ON a.id = u.id LEFT JOIN d ON a.id = d.id),
+x AS (SELECT id, side, 0 AS o, 'user:' || "user" AS e FROM l WHERE "user" IS NOT NULL UNION ALL SELECT id, side, 1, 'host:' || host FROM l WHERE host IS NOT NULL UNION ALL SELECT id, side, 2, 'mac:aa:00:00:00:00:0' || substr(host, 2) FROM l WHERE host IS NOT NULL)
+SELECT e.event_id AS id, coalesce(string_agg(CASE side WHEN 0 THEN 'src' ELSE 'dst' END || ':' || x.e, ' ' ORDER BY side, o), '') AS entities FROM events e LEFT JOIN x ON x.id = e.event_id GROUP BY 1""")
+def enrich_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = events(spark, sf_dir).select(e.alias("id"), F.format_string("10.0.0.%d", F.col("user_id") % 25).alias("src_ip"), F.when(e % 4 != 0, F.format_string("10.0.0.%d", e % 22)).alias("dst_ip"), (F.col("ts") + F.expr("INTERVAL 7 MINUTE")).alias("at"))
+    out = identity.entities(rows, identity.claims(facts(spark, sf_dir)), "id")
+    text = F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["role"], x["type"], x["id"])), " ")
+    return out.select("id", F.coalesce(text, F.lit("")).alias("entities"))

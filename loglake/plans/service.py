@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglake.functions import values
 from loglake.operators import drift, normalize, serve
 from loglake.plans.lines import KV_OK, KV_SPEC, events, kv_lines, mixed_lines
 from loglake.plans.registry import query, table
@@ -83,24 +84,86 @@ def approval_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("spec_id", "to_version").agg(F.count_if(F.col("action") == "approve").alias("approvals"), F.count_if(F.col("action") == "reject").alias("rejections"), F.unix_micros(F.max("changed_at")).alias("last_change"))
 
 
-@query("SELECT l_orderkey AS record_id, l_orderkey || '.' || l_linenumber AS event_id, count(*) AS rows FROM lineitem WHERE l_returnflag = 'A' AND (l_orderkey < 900 OR (l_orderkey = 900 AND l_orderkey || '.' || l_linenumber < '900.4')) GROUP BY 1, 2 ORDER BY 1 DESC, 2 DESC LIMIT 101")
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with versions, from ``lineitem``: a record is an order, a version one of its lines."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record_id"), F.concat_ws(".", F.col("l_orderkey"), F.col("l_linenumber")).alias("event_id")).agg(F.min("l_returnflag").alias("parser_id"), F.min("l_shipdate").alias("received_at"), F.concat(F.lit("s"), F.min("l_suppkey") % 3).alias("source_id"), F.min("l_linenumber").alias("line"))
+    last = rows.groupBy("record_id").agg(F.max("line").alias("_l"))
+    return rows.join(last, "record_id").withColumn("is_current", F.col("line") == F.col("_l")).drop("_l")
+
+
+VERSIONS = "v AS (SELECT l_orderkey AS record_id, l_orderkey || '.' || l_linenumber AS event_id, min(l_returnflag) AS parser_id, min(l_shipdate) AS received_at, 's' || (min(l_suppkey) % 3) AS source_id, min(l_linenumber) AS line FROM lineitem GROUP BY 1, 2), x AS (SELECT *, line = max(line) OVER (PARTITION BY record_id) AS is_current FROM v)"
+SINCE, UNTIL = "1993-01-01 00:00:00", "1998-01-01 00:00:00"
+
+
+@query(f"""WITH {VERSIONS}, p AS (SELECT *, row_number() OVER (ORDER BY record_id DESC, event_id DESC) AS n, count(*) OVER () AS total FROM x WHERE source_id = 's1' AND parser_id = 'N' AND is_current AND received_at >= TIMESTAMP '{SINCE}' AND received_at <= TIMESTAMP '{UNTIL}')
+SELECT record_id, event_id, CASE WHEN n = 50 AND total > 50 THEN event_id END AS next_cursor FROM p WHERE n <= 50""")
 def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("record_id"), F.concat_ws(".", F.col("l_orderkey"), F.col("l_linenumber")).alias("event_id"))
-    return serve.event_page(rows.groupBy("record_id", "event_id").agg(F.count(F.lit(1)).alias("rows")), 100, (900, "900.4"))
+    span = [F.lit(t).cast("timestamp") for t in (SINCE, UNTIL)]
+    page = serve.event_page(versions(spark, sf_dir), 50, source="s1", parser="N", current=True, received_from=span[0], received_to=span[1])
+    return page.select("record_id", "event_id", "next_cursor")
+
+
+@query(f"""WITH {VERSIONS}, o AS (SELECT record_id, event_id, row_number() OVER (ORDER BY record_id DESC, event_id DESC) AS n, count(*) OVER () AS total FROM x) SELECT record_id, event_id, CASE WHEN n = 240 AND total > 240 THEN event_id END AS next_cursor FROM o WHERE n > 120 AND n <= 240""")
+def event_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = versions(spark, sf_dir)
+    last = serve.event_page(rows, 120).filter("next_cursor is not null").first()  # the page before gives the cursor
+    page = serve.event_page(rows, 120, (last["record_id"], last["next_cursor"])) if last else serve.event_page(rows.limit(0), 120)
+    return page.select("record_id", "event_id", "next_cursor")
+
+
+@query("SELECT event_id AS seq, event_type AS kind FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id > 700) WHERE n <= 100")
+def event_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.tail_since(events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind")), 700)
+
+
+@query(f"WITH {VERSIONS} SELECT count(*) AS events, coalesce(max(record_id), 0) AS max_record_id FROM x")
+def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.event_totals(versions(spark, sf_dir))
+
+
+@query(f"WITH {VERSIONS} SELECT record_id, event_id FROM x WHERE is_current AND record_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def current_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("record_id"))
+    return serve.current_event(versions(spark, sf_dir), asked).select("record_id", "event_id")
+
+
+@query("""WITH a AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'conflict' ELSE 'approve' END WHEN 'F' THEN 'reject' ELSE 'comment' END AS action FROM orders),
+l AS (SELECT id, max_by(action, seq) FILTER (action IN ('approve', 'conflict')) AS last, count(*) FILTER (action = 'reject') AS no FROM a GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN last = 'approve' THEN 'approved' WHEN last = 'conflict' THEN 'stale' WHEN no > 0 THEN 'rejected' ELSE 'pending' END AS status FROM customer LEFT JOIN l ON l.id = c_custkey""")
+def proposal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    action = F.when(status == "O", F.when(key % 3 == 0, "conflict").otherwise("approve")).when(status == "F", "reject").otherwise("comment")
+    actions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), key.alias("seq"), action.alias("action"))
+    return serve.proposal_states(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), actions)
 
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
+    entity = lambda kind, name: F.struct(F.lit(kind).alias("type"), name.alias("id"))
     return events(spark, sf_dir).select(
         e.alias("record_id"), F.concat(F.lit("s"), F.col("user_id") % 5).alias("source_id"), F.format_string("10.0.0.%d", e % 20).alias("src_ip"), F.format_string("10.0.0.%d", F.col("user_id") % 30).alias("dst_ip"),
-        (e % 6).alias("severity"), F.when(e % 13 == 0, F.array(F.lit("duplicate_key"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.col("ts").alias("event_time"),
+        (e % 6).alias("severity"), F.when(e % 13 == 0, F.array(F.lit("duplicate_key"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.col("ts").alias("event_time"), F.concat(F.lit("v"), e % 2).alias("vendor"), F.when(e % 4 != 3, e % 3).alias("action_id"),
+        F.array_compact(F.array(F.when(e % 3 != 0, entity("user", F.concat(F.lit("u"), F.col("user_id") % 4))), F.when(e % 5 != 0, entity("host", F.concat(F.lit("h"), F.col("user_id") % 4))))).alias("entities"), (e % 10 != 0).alias("is_current"),
     )
 
 
-@query("SELECT event_id AS record_id FROM events WHERE (event_id % 20 = 7 OR user_id % 30 = 7) AND user_id % 5 = 2 AND event_id % 6 IN (1, 3, 5) AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'")
+@query("""SELECT event_id AS record_id, 'either' AS asked FROM events WHERE (event_id % 20 = 7 OR user_id % 30 = 7) AND user_id % 5 = 2 AND event_id % 6 IN (1, 3, 5) AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25'
+UNION ALL SELECT event_id, 'source' FROM events WHERE event_id % 20 = 4 AND event_id % 2 = 0 AND event_id % 4 <> 3 AND event_id % 3 = 1 AND event_id % 10 <> 0 AND user_id % 4 = 1
+UNION ALL SELECT event_id, 'destination' FROM events WHERE user_id % 30 = 8 AND event_id % 5 <> 0 AND user_id % 4 = 0 UNION ALL SELECT event_id, 'flag' FROM events WHERE event_id % 13 = 0 AND event_id % 2 = 1""")
 def event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = [F.lit(t).cast("timestamp") for t in ("2024-01-05 00:00:00", "2024-01-25 00:00:00")]
-    return flat_events(spark, sf_dir).filter(serve.event_filter(ip="10.0.0.7", source="s2", severity=[1, 3, 5], since=span[0], until=span[1])).select("record_id")
+    asked = {
+        "either": serve.event_filter(ip="10.0.0.7", source="s2", severity=[1, 3, 5], since=span[0], until=span[1]), "source": serve.event_filter(src_ip="10.0.0.4", vendor="v0", action=1, user="u1", current=True),
+        "destination": serve.event_filter(dst_ip="10.0.0.8", host="h0"), "flag": serve.event_filter(flag="duplicate_key", vendor="v1"),
+    }
+    which = F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in asked.items()])))
+    return flat_events(spark, sf_dir).select("record_id", which.alias("asked"))
+
+
+@query(f"""WITH q AS ({Q}) SELECT (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM q WHERE status = 'open') AS open_quarantine, (SELECT coalesce(max(event_id) + 1, 0) FROM events WHERE event_id // 1000 IN (SELECT event_id // 1000 FROM events GROUP BY 1 HAVING count(*) = 1000)) AS sealed_through""")
+def telemetry_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 1000).alias("segment")).agg(F.count(F.lit(1)).alias("n"), (F.max("event_id") + 1).alias("last_seq")).filter("n = 1000")
+    return serve.telemetry_totals(flat_events(spark, sf_dir), quarantine(spark, sf_dir), full)
 
 
 @query("SELECT 's' || (user_id % 5) AS source_id, count(*) AS events, round(count(*) * 1e6 / (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) FROM events), 9) AS per_second FROM events GROUP BY 1")
@@ -114,7 +177,7 @@ def source_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.samples(rows, 20)
 
 
-@query("SELECT o_orderkey AS seq FROM (SELECT o_orderkey, lag(o_orderstatus = 'F') OVER (PARTITION BY o_custkey % 100, o_orderpriority ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NULL OR b")
+@query("SELECT min(o_orderkey) AS seq FROM orders GROUP BY o_custkey % 100, o_orderpriority")
 def alert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 100).alias("source_id"), F.col("o_orderpriority").alias("parser_id"), (F.col("o_orderstatus") == "F").alias("resolved"))
     return serve.first_alerts(alerts).select("seq")
@@ -160,31 +223,86 @@ def key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.key_changes(a, b)
 
 
-@query("SELECT DISTINCT 's' || (user_id % 5) AS source_id, 'user' AS old, 'usr' AS new FROM events")
+@query(f"{KEYS} SELECT DISTINCT p.source_id, 'user' AS old, 'usr' AS new FROM p JOIN p q ON p.source_id = q.source_id WHERE p.key = 'user' AND q.key = 'usr'")
 def rename_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     (fa, a), (fb, b) = ((drift.fields(x), x) for x in halves(spark, sf_dir))
     changes = drift.key_changes(drift.key_presence(fa, a), drift.key_presence(fb, b))
     return drift.rename_candidates(changes, drift.shape_histogram(fa), drift.shape_histogram(fb))
 
 
-@query("""SELECT 's' || (user_id % 5) AS source_id, 'ip' AS key, 'ip' AS shape, 1.0::DOUBLE AS share FROM events WHERE event_id % 11 <> 0 GROUP BY 1 UNION ALL SELECT 's' || (user_id % 5), 'action', 'word', 1.0 FROM events GROUP BY 1
-UNION ALL SELECT 's' || (user_id % 5), 'ts', 'epoch', 1.0 FROM events GROUP BY 1 UNION ALL SELECT 's' || (user_id % 5), 'port', 'int', 1.0 FROM events GROUP BY 1 UNION ALL SELECT 's' || (user_id % 5), 'note', 'qstr', 1.0 FROM events WHERE event_id % 17 = 0 GROUP BY 1
-UNION ALL SELECT 's' || (user_id % 5), 'user', 'word', 1.0 FROM events GROUP BY 1""")
+@query(f"""{KEYS} SELECT source_id, key, CASE key WHEN 'ip' THEN 'ip' WHEN 'action' THEN 'qstr' WHEN 'ts' THEN 'epoch' WHEN 'port' THEN 'int' WHEN 'note' THEN 'qstr' WHEN 'value' THEN 'other' ELSE 'word' END AS shape, 1.0::DOUBLE AS share FROM (SELECT DISTINCT source_id, CASE key WHEN 'usr' THEN 'user' ELSE key END AS key FROM p)""")
 def shape_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.shape_histogram(drift.fields(kv_lines(spark, sf_dir).filter("record_id % 13 != 0 or true"))).filter("key != 'value'")
+    return drift.shape_histogram(drift.fields(kv_lines(spark, sf_dir)))
 
 
-@query("SELECT DISTINCT 's' || (user_id % 5) AS source_id, 0.0::DOUBLE AS same FROM events")
+SHAPED = f"""{KEYS}, sk AS (SELECT source_id, key, count(*) AS sides FROM p GROUP BY 1, 2), sd AS (SELECT source_id, avg(CASE WHEN sides = 1 OR key IN ('action', 'note') THEN 1.0 ELSE 0.0 END) AS distance FROM sk GROUP BY 1)"""
+
+
+@query(f"{SHAPED} SELECT source_id, round(distance, 6) AS distance FROM sd")
 def shape_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = drift.shape_histogram(drift.fields(kv_lines(spark, sf_dir)))
-    return drift.shape_distance(h, h).select("source_id", F.round("distance", 6).alias("same"))
+    a, b = (drift.shape_histogram(drift.fields(x)) for x in halves(spark, sf_dir))
+    return drift.shape_distance(a, b).withColumn("distance", F.round("distance", 6))
+
 
+MARKS = "5 + CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END"
+QUOTES = "CASE WHEN event_id % 17 = 0 THEN 3 ELSE 2 END"
 
-@query("""SELECT 's' || (user_id % 5) AS source_id, round(avg(CASE WHEN event_id % 17 = 0 THEN 3 ELSE 2 END), 6) AS quotes, round(avg(5 + CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END), 6) AS equals FROM events GROUP BY 1""")
+
+@query(f"""SELECT source_id, delimiter, round(CASE delimiter WHEN '=' THEN e WHEN '"' THEN q ELSE 0 END, 6) AS mean FROM (SELECT 's' || (user_id % 5) AS source_id, avg({MARKS}) AS e, avg({QUOTES}) AS q FROM events GROUP BY 1), (SELECT unnest(['=', ',', '|', ':', ';', '"', chr(39), '{{', '}}', '[', ']', chr(9)]) AS delimiter)""")
 def delimiter_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = drift.delimiter_profile(kv_lines(spark, sf_dir))
-    pick = lambda d, n: F.round(F.max(F.when(F.col("delimiter") == d, F.col("mean"))), 6).alias(n)
-    return p.groupBy("source_id").agg(pick('"', "quotes"), pick("=", "equals"))
+    return drift.delimiter_profile(kv_lines(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+DELIMITED = f"""dm AS (SELECT 's' || (user_id % 5) AS source_id, event_id % 2 AS half, avg({MARKS}) AS e, avg({QUOTES}) AS q FROM events GROUP BY ALL), dd AS (SELECT a.source_id, (abs(a.e - b.e) + a.q) / (a.e + b.e + a.q) AS distance FROM dm a JOIN dm b ON a.source_id = b.source_id AND a.half = 0 AND b.half = 1)"""
+
+
+@query(f"WITH {DELIMITED} SELECT source_id, round(distance, 6) AS distance FROM dd")
+def delimiter_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (drift.delimiter_profile(x) for x in halves(spark, sf_dir))
+    return drift.delimiter_distance(a, b).withColumn("distance", F.round("distance", 6))
+
+
+SETS = f"""ks AS (SELECT source_id, 1 - sum(least(coalesce(a, 0), coalesce(b, 0))) / sum(greatest(coalesce(a, 0), coalesce(b, 0))) AS distance FROM (SELECT source_id, key, max(presence) FILTER (half = 0) AS a, max(presence) FILTER (half = 1) AS b FROM p GROUP BY 1, 2) GROUP BY 1),
+qr AS (SELECT 's' || (user_id % 5) AS source_id, avg(CASE WHEN event_id % 2 = 0 AND {KV_OK} THEN 0.0 ELSE 1.0 END) AS rate FROM events GROUP BY 1)"""
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> dict:
+    """What two halves of the sources' lines look like, and the share of all lines that the spec of the first half rejects."""
+    out: dict = {"lines": halves(spark, sf_dir)}
+    out["fields"] = [drift.fields(x) for x in out["lines"]]
+    out["presence"] = [drift.key_presence(f, x) for f, x in zip(out["fields"], out["lines"], strict=True)]
+    out["shapes"] = [drift.shape_histogram(f) for f in out["fields"]]
+    a, b = (drift.dominant_kind(x) for x in out["lines"])
+    out["kinds"] = a.select("source_id", F.col("kind").alias("base_kind")).join(b.select("source_id", F.col("kind").alias("now_kind")), "source_id")
+    parsed = normalize.normalize(out["lines"][0].unionByName(out["lines"][1]), [KV_SPEC])
+    out["rates"] = parsed.groupBy("source_id").agg(F.avg(F.col("event").isNull().cast("int")).alias("rate"))
+    return out
+
+
+@query(f"""{SHAPED}, {SETS}, {DELIMITED} SELECT ks.source_id, round(ks.distance, 4) AS keyset, round(dd.distance, 4) AS delimiters, 1.0::DOUBLE AS templates, round(sd.distance, 4) AS shapes, round(rate, 4) AS quarantine,
+  round(0.3 * ks.distance + 0.25 * dd.distance + 0.2 + 0.15 * sd.distance + 0.1 * rate, 3) AS score FROM ks JOIN sd USING (source_id) JOIN dd USING (source_id) JOIN qr USING (source_id)""")
+def drift_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fingerprints(spark, sf_dir)
+    (a, b), (pa, pb), (ha, hb) = f["lines"], f["presence"], f["shapes"]
+    parts = {
+        "keyset": drift.keyset_distance(pa, pb, f["kinds"]), "delimiters": drift.delimiter_distance(drift.delimiter_profile(a), drift.delimiter_profile(b)), "templates": drift.weighted_jaccard(drift.templates(a), drift.templates(b), "template", "share"),
+        "shapes": drift.shape_distance(ha, hb), "quarantine": f["rates"].withColumnRenamed("rate", "distance"),
+    }
+    return drift.drift_score(parts).select("source_id", *[F.round(k, 4).alias(k) for k in parts], F.round("score", 3).alias("score"))
+
+
+@query("""SELECT kind, key, count(*) AS n, count(*) FILTER ((kind = 'kv' AND key IN ('action', 'note')) OR (kind = 'json' AND key IN ('user.tags.0', 'user.tags.1', 'action'))) AS quoted, count(DISTINCT v) AS "values" FROM (
+  SELECT CASE event_id % 6 WHEN 0 THEN 'kv' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'cef' ELSE 'leef' END AS kind, unnest(CASE event_id % 6 WHEN 0 THEN [{'key': 'ts', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'user', 'v': 'u' || user_id}, {'key': 'action', 'v': event_type}, {'key': 'value', 'v': CAST(value AS VARCHAR)}, {'key': 'port', 'v': CAST((event_id * 37) % 70000 AS VARCHAR)}]
+      || CASE WHEN event_id % 11 <> 0 THEN [{'key': 'ip', 'v': '10.0.' || (user_id % 4) || '.' || (event_id % 250)}] ELSE [] END || CASE WHEN event_id % 17 = 0 THEN [{'key': 'note', 'v': 'ope'}] ELSE [] END
+    WHEN 1 THEN [{'key': 'col_0', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'col_1', 'v': CAST(user_id AS VARCHAR)}, {'key': 'col_2', 'v': event_type}, {'key': 'col_3', 'v': CAST(value AS VARCHAR)}, {'key': 'col_4', 'v': 'a, "' || event_id || '"'}, {'key': 'col_5', 'v': 'x'}, {'key': 'col_6', 'v': ''}]
+    WHEN 2 THEN [{'key': 'ts', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'user.id', 'v': CAST(user_id AS VARCHAR)}, {'key': 'user.tags.0', 'v': 't' || (event_id % 3)}, {'key': 'user.tags.1', 'v': 't' || (event_id % 5)}, {'key': 'action', 'v': event_type}, {'key': 'value', 'v': CAST(value AS VARCHAR)}, {'key': 'none', 'v': 'null'}, {'key': 'props.k', 'v': json_extract_string(props, '$.k')}]
+    WHEN 3 THEN [{'key': 'cef_version', 'v': '0'}, {'key': 'device_vendor', 'v': 'Acme'}, {'key': 'device_product', 'v': 'Gate|way'}, {'key': 'device_version', 'v': '1.0'}, {'key': 'signature_id', 'v': CAST(event_id % 7 AS VARCHAR)}, {'key': 'name', 'v': event_type}, {'key': 'severity', 'v': CAST(event_id % 10 AS VARCHAR)}, {'key': 'rt', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'suser', 'v': 'user ' || user_id}, {'key': 'msg', 'v': 'a=b'}, {'key': 'act', 'v': event_type}, {'key': 'cn1', 'v': CAST(value AS VARCHAR)}]
+    WHEN 4 THEN [{'key': 'leef_version', 'v': '2.0'}, {'key': 'vendor', 'v': 'Acme'}, {'key': 'product', 'v': 'Gate'}, {'key': 'version', 'v': '1.0'}, {'key': 'event_id', 'v': event_type}, {'key': 'usrName', 'v': 'u' || user_id}, {'key': 'devTime', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'note', 'v': 'a b'}, {'key': 'value', 'v': CAST(value AS VARCHAR)}] ELSE [] END, recursive := true) FROM events WHERE event_id % 6 <> 5) GROUP BY ALL""")
+def field_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = mixed_lines(spark, sf_dir)
+    kind = values.line_kind(F.col("raw"))
+    found = drift.fields(lines, kind).join(lines.select("record_id", kind.alias("kind")), "record_id")
+    return found.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("quoted").alias("quoted"), F.count_distinct("value").alias("values"))
 
 
 @query("""WITH t AS (SELECT 's' || (user_id % 5) AS source_id, 5 + CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END AS t FROM events),
@@ -205,25 +323,49 @@ def dominant_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.dominant_structure(lines, drift.fields(lines)).withColumn("share", F.round("share", 6))
 
 
-@query("""WITH s AS (SELECT user_id AS source_id, count(*) FILTER (event_type <> 'error') AS parsed, count(*) FILTER (event_type = 'error') AS quarantined, (user_id % 10) / 10.0 AS score FROM events GROUP BY user_id)
-SELECT source_id, CASE WHEN parsed + quarantined < 50 THEN 'needs_samples' WHEN quarantined >= 50 AND score >= 0.8 THEN 'propose' WHEN score >= 0.35 OR quarantined / (parsed + quarantined) >= 0.2 THEN 'alert' WHEN parsed >= 50 THEN 'baseline' ELSE 'none' END AS decision FROM s""")
+@query("""WITH k AS (SELECT 's' || (user_id % 5) AS source_id, 7 - CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END AS w, count(*) AS n FROM events GROUP BY ALL) SELECT source_id, round(max(n) / sum(n), 6) AS share, round(sum(w * n) / sum(n), 6) AS columns FROM k GROUP BY 1""")
+def csv_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    raw = F.concat_ws(",", F.lit("a"), e.cast("string"), F.lit('"b,c"'), F.lit(""), F.lit("d"), F.lit("e"), F.when(e % 3 != 0, "f"), F.when(e % 7 == 0, "g,h"))
+    lines = events(spark, sf_dir).select(e.alias("record_id"), F.concat(F.lit("s"), F.col("user_id") % 5).alias("source_id"), raw.alias("raw"))
+    found = drift.fields(lines, F.lit("csv"))
+    share = drift.dominant_structure(lines, found, csv_lines=True)
+    return share.join(drift.csv_columns(found, lines), "source_id").select("source_id", F.round("share", 6).alias("share"), F.round("columns", 6).alias("columns"))
+
+
+MIX = "CASE WHEN event_id % 11 = 0 AND user_id % 2 = 0 THEN 'r' || (user_id % 3) ELSE 'b' || (user_id % 10) END"
+DECIDED = f"""s AS (SELECT {MIX} AS source_id, count(*) FILTER ({KV_OK}) AS parsed, count(*) FILTER (NOT {KV_OK}) AS quarantined FROM events GROUP BY 1),
+k AS (SELECT {MIX} AS source_id, event_id % 11 = 0 AS a, event_id % 17 = 0 AS c, count(*) AS n FROM events WHERE NOT {KV_OK} GROUP BY ALL), t AS (SELECT source_id, max(n) / sum(n) AS structure FROM k GROUP BY 1),
+d AS (SELECT s.source_id, CASE WHEN parsed + quarantined < 50 THEN 'needs_samples' WHEN round(quarantined / (parsed + quarantined), 4) < 0.35 AND quarantined / (parsed + quarantined) <= 0.2 THEN CASE WHEN parsed > 0 THEN 'baseline' ELSE 'none' END
+  WHEN quarantined < 50 OR coalesce(structure, 0) < 0.8 THEN 'alert' ELSE 'proposal' END AS decision FROM s LEFT JOIN t USING (source_id))"""
+
+
+def decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions of sources that have no baseline yet (the score is the rate of rejects), and the lines that were parsed."""
+    e, u = F.col("record_id"), F.regexp_extract("raw", " user=u([0-9]+)", 1).cast("int")
+    lines = kv_lines(spark, sf_dir).withColumn("source_id", F.when((e % 11 == 0) & (u % 2 == 0), F.concat(F.lit("r"), u % 3)).otherwise(F.concat(F.lit("b"), u % 10)))
+    fine, rest = normalize.split(normalize.normalize(lines, [KV_SPEC]))
+    counts = fine.select("source_id", F.lit(1).alias("ok")).unionByName(rest.select("source_id", F.lit(0).alias("ok"))).groupBy("source_id").agg(F.sum("ok").alias("parsed"), F.count_if(F.col("ok") == 0).alias("quarantined"))
+    structure = drift.dominant_structure(rest, drift.fields(rest)).withColumnRenamed("share", "structure")
+    scored = counts.withColumn("score", F.round(F.col("quarantined") / (F.col("parsed") + F.col("quarantined")), 4)).join(structure, "source_id", "left")
+    return drift.decide(scored), fine
+
+
+@query(f"WITH {DECIDED} SELECT source_id, decision FROM d")
 def source_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = F.col("event_type") == "error"
-    s = events(spark, sf_dir).groupBy(F.col("user_id").alias("source_id")).agg(F.count_if(~bad).alias("parsed"), F.count_if(bad).alias("quarantined"))
-    return drift.decide(s.withColumns({"score": F.col("source_id") % 10 / 10, "structure": F.col("source_id") % 10 / 10}))
+    return decided(spark, sf_dir)[0]
 
 
-@query("SELECT source_id, record_id FROM (SELECT 's' || (user_id % 5) AS source_id, event_id AS record_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id DESC) AS k FROM events WHERE event_type <> 'error') WHERE k <= 500")
+@query(f"WITH {DECIDED}, r AS (SELECT {MIX} AS source_id, event_id AS record_id, row_number() OVER (PARTITION BY {MIX} ORDER BY event_id DESC) AS n FROM events WHERE {KV_OK}) SELECT source_id, record_id FROM r JOIN d USING (source_id) WHERE n <= 500 AND decision = 'baseline'")
 def baseline_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).filter("event_type != 'error'").select(F.concat(F.lit("s"), F.col("user_id") % 5).alias("source_id"), F.col("event_id").alias("record_id"), (-F.col("event_id")).alias("_o"))
-    return serve.samples(rows, 500, order="_o").drop("_o")
+    decisions, fine = decided(spark, sf_dir)
+    healthy = fine.join(decisions.filter("decision = 'baseline'").select("source_id"), "source_id", "left_semi")
+    return serve.samples(healthy.select("source_id", "record_id", (-F.col("record_id")).alias("_o")), 500, order="_o").drop("_o")
 
 
-@query("""SELECT 's' || (user_id % 5) AS source_id, (event_id % 11 = 0)::INT + 2 * (event_id % 13 = 0)::INT + 4 * (event_id % 17 = 0)::INT AS form, count(*) AS lines FROM events GROUP BY ALL""")
+@query(f"""SELECT 's' || (user_id % 5) AS source_id, 5 + CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END AS words, count(*) AS lines FROM events GROUP BY ALL""")
 def log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = drift.templates(kv_lines(spark, sf_dir))
-    form = F.when(F.col("template").contains(" ip="), 0).otherwise(1) + F.when(F.col("template").rlike("user=.* user="), 2).otherwise(0) + F.when(F.col("template").contains("note="), 4).otherwise(0)
-    return t.groupBy("source_id", form.alias("form")).agg(F.sum("lines").alias("lines"))
+    return drift.templates(kv_lines(spark, sf_dir)).select("source_id", F.size(F.split("template", " ")).alias("words"), "lines")
 
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,12 +404,10 @@ def export_hec_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("source_id", "batch").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
 
 
-@query("SELECT DISTINCT 's' || (user_id % 5) AS source_id, 'keys renamed: user->usr | value shape of note changed: qstr->word | quarantine rate 0.25' AS signals FROM events")
+@query(f"""{SHAPED}, {SETS} SELECT sk.source_id, 'keys renamed: user->usr | value shape of action changed: qstr->word' || CASE WHEN max(CASE WHEN key = 'note' THEN sides END) = 2 THEN ' | value shape of note changed: qstr->word' ELSE '' END || ' | quarantine rate ' || printf('%.2f', any_value(rate)) AS signals FROM sk JOIN qr USING (source_id) GROUP BY 1""")
 def drift_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (fa, a), (fb, b) = ((drift.fields(x), x) for x in halves(spark, sf_dir))
-    ha, hb = drift.shape_histogram(fa.filter("key != 'value'")), drift.shape_histogram(fb.filter("key != 'value'"))
-    changes = drift.key_changes(drift.key_presence(fa, a), drift.key_presence(fb, b))
-    kinds = drift.dominant_kind(a).select("source_id", F.col("kind").alias("base_kind")).join(drift.dominant_kind(b).select("source_id", F.col("kind").alias("now_kind")), "source_id")
-    rates = kinds.select("source_id", F.lit(0.25).alias("rate"))
-    found = drift.signals(kinds, changes, drift.rename_candidates(changes, ha, hb), ha, hb, rates)
+    f = fingerprints(spark, sf_dir)
+    (pa, pb), (ha, hb) = f["presence"], f["shapes"]
+    changes = drift.key_changes(pa, pb)
+    found = drift.signals(f["kinds"], changes, drift.rename_candidates(changes, ha, hb), ha, hb, f["rates"])
     return found.select("source_id", F.array_join("signals", " | ").alias("signals"))

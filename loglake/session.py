@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +25,22 @@ def get_session(app: str = "loglake", master: str | None = None, **conf: str) ->
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors of a cluster, once; operators with work in Python call it."""
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master) and not getattr(context, "_loglake_sent", False):
+        root = Path(__file__).resolve().parents[1]
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='loglake-')}/loglake", "zip", root, "loglake"))
+        context._loglake_sent = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset a folder of our own on one machine, an error on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_loglake_work", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = spark._loglake_work = "file://" + tempfile.mkdtemp(prefix="loglake-")
+    return where.rstrip("/")
