@@ -99,7 +99,8 @@ def event_filter(ip: str | None = None, source: str | None = None, severity: lis
             out = out & F.coalesce(F.col(column) == value, F.lit(False))
     for kind, value in (("user", user), ("host", host)):
         if value is not None:
-            out = out & F.coalesce(F.exists("entities", lambda e, k=kind, v=value: (e["type"] == k) & (e["id"] == v)), F.lit(False))
+            wanted = F.array_contains(F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["id"])), f"{kind}:{value}")
+            out = out & F.coalesce(wanted, F.lit(False))
     if current:
         out = out & F.col("is_current")
     if ip is not None:

@@ -101,7 +101,7 @@ def twin_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT {S}, 'c6_act' AS field, count(DISTINCT event_type) AS values FROM events GROUP BY 1 UNION ALL SELECT {S}, 'c11_proto', 2 FROM events GROUP BY 1 UNION ALL SELECT {S}, 'c12_level', 3 FROM events GROUP BY 1""")
 def routing_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wide(spark, sf_dir).drop("record_id")
-    return columns.routing_keys(columns.long_form(rows, [f for f in FIELDS if f != "c13_day"]), rows)
+    return columns.routing_keys(columns.long_form(rows, [f for f in FIELDS if f not in ("c10_user", "c13_day")]), rows)
 
 
 @query(f"""SELECT 's' || (user_id % 5) AS source_id, count(*) AS samples, count(*) FILTER ({KV_OK}) AS parsed, count(*) FILTER (NOT {KV_OK}) AS failed, round(avg(CASE WHEN {KV_OK} THEN 1 ELSE 0 END), 6) AS match_rate FROM events GROUP BY 1""")
