@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import ann, chat, decontaminate, htmltext, minhash, pieces, quality, sharding, tokencount, urlfilter
+from loglake.llm import alignment, ann, chat, decontaminate, htmltext, minhash, pieces, quality, sharding, tokencount, urlfilter
 from loglake.llm.shared import table
 
 SHARDS = 40
@@ -69,6 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, urlfilter.RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), alignment.ByteTokens(), alignment.PieceTokens())
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_neighbours": op9_neighbours,
     "op10_url_filter": op10_url_filter,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLES = {

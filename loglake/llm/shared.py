@@ -33,9 +33,10 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(store(df, name, **options))
 
 
-def store(df: DataFrame, name: str, **options: str) -> str:
+def store(df: DataFrame, name: str, partition: str | None = None, **options: str) -> str:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
     _written.setdefault(id(df.sparkSession.sparkContext), set()).add(path)
     return path
 
