@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import alignment, ann, chat, decontaminate, htmltext, minhash, pieces, quality, sharding, tokencount, urlfilter, whitening
+from loglake.llm import alignment, ann, chat, decontaminate, htmltext, minhash, pieces, quality, repeats, sharding, tokencount, urlfilter, whitening
 from loglake.llm.shared import table
 
 SHARDS = 40
@@ -73,6 +73,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"), alignment.ByteTokens(), alignment.PieceTokens())
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_url_filter": op10_url_filter,
     "op11_alignment": op11_alignment,
+    "op12_repeats": op12_repeats,
     "op13_whitening": op13_whitening,
 }
 

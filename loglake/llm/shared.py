@@ -56,6 +56,12 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release_table(spark: SparkSession, name: str) -> None:
+    """Forgets a table of the catalog and deletes its files in the shared folder."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    discard(spark, f"{shared_dir(spark)}/{name}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
