@@ -6,13 +6,13 @@ smaller id; all is judged on the input, and matches never cross documents.
 1. Equal texts are one: the row with the least id is looked at, its copies go whole (if they are long enough to hold a passage).
 2. The passage at each byte is filed under the least hash of the short strings in it. Equal passages have equal keys, and neighbours share keys, so that
    a key a run of about eighteen passages is enough. Chunks of documents list their keys; keys that one document alone has are done with.
-3. The other runs are cut out (as pieces) and dealt by key. ``suffix_order`` sorts the suffixes of a block of pieces: those smaller than their successors
-   directly, the rest induced from these by scans of the buckets of first bytes. ``common_prefixes`` of neighbours in that order tell equal passages
-   apart from others, and the least document of each class is known.
-4. Pieces whose passages a smaller document holds go back to their documents, where the bytes to go are joined to spans.
+3. The other runs are cut out (as pieces) and dealt by key, equal ones of a chunk once. ``suffix_order`` sorts the suffixes of a block of pieces: those
+   smaller than their successors directly, the rest induced from these by scans of the buckets of first bytes. ``common_prefixes`` of neighbours in that
+   order tell equal passages apart from others, and the least document of each class is known.
+4. What was found goes back to the chunks, where the bytes to go are joined to spans.
 
 A key that very many pieces share (``HOT``: say, one line of a third of all documents, with other text around it each time) isn't sorted in one block:
-its passages are counted one by one in Spark, with partial sums, and joined back.
+each of its passages is a piece of its own there and dealt by its bytes.
 
 Null texts are empty. Rows with a null id keep all and take nothing from others. Rows that share an id don't take from each other. An empty table gives
 no rows. Ids are numbers. Other columns are not read.
@@ -26,36 +26,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loglake.llm.alignment import bounds
 from loglake.llm.shared import release_table, shared_dir, ship, stored
 
 LENGTH = 50
 #: Bytes of the short strings that keys are made of.
-SHORT = 16
+SHORT = 24
 #: Passages of a piece at most, bytes of a block of pieces, pieces that one key may send to a block.
 RUN, BLOCK, HOT = 64, 2 << 20, 4096
-#: Bytes of a chunk of documents and of what is hashed at once; keys of a bucket; most files that chunks are dealt to.
-CHUNK, STEP, BUCKET, FILES = 4 << 20, 1 << 20, 1 << 20, 50_000
+#: Bytes of a chunk of documents and of what is hashed at once; keys of a list's bucket; most files that chunks are dealt to.
+CHUNK, STEP, BUCKET, FILES = 8 << 20, 1 << 20, 1 << 20, 50_000
+#: Bytes of text that send their pieces to one task.
+SORTED = 16 << 20
+#: Bits by which keys are compared in a bucket; another key that looks the same costs work, not right results.
+BITS = 40
 #: Bytes of a sort key: seven values of nine bits, so that the end of a piece is less than any byte.
 WORD = 7
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LETTERS = np.random.default_rng(20240512).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(32))
 
 
 def hashes(data: np.ndarray, width: int = SHORT) -> np.ndarray:
-    """Mixed polynomial hashes of all strings of ``width`` bytes (a power of two), by doubling."""
-    h, factor, size = data.astype(np.uint64) + np.uint64(1), MULTIPLIER, 1
-    while size < width:
-        h = h[:-size] * factor + h[size:]
-        factor = factor * factor
-        size *= 2
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+    """Mixed polynomial hashes of all strings of ``width`` bytes, put together from strings of powers of two."""
+    with np.errstate(over="ignore"):
+        block, factor, size = LETTERS[data], MULTIPLIER, 1
+        out, done = None, 0
+        while True:
+            if width & size:
+                out = block if out is None else block[: len(block) - done] * out_factor + out[size:] if done else block
+                out_factor = factor if not done else out_factor * factor
+                done += size
+            if done == width:
+                return mixed(out[: len(data) - width + 1])
+            block = block[: len(block) - size] * factor + block[size:]
+            factor = factor * factor
+            size *= 2
 
 
 def least_of(h: np.ndarray, width: int) -> np.ndarray:
@@ -86,7 +104,16 @@ def runs(data: np.ndarray, at: np.ndarray, length: int, short: int) -> tuple[np.
     which = np.repeat(np.arange(len(first)), parts)
     k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
     first, stop = first[which] + k * RUN, np.minimum(first[which] + (k + 1) * RUN, stop[which])
-    return of[first], first, stop, key[first]
+    return of[first], first, stop, mixed(key[first])  # the least of several are not spread evenly until mixed again
+
+
+def contents(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the strings data[first:stop]."""
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.append(np.uint64(1), np.full(len(data), MULTIPLIER)))
+        back = np.cumprod(np.append(np.uint64(1), np.full(len(data), INVERSE)))
+        total = np.append(np.uint64(0), np.cumsum(LETTERS[data] * power[:-1]))
+        return mixed((total[stop] - total[first]) * back[first])
 
 
 def steps(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
@@ -209,14 +236,14 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
     return shared
 
 
-def classes(pieces: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each passage of the pieces (one piece after another) its piece and the least owner of any piece that holds the passage."""
-    sizes = np.array([len(p) for p in pieces])
-    text = np.frombuffer(b"".join(p + b"\0" for p in pieces), np.uint8).astype(np.uint16) + np.uint16(1)
+def classes(data: np.ndarray, at: np.ndarray, owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage of the pieces (one after another, ``at``: bounds) its piece and the least owner of any piece that holds the passage."""
+    sizes = np.diff(at)
+    of = np.repeat(np.arange(len(sizes)), sizes + 1)
     ends = np.cumsum(sizes + 1) - 1
-    text[ends] = 0
+    text = np.zeros(len(of), np.uint16)
+    text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data.astype(np.uint16) + np.uint16(1)
     order = suffix_order(text, length)
-    of = np.repeat(np.arange(len(pieces)), sizes + 1)
     whole = ends[of] - np.arange(len(text)) >= length
     order = order[whole[order]]
     new = common_prefixes(text, order, length) < length
@@ -228,163 +255,268 @@ def classes(pieces: list[bytes], owners: np.ndarray, length: int) -> tuple[np.nd
     return of[held], out[held]
 
 
-def earlier_passages(pieces: DataFrame, length: int) -> DataFrame:
-    """(pid, a, b, least): passages a to b - 1 of the piece whose least owner is less than an owner of the piece. Pieces (h, pid, piece, lo, hi)."""
-
-    def block(keys: list, texts: list, lo: list, hi: list) -> pa.RecordBatch | None:
-        if not keys:
-            return None
-        of, least = classes(texts, np.array(lo, np.int64), length)
-        new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (least[1:] != least[:-1])))
-        piece, first = of[new], new - np.searchsorted(of, of[new])
-        stop = np.append(new[1:], len(of)) - np.searchsorted(of, of[new])
-        keep = least[new] < np.array(hi, np.int64)[piece]
-        piece, first, stop, least = piece[keep], first[keep], stop[keep], least[new][keep]
-        return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in piece.tolist()], pa.binary()), pa.array(first, pa.int32()), pa.array(stop, pa.int32()), pa.array(least, pa.int64())], names=["pid", "a", "b", "least"])
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Rising numbers of ``BITS`` bits as differences, byte planes apart."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(BITS // 8, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : BITS // 8] = planes.T
+    return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64)
+
+
+def cuts(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where stretches of one value begin and end."""
+    begins = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist() if len(values) else []
+    return begins, [*begins[1:], len(values)] if begins else []
+
+
+class Chunk:
+    """Texts of a chunk, one after another, in the order of their rows, with runs as they are asked for."""
+
+    def __init__(self, rows: np.ndarray, docs: np.ndarray, texts: list[str], length: int, short: int):
+        order = np.argsort(rows, kind="stable")
+        self.rows, self.docs, self.length, self.short = rows[order], docs[order], length, short
+        self.texts = [texts[k].encode() for k in order.tolist()]
+        self.at = bounds([len(t) for t in self.texts])
+
+    def runs(self) -> Iterator[tuple]:
+        """(text, first place in the chunk, passages, key, content) of runs, a step's at a time."""
+        for data, at, parts in steps(self.texts, self.length):
+            of, first, stop, key = runs(data, at, self.length, self.short)
+            which, offset = np.array([k for k, _ in parts]), np.array([a for _, a in parts])
+            yield which[of], self.at[which[of]] + offset[of] + first - at[of], stop - first, key, data, first
+
+    def pieces(self, wanted: np.ndarray, hot: np.ndarray, shift: int, buckets: int) -> dict:
+        """Runs whose keys (shifted) are wanted, hot ones passage by passage; equal pieces are numbered once, by bucket."""
+        every = []
+        for of, place, size, key, data, first in self.runs():
+            near = np.minimum(np.searchsorted(wanted, key >> np.uint64(shift)), len(wanted) - 1)
+            held = wanted[near] == key >> np.uint64(shift)
+            of, place, size, key, first, split = of[held], place[held], size[held], key[held], first[held], hot[near[held]]
+            times = np.where(split, size, 1)
+            lane = np.repeat(np.arange(len(of)), times)
+            inner = np.arange(len(lane)) - np.repeat(np.cumsum(times) - times, times)
+            of, place, first, split = of[lane], place[lane] + inner, first[lane] + inner, split[lane]
+            size = np.where(split, 1, size[lane])
+            content = contents(data, first, first + size + self.length - 1)
+            every.append((of, place, size, np.where(split, content, key[lane]), content, split))
+        of, place, size, key, content, split = (np.concatenate(c) for c in zip(*every))
+        bucket = ((mixed(key) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) + np.where(split, buckets, 0)
+        order = np.lexsort((size, content, key, bucket))
+        of, place, size, key, content, bucket = (c[order] for c in (of, place, size, key, content, bucket))
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (size[1:] != size[:-1])) if len(of) else np.empty(0, bool)
+        starts = np.flatnonzero(new)
+        owner = self.docs[of]
+        found = {"of": of, "place": place, "piece": np.cumsum(new) - 1, "bucket": bucket[starts], "start": place[starts], "size": size[starts] + self.length - 1}
+        if len(starts):
+            found |= {"lo": np.minimum.reduceat(owner, starts), "hi": np.maximum.reduceat(owner, starts)}
+        return found
+
+
+def key_lists(texts: DataFrame, bits: int, length: int, short: int) -> DataFrame:
+    """(bucket, of, keys, held): per chunk its keys by bucket, with the pieces that have the key (twice the number, plus one if several documents have it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, lo, hi, size, last = [], [], [], [], 0, None
-        for batch in batches:
-            for h, pid, piece, low, high in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if keys and pid == keys[-1]:
-                    lo[-1], hi[-1] = min(lo[-1], low), max(hi[-1], high)
-                    continue
-                if size >= BLOCK and h != last:
-                    yield block(keys, texts, lo, hi)
-                    keys, texts, lo, hi, size = [], [], [], [], 0
-                last = h
-                keys.append(pid)
-                texts.append(piece)
-                lo.append(low)
-                hi.append(high)
-                size += len(piece) + 1
-        if (out := block(keys, texts, lo, hi)) is not None:
-            yield out
-
-    return pieces.select("h", "pid", "piece", "lo", "hi").repartition("h").sortWithinPartitions("h", "pid").mapInArrow(run, "pid binary, a int, b int, least bigint")
-
-
-def earlier_one_by_one(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for keys that too many pieces share: every passage is a row."""
-    each = pieces.select("pid", "piece", "lo", "hi", F.explode(F.sequence(F.lit(0), F.length("piece") - length)).alias("a")).select("pid", "hi", "a", "lo", F.expr(f"substring(piece, a + 1, {length})").alias("passage"))
-    least = each.groupBy("passage").agg(F.min("lo").alias("least"))
-    return each.join(least, "passage").filter("least < hi").select("pid", "a", (F.col("a") + 1).alias("b"), "least").distinct()
-
-
-def shared_keys(texts: DataFrame, total: int, length: int, short: int) -> DataFrame:
-    """(of, keys): per chunk its keys that more than one document has."""
-    buckets = max(1, -(-(2 * total) // ((length - short + 2) * BUCKET)))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks = batch.column(0).to_numpy()
-            for chunk in np.unique(chunks):  # rows of a chunk that come in two batches give two lists
-                rows = np.flatnonzero(chunks == chunk)
-                data = [batch.column(2)[int(k)].as_py().encode() for k in rows]
-                ids = batch.column(1).to_numpy()[rows]
-                keys, owners = [], []
-                for joint, at, parts in steps(data, length):
-                    of, _, _, key = runs(joint, at, length, short)
-                    keys.append(key)
-                    owners.append(ids[np.array([k for k, _ in parts])[of]])
-                key, owner = np.concatenate(keys), np.concatenate(owners)
+            for name in np.unique(chunks):  # rows of a chunk that come in two batches give two lists
+                at = np.flatnonzero(chunks == name)
+                chunk = Chunk(at, batch.column(1).to_numpy()[at], [batch.column(2)[int(k)].as_py() for k in at], length, short)
+                parts = [(key >> np.uint64(24 - bits), contents(data, first, first + size + length - 1), chunk.docs[of]) for of, _, size, key, data, first in chunk.runs()]
+                key, content, owner = (np.concatenate(c) for c in zip(*parts))
                 if not len(key):
                     continue
-                order = np.argsort(key, kind="stable")
-                key, owner = key[order], owner[order]
+                order = np.lexsort((content, key))
+                key, content, owner = key[order], content[order], owner[order]
                 starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                key, lo, hi = key[starts], np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)
-                bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                ends = [*cuts[1:], len(key)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[cuts].astype(np.int32)),
-                        pa.array(np.full(len(cuts), chunk)),
-                        pa.array(np.full(len(cuts), owner.min())),
-                        pa.array(np.full(len(cuts), owner.max())),
-                        pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                        pa.array([np.packbits(lo[a:b] != hi[a:b]).tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                    ],
-                    names=["bucket", "chunk", "lo", "hi", "keys", "many"],
-                )
-
-    def met(lists: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in lists.column("keys").to_pylist()]
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool) for m, k in zip(lists.column("many").to_pylist(), keys)])
-        place = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        key = np.concatenate(keys)
+                several = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
+                pieces = np.add.reduceat(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])).astype(np.int64), starts)
+                held = (2 * np.minimum(pieces, 1 << 14) + several).astype("<u2")
+                key = key[starts]
+                bucket = (key >> np.uint64(BITS)).astype(np.int32)
+                rest = key & np.uint64((1 << BITS) - 1)
+                begins, ends = cuts(bucket)
+                lists = [pa.array(bucket[begins]), pa.array(np.full(len(begins), name)), pa.array([pack_keys(rest[a:b]) for a, b in zip(begins, ends)], pa.binary()), pa.array([held[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(lists, names=["bucket", "of", "keys", "held"])
+
+    return texts.select("chunk", "doc", "text").mapInArrow(run, "bucket int, of bigint, keys binary, held binary")
+
+
+def shared_keys(lists: DataFrame) -> DataFrame:
+    """(of, bucket, keys, held): what is left of each list are the keys that several documents have; held tells which of them are hot."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        lists = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+        held = np.concatenate([np.frombuffer(h, "<u2") for h in table.column("held").to_pylist()]).astype(np.int64)
+        place = np.repeat(np.arange(len(lists)), [len(k) for k in lists])
+        key = np.concatenate(lists)
         order = np.argsort(key, kind="stable")
-        key, place, many = key[order], place[order], many[order]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         size = np.diff(np.append(starts, len(key)))
-        ok = np.repeat((size > 1) | np.logical_or.reduceat(many, starts), size)
-        key, place = key[ok], place[ok]
-        order = np.argsort(place, kind="stable")
-        key, place = key[order], place[order]
-        cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else []
-        chunk = lists.column("chunk").to_numpy()
-        return pa.table([pa.array([chunk[place[a]] for a in cuts], pa.int64()), pa.array([key[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(key)])], pa.binary())], names=["of", "keys"])
+        several = (size > 1) | (np.maximum.reduceat(held[order] & 1, starts) > 0)
+        many = np.add.reduceat(held[order] >> 1, starts) > HOT
+        keep, hot = np.empty(len(key), bool), np.empty(len(key), bool)
+        keep[order], hot[order] = np.repeat(several, size), np.repeat(many, size)
+        key, place, hot = key[keep], place[keep], hot[keep]
+        begins, ends = cuts(place)
+        rows = place[begins]
+        return pa.table([table.column("of").take(pa.array(rows)), table.column("bucket").take(pa.array(rows)), pa.array([pack_keys(key[a:b]) for a, b in zip(begins, ends)], pa.binary()), pa.array([np.packbits(hot[a:b]).tobytes() for a, b in zip(begins, ends)], pa.binary())], names=["of", "bucket", "keys", "held"])
+
+    return lists.groupBy("bucket").applyInArrow(meet, "of bigint, bucket int, keys binary, held binary")
+
+
+def wanted_keys(lists: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Shifted keys of a chunk, rising, and which are hot."""
+    keys, hot = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+    for bucket, k, h in zip(lists.column("bucket").to_pylist(), lists.column("keys").to_pylist(), lists.column("held").to_pylist(), strict=True):
+        keys.append(unpack_keys(k) + (np.uint64(bucket) << np.uint64(BITS)))
+        hot.append(np.unpackbits(np.frombuffer(h, np.uint8), count=len(keys[-1])).astype(bool))
+    key, hot = np.concatenate(keys), np.concatenate(hot)
+    order = np.argsort(key, kind="stable")
+    return key[order], hot[order]
+
+
+def chunk_of(left: pa.Table, length: int, short: int) -> Chunk:
+    return Chunk(left.column("row").to_numpy(), left.column("doc").to_numpy(), left.column("text").to_pylist(), length, short)
 
-    lists = texts.select("chunk", "doc", "text").mapInArrow(listed, "bucket int, chunk bigint, lo bigint, hi bigint, keys binary, many binary")
-    return lists.groupBy("bucket").applyInArrow(met, "of bigint, keys binary")
 
+def squeeze(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(a.tobytes() for a in arrays), "zstd", asbytes=True)
 
-def cut_pieces(texts: DataFrame, keys: DataFrame, length: int, short: int) -> DataFrame:
-    """(h, pid, piece, lo, hi, chunk, docs, rows, places): the runs with shared keys, equal ones of a chunk once, with documents, rows and places."""
+
+def cut_pieces(texts: DataFrame, keys: DataFrame, bits: int, buckets: int, length: int, short: int) -> DataFrame:
+    """(sorter, of, n, size, pieces): a chunk's pieces for a sorting task: sizes, least and largest documents, bytes."""
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict = {}
-        wanted = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in right.column("keys").to_pylist()])) if right.num_rows else np.empty(0, np.uint64)
-        if len(wanted):
-            data = [t.encode() for t in left.column("text").to_pylist()]
-            docs, rows = left.column("doc").to_pylist(), left.column("row").to_pylist()
-            for joint, at, parts in steps(data, length):
-                of, first, stop, key = runs(joint, at, length, short)
-                near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                held = wanted[near] == key
-                text = joint.tobytes()
-                for d, a, b, h in zip(of[held].tolist(), first[held].tolist(), stop[held].tolist(), key[held].astype(np.int64).tolist()):
-                    k, offset = parts[d]
-                    found.setdefault((h, text[a : b + length - 1]), []).append((docs[k], rows[k], a - int(at[d]) + offset))
-        out = [(h, hashlib.blake2b(p, digest_size=16).digest(), p, min(x)[0], max(x)[0], [y[0] for y in x], [y[1] for y in x], [y[2] for y in x]) for (h, p), x in found.items()]
-        cols = list(zip(*out)) if out else [[] for _ in range(8)]
-        kind = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
-        chunk = left.column("chunk")[0].as_py() if left.num_rows else None
-        arrays = [pa.array(c, t) for c, t in zip(cols, kind, strict=True)]
-        return pa.table([*arrays[:5], pa.array([chunk] * len(out), pa.int64()), *arrays[5:]], names=["h", "pid", "piece", "lo", "hi", "of", "docs", "rows", "places"])
-
-    return texts.groupBy("chunk").cogroup(keys.groupBy("of")).applyInArrow(cut, "h bigint, pid binary, piece binary, lo bigint, hi bigint, of bigint, docs array<bigint>, rows array<bigint>, places array<bigint>")
-
-
-def without_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(key, n_removed, n_spans, kept_sha256) of the texts, given (of, row, s, e): bytes s to e - 1 of the row go."""
+        rows = []
+        wanted, hot = wanted_keys(right)
+        if len(wanted) and left.num_rows:
+            chunk = chunk_of(left, length, short)
+            x = chunk.pieces(wanted, hot, 24 - bits, buckets)
+            text = np.frombuffer(b"".join(chunk.texts), np.uint8)
+            for a, b in zip(*cuts(x["bucket"])):
+                size, start = x["size"][a:b], x["start"][a:b]
+                data = text[np.repeat(start - bounds(size)[:-1], size) + np.arange(size.sum())]
+                rows.append((int(x["bucket"][a]), b - a, len(data), squeeze(size.astype("<u2"), x["lo"][a:b], x["hi"][a:b], data)))
+        name = left.column("chunk")[0].as_py() if left.num_rows else None
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip([cols[0], [name] * len(rows), *cols[1:]], kinds, strict=True)], names=["sorter", "of", "n", "size", "pieces"])
+
+    return texts.groupBy("chunk").cogroup(keys.groupBy("of")).applyInArrow(cut, "sorter int, of bigint, n bigint, size bigint, pieces binary")
+
+
+def earlier_passages(pieces: DataFrame, length: int, short: int) -> DataFrame:
+    """(of, sorter, n, found): for a chunk's pieces the runs of passages (piece, first, end, least document) that a document less than one of the piece's has."""
+
+    def sort(table: pa.Table) -> pa.Table:
+        sizes, lo, hi, data, of = [], [], [], [], []
+        for k, (n, size, blob) in enumerate(zip(*(table.column(c).to_pylist() for c in ("n", "size", "pieces")), strict=True)):
+            raw = pa.decompress(blob, 18 * n + size, "zstd")
+            sizes.append(np.frombuffer(raw, "<u2", n).astype(np.int64))
+            lo.append(np.frombuffer(raw, np.int64, n, 2 * n))
+            hi.append(np.frombuffer(raw, np.int64, n, 10 * n))
+            data.append(np.frombuffer(raw, np.uint8, size, 18 * n))
+            of.append(np.full(n, k))
+        size, lo, hi, data, of = (np.concatenate(c) for c in (sizes, lo, hi, data, of))
+        at = bounds(size)
+        key = np.empty(len(size), np.uint64)
+        content = np.empty(len(size), np.uint64)
+        hot = table.column("hot")[0].as_py()
+        for a, b in stretches(at, STEP):
+            part, own = data[at[a] : at[b]], at[a : b + 1] - at[a]
+            content[a:b] = contents(part, own[:-1], own[1:])
+            key[a:b] = content[a:b] if hot else least_of(hashes(part, short), length - short + 1)[own[:-1]]
+        order = np.lexsort((size, content, key))  # equal pieces of several chunks are sorted once
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1]) | (size[order][1:] != size[order][:-1]))
+        starts = np.flatnonzero(new)
+        one, least, most = order[starts], np.minimum.reduceat(lo[order], starts), np.maximum.reduceat(hi[order], starts)
+        alike = np.empty(len(size), np.int64)
+        alike[order] = np.cumsum(new) - 1
+        found = []
+        fresh = np.append(True, key[one][1:] != key[one][:-1])
+        for a, b in stretches(bounds(size[one] + 1), BLOCK, fresh):
+            own = bounds(size[one[a:b]])
+            text = data[np.repeat(at[one[a:b]] - own[:-1], size[one[a:b]]) + np.arange(own[-1])]
+            piece, by = classes(text, own, least[a:b], length)
+            begin = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (by[1:] != by[:-1])))
+            zero = np.searchsorted(piece, piece[begin])
+            end = np.append(begin[1:], len(piece))
+            keep = by[begin] < most[a:b][piece[begin]]
+            found.append(np.stack([piece[begin] + a, begin - zero, end - zero, by[begin]])[:, keep])
+        found = np.concatenate(found, axis=1)
+        span = np.searchsorted(found[0], np.arange(len(starts) + 1))
+        rows = []
+        for k, (a, b) in enumerate(zip(bounds(np.bincount(of))[:-1].tolist(), bounds(np.bincount(of))[1:].tolist())):
+            mine = alike[a:b]
+            times = span[mine + 1] - span[mine]
+            lane = np.repeat(np.arange(b - a), times)
+            at_run = np.repeat(span[mine] - (np.cumsum(times) - times), times) + np.arange(len(lane))
+            keep = found[3][at_run] < hi[a:b][lane]
+            if keep.any():
+                rows.append((k, int(keep.sum()), squeeze(lane[keep].astype("<i4"), *(found[j][at_run[keep]].astype(t) for j, t in ((1, "<u1"), (2, "<u1"), (3, "<i8"))))))
+        cols = list(zip(*rows)) if rows else [[]] * 3
+        return pa.table([table.column("of").take(pa.array(cols[0], pa.int64())), table.column("sorter").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["of", "sorter", "n", "found"])
+
+    return pieces.groupBy("sorter").applyInArrow(sort, "of bigint, sorter int, n bigint, found binary")
+
+
+def stretches(at: np.ndarray, size: int, fresh: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Items from one to another that are about ``size`` bytes, given their bounds; cut only before items that are fresh."""
+    n, a = len(at) - 1, 0
+    open_at = np.arange(n + 1) if fresh is None else np.append(np.flatnonzero(fresh), n)
+    while a < n:
+        b = int(open_at[min(np.searchsorted(open_at, max(int(np.searchsorted(at, at[a] + size, side="right")) - 1, a + 1)), len(open_at) - 1)])
+        yield a, b
+        a = b
+
+
+def without_spans(texts: DataFrame, told: DataFrame, bits: int, buckets: int, length: int, short: int) -> DataFrame:
+    """(key, n_removed, n_spans, kept_sha256) of the texts; told: keys (n is null) and what was found, by chunk."""
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, s, e = (right.column(c).to_numpy() for c in ("row", "s", "e"))
-        order = np.lexsort((s, row))
-        row, s, e = row[order], s[order], e[order]
+        chunk = chunk_of(left, length, short)
+        answers = right.filter(pc.is_valid(right.column("n")))
+        cover = np.zeros(int(chunk.at[-1]) + 1, np.int32)
+        if answers.num_rows:
+            x = chunk.pieces(*wanted_keys(right.filter(pc.is_null(right.column("n")))), 24 - bits, buckets)
+            first = np.searchsorted(x["bucket"], answers.column("sorter").to_numpy())
+            parts = []
+            for base, n, blob in zip(first.tolist(), answers.column("n").to_pylist(), answers.column("found").to_pylist(), strict=True):
+                raw = pa.decompress(blob, 14 * n, "zstd")
+                parts.append((np.frombuffer(raw, "<i4", n) + base, np.frombuffer(raw, "<u1", n, 4 * n), np.frombuffer(raw, "<u1", n, 5 * n), np.frombuffer(raw, "<i8", n, 6 * n)))
+            piece, a, b, least = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(piece, kind="stable")
+            piece, a, b, least = piece[order], a[order].astype(np.int64), b[order].astype(np.int64), least[order]
+            span = np.searchsorted(piece, np.arange(len(x["bucket"]) + 1))
+            times = span[x["piece"] + 1] - span[x["piece"]]
+            lane = np.repeat(np.arange(len(times)), times)
+            run = np.repeat(span[x["piece"]] - (np.cumsum(times) - times), times) + np.arange(len(lane))
+            gone = least[run] < chunk.docs[x["of"][lane]]
+            place, run = x["place"][lane[gone]], run[gone]
+            np.add.at(cover, place + a[run], 1)
+            np.add.at(cover, place + b[run] - 1 + length, -1)
+        removed = np.cumsum(cover[:-1]) > 0
+        keys = dict(zip(left.column("row").to_pylist(), left.column("key").to_pylist(), strict=True))
         out = []
-        for key, r, text in zip(left.column("key").to_pylist(), left.column("row").to_pylist(), left.column("text").to_pylist(), strict=True):
-            a, b = np.searchsorted(row, [r, r + 1])
-            data, removed, n = text.encode(), 0, 0
-            if b > a:
-                reach = np.maximum.accumulate(e[a:b])
-                new = np.flatnonzero(np.append(True, s[a + 1 : b] > reach[:-1]))
-                begins, stops = s[a:b][new].tolist(), reach[np.append(new[1:], b - a) - 1].tolist()
-                removed, n = sum(stops) - sum(begins), len(begins)
-                data = b"".join(data[x:y] for x, y in zip([0, *stops], [*begins, len(data)]))
-            out.append((key, removed, n, hashlib.sha256(data).hexdigest()))
+        for k, (row, text) in enumerate(zip(chunk.rows.tolist(), chunk.texts, strict=True)):
+            mine = removed[chunk.at[k] : chunk.at[k + 1]]
+            n = int(mine.sum())
+            kept = np.frombuffer(text, np.uint8)[~mine].tobytes() if n else text
+            out.append((keys[row], n, int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
         cols = list(zip(*out)) if out else [[] for _ in range(4)]
         return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["key", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.groupBy("chunk").cogroup(spans.groupBy("of")).applyInArrow(apply, "key binary, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return texts.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(apply, "key binary, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay)."""
-    if short & (short - 1) or length <= short:
-        raise ValueError("short strings have a power of two of bytes and are shorter than passages")
+    if not short < length <= 256 - RUN:
+        raise ValueError("short strings are shorter than passages, and a piece of these has less than 256 bytes")
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -404,14 +536,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, id
     # files are told apart by chunk, so that what chunks ask for and get comes to the texts, which move no more
     chunked.write.bucketBy(files, "chunk").sortBy("chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     texts = spark.table(name)
-    keys = shared_keys(texts, total, length, short)
-    pieces = stored(cut_pieces(texts, keys, length, short), "pieces", compression="zstd")
-    many = stored(pieces.groupBy("h").count().filter(f"count > {HOT}").select("h"), "many")
-    found = earlier_passages(pieces.join(many, "h", "left_anti"), length).union(earlier_one_by_one(pieces.join(many, "h", "left_semi"), length))
-    held = pieces.select("pid", "of", F.arrays_zip("docs", "rows", "places").alias("x")).join(found, "pid")
-    each = held.select("of", "a", "b", "least", F.explode("x").alias("x")).filter("x.docs > least")
-    spans = each.select("of", F.col("x.rows").alias("row"), (F.col("x.places") + F.col("a")).alias("s"), (F.col("x.places") + F.col("b") - 1 + length).alias("e"))
-    result = stored(without_spans(spark.table(name), spans).join(firsts.withColumnRenamed("doc", "first").drop("n_bytes"), "key"), "removed")
+    bits = min(24, max(0, (2 * total // ((length - short + 2) * BUCKET)).bit_length()))
+    sorters = max(1, -(-total // SORTED))
+    keys = stored(shared_keys(key_lists(texts, bits, length, short)), "keys")
+    pieces = cut_pieces(texts, keys, bits, sorters, length, short).withColumn("hot", F.col("sorter") >= sorters)
+    found = earlier_passages(pieces, length, short)
+    nothing = F.lit(None)
+    told = keys.select("of", "bucket", "keys", "held", nothing.cast("int").alias("sorter"), nothing.cast("bigint").alias("n"), nothing.cast("binary").alias("found")).union(
+        found.select("of", nothing.cast("int"), nothing.cast("binary"), nothing.cast("binary"), "sorter", "n", "found")
+    )
+    left = without_spans(spark.table(name), told, bits, sorters, length, short)
+    result = stored(left.join(firsts.withColumnRenamed("doc", "first").drop("n_bytes"), "key"), "removed")
     release_table(spark, name)
     whole = F.col("doc") > F.col("first")
     own = F.col("doc") == F.col("first")
