@@ -280,7 +280,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> dict:
 
 
 @query(f"""{SHAPED}, {SETS}, {DELIMITED} SELECT ks.source_id, round(ks.distance, 4) AS keyset, round(dd.distance, 4) AS delimiters, 1.0::DOUBLE AS templates, round(sd.distance, 4) AS shapes, round(rate, 4) AS quarantine,
-  round(0.3 * ks.distance + 0.25 * dd.distance + 0.2 + 0.15 * sd.distance + 0.1 * rate, 3) AS score FROM ks JOIN sd USING (source_id) JOIN dd USING (source_id) JOIN qr USING (source_id)""")
+  round(0.3 * ks.distance + 0.25 * dd.distance + 0.2 + 0.15 * sd.distance + 0.1 * rate, 4) AS score FROM ks JOIN sd USING (source_id) JOIN dd USING (source_id) JOIN qr USING (source_id)""")
 def drift_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fingerprints(spark, sf_dir)
     (a, b), (pa, pb), (ha, hb) = f["lines"], f["presence"], f["shapes"]
@@ -288,7 +288,7 @@ def drift_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "keyset": drift.keyset_distance(pa, pb, f["kinds"]), "delimiters": drift.delimiter_distance(drift.delimiter_profile(a), drift.delimiter_profile(b)), "templates": drift.weighted_jaccard(drift.templates(a), drift.templates(b), "template", "share"),
         "shapes": drift.shape_distance(ha, hb), "quarantine": f["rates"].withColumnRenamed("rate", "distance"),
     }
-    return drift.drift_score(parts).select("source_id", *[F.round(k, 4).alias(k) for k in parts], F.round("score", 3).alias("score"))
+    return drift.drift_score(parts).select("source_id", *[F.round(k, 4).alias(k) for k in parts], "score")
 
 
 @query("""SELECT kind, key, count(*) AS n, count(*) FILTER ((kind = 'kv' AND key IN ('action', 'note')) OR (kind = 'json' AND key IN ('user.tags.0', 'user.tags.1', 'action'))) AS quoted, count(DISTINCT v) AS "values" FROM (
