@@ -87,9 +87,11 @@ def to_duration_ms(x: Column, unit: str) -> Column:
     return F.round(to_float(x) * DURATION_MS[unit]).cast("bigint")
 
 
-def to_enum(x: Column, values: dict[str, str], default: str | None = None) -> Column:
+def to_enum(x: Column, values: dict, default=None) -> Column:
+    """The text of the value's own entry (exact, upper and lower case apart), else the default; an empty text has neither."""
+    values, default = {k: str(v) for k, v in values.items()}, None if default is None else str(default)
     found = F.coalesce(*[F.when(x == k, F.lit(v)) for k, v in values.items()]) if values else F.lit(None).cast("string")
-    return F.coalesce(found, F.lit(default)) if default is not None else found
+    return F.when(x.isNotNull(), F.coalesce(found, F.lit(default))) if default is not None else found
 
 
 #: Named layouts and the patterns that read them; the unit ones are numbers since 1970.
@@ -106,7 +108,8 @@ def to_time_ms(x: Column, layout: str, zone: str | None = None, received: Column
     if "y" not in layout:
         text = F.regexp_replace(F.trim(x), " +", " ")
         month = F.array_position(F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()]), F.substring(text, 1, 3))
-        year = F.year(received) - F.when(month > F.month(received) + 1, 1).otherwise(0)
+        here = F.from_utc_timestamp(received, zone) if zone else received
+        year = F.year(here) - F.when(month > F.month(here) + 1, 1).otherwise(0)
         t = F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), text), F.lit(f"yyyy {layout}"))
     else:
         t = F.try_to_timestamp(F.regexp_replace(F.trim(x), " +", " "), F.lit(layout))

@@ -1,17 +1,19 @@
-"""Extractors: a raw text column to a map of fields. Each gives a nullable struct ``matched, fields, dupes, flags``.
+"""Extractors: a raw text column to a map of fields. Each gives a struct ``fields, dupes, flags, accounted``, null where it does not match.
 
-The first of several pairs with a key wins, later ones go to ``dupes`` with the flag ``duplicate_key``.
+The first of several pairs with a key wins, later ones go to ``dupes`` with the flag ``duplicate_key``. ``accounted`` are the bytes of the line that the
+extractor has looked at: what a pattern spans, the whole line for the other kinds. Null lines match nothing.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAIRS = "array<struct<k:string,v:string>>"
+#: Stands between the groups of a pattern while these are one text.
+BETWEEN = "\u0001\u001e\u0001"
 
 
 def let(value: Column, body) -> Column:
@@ -19,24 +21,30 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def from_pairs(ok: Column, pairs: Column, flags=None) -> Column:
-    """``flags`` gives the flags of the pairs (null: none of its own)."""
+def from_pairs(ok: Column, pairs: Column, accounted: Column, flags: Column | None = None) -> Column:
+    """``flags``: an array of flags of the extractor's own."""
 
     def build(pairs: Column, keys: Column) -> Column:
         first = F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: F.struct(p["k"], p["v"]))
         later = F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) != i + 1), lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
-        own = flags(pairs) if flags else F.lit(None).cast("string")
-        again = F.when(F.size(keys) > F.size(F.array_distinct(keys)), "duplicate_key")
-        return F.struct(F.map_from_entries(first).alias("fields"), later.alias("dupes"), F.array_compact(F.array(own, again)).alias("flags"))
+        again = F.array_compact(F.array(F.when(F.size(keys) > F.size(F.array_distinct(keys)), "duplicate_key")))
+        return F.struct(F.map_from_entries(first).alias("fields"), later.alias("dupes"), (again if flags is None else F.concat(flags, again)).alias("flags"), accounted.alias("accounted"))
 
     return F.when(ok, let(pairs, lambda p: let(F.transform(p, lambda x: x["k"]), lambda keys: build(p, keys))))
 
 
+def from_distinct(pairs: Column, accounted: Column) -> Column:
+    """The struct of pairs whose keys are known to differ."""
+    none = F.array().cast("array<string>")
+    return F.struct(F.map_from_entries(pairs).alias("fields"), F.array().cast(PAIRS).alias("dupes"), none.alias("flags"), accounted.alias("accounted"))
+
+
 def kv(raw: Column, skip: str = "", pair_sep: str = " ", kv_sep: str = "=", quote: str = '"') -> Column:
-    """``key=value`` pairs; a quoted value is not looked into, one without its closing quote runs to the end and is flagged."""
-    body = F.regexp_replace(raw, f"^{skip}", "") if skip else raw
+    """Pairs in sequence: a key is all up to the next key separator (blanks too), a value runs to the next pair separator, or from quote to quote. A quoted
+    value is not looked into; one without its closing quote runs to the end and is flagged. A line without any pair is a match without fields."""
+    body = F.regexp_replace(raw, rf"\A(?:{skip})", "") if skip else raw
     p, s, q = re.escape(pair_sep), re.escape(kv_sep), re.escape(quote)
-    pattern = rf"([^{s}{p}\s]+){s}({q}[^{q}]*{q}?|[^{p}]*)"
+    pattern = rf"(?s)\G(?:{p})*+(.*?){s}({q}.*?(?:{q}|\z)|.*?(?={p}|\z))"
     keys, values = (F.regexp_extract_all(body, F.lit(pattern), F.lit(k)) for k in (1, 2))
     closed = lambda v: F.endswith(v, F.lit(quote)) & (F.length(v) > 1)
     bare = lambda v: F.when(~v.startswith(quote), v).otherwise(F.substring(v, F.lit(2), F.length(v) - F.when(closed(v), 2).otherwise(1)))
@@ -48,107 +56,166 @@ def kv(raw: Column, skip: str = "", pair_sep: str = " ", kv_sep: str = "=", quot
         later = F.when(once, F.array().cast(PAIRS)).otherwise(F.filter(pairs, lambda p, i: F.array_position(k, p["k"]) != i + 1))
         open_ = F.when(F.exists(v, lambda x: x.startswith(quote) & ~closed(x)), "key_injection_suspect")
         fields = F.when(once, F.map_from_arrays(k, F.transform(v, bare))).otherwise(F.map_from_entries(first))
-        return F.struct(fields.alias("fields"), later.alias("dupes"), F.array_compact(F.array(open_, F.when(~once, "duplicate_key"))).alias("flags"))
+        return F.struct(fields.alias("fields"), later.alias("dupes"), F.array_compact(F.array(open_, F.when(~once, "duplicate_key"))).alias("flags"), F.octet_length(raw).alias("accounted"))
+
+    return F.when(raw.isNotNull(), let(keys, lambda k: let(values, lambda v: build(k, v))))
+
 
-    return let(keys, lambda k: F.when(F.size(k) > 0, let(values, lambda v: build(k, v))))
+def java(pattern: str) -> str:
+    """A pattern with Python's named groups as Java writes it (names without underscores)."""
+    return re.sub(r"\(\?<([A-Za-z][A-Za-z0-9_]*)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern.replace("(?P<", "(?<"))
 
 
 def regex(raw: Column, pattern: str) -> Column:
-    """Named groups; a group that took no part is absent."""
-    java = pattern.replace("(?P<", "(?<")
-    java = re.sub(r"\(\?<([A-Za-z][A-Za-z0-9_]*)>", lambda m: f"(?<{m[1].replace('_', '')}>", java)
-    index = re.compile(pattern if "(?P<" in pattern else pattern.replace("(?<", "(?P<")).groupindex
-    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), F.regexp_extract(raw, java, i).alias("v")) for n, i in index.items()]), lambda p: p["v"] != "")
-    return from_pairs(raw.rlike(java) & F.is_valid_utf8(raw), pairs)
+    """Named groups; a group that took no part is absent, one that matched the empty text has it as its value."""
+    spelt = java(pattern)
+    index = re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern.replace("(?P<", "(?<"))).groupindex
+    if not index:
+        return from_pairs(raw.rlike(spelt) & F.is_valid_utf8(raw), F.array().cast(PAIRS), F.octet_length(F.regexp_extract(raw, spelt, 0)))
+    # one search gives all groups: the line is rewritten to what they hold
+    groups = F.split(F.regexp_replace(raw, rf"(?s)\A.*?(?:{spelt})(?s:.*)\z", BETWEEN.join(f"${i}" for i in index.values())), BETWEEN, -1)
 
+    def pairs(groups: Column) -> Column:
+        # a reference to a group fails where the group took no part, and holds for nothing
+        value = lambda n, i: F.when((F.get(groups, n) != "") | raw.rlike(f"(?:{spelt})\\{i}"), F.get(groups, n))
+        return F.filter(F.array(*[F.struct(F.lit(k).alias("k"), value(n, i).alias("v")) for n, (k, i) in enumerate(index.items())]), lambda p: p["v"].isNotNull())
 
-def csv(raw: Column, names: list[str], sep: str = ",", min_columns: int | None = None) -> Column:
-    """One record with quotes as usual; ``_`` skips a column, columns without a name are ``col_N``."""
+    return F.when(raw.rlike(spelt) & F.is_valid_utf8(raw), from_distinct(let(groups, pairs), F.octet_length(F.regexp_extract(raw, spelt, 0))))
+
+
+def csv_cells(raw: Column, sep: str = ",") -> Column:
+    """The cells of the first record (quoted ones may hold separators, line ends and doubled quotes); null where a quote stands elsewhere or isn't closed,
+    and for lines without a record."""
     s = re.escape(sep)
+    cell = rf'(?:"(?:[^"]|"")*"|(?:[^{s}"\r\n]|\r(?!\n|\z))*+)'
+    record = F.regexp_extract(raw, rf"\A(?:\r?\n)*+({cell}(?:{s}{cell})*+)(?:\r?\n|\r?\z)", 1)
+    whole = raw.rlike(rf"\A(?:\r?\n)*+(?!\r?\n|\r?\z)({cell}(?:{s}{cell})*+)(?:\r?\n|\r?\z)")
     cells = F.transform(
-        F.regexp_extract_all(F.concat(raw, F.lit(sep)), F.lit(rf'("(?:[^"]|"")*"|[^{s}]*){s}'), F.lit(1)),
-        lambda x: F.when(x.startswith('"') & (F.length(x) > 1), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x),
+        F.regexp_extract_all(F.concat(record, F.lit(sep)), F.lit(rf'("(?:[^"]|"")*"|[^{s}]*){s}'), F.lit(1)),
+        lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"'), "\r\n", "\n")).otherwise(x),
     )
-    known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    pairs = F.transform(cells, lambda v, i: F.struct(F.coalesce(F.try_element_at(known, i + 1), F.concat(F.lit("col_"), (i + 1).cast("string"))).alias("k"), v.alias("v")))
-    return from_pairs((raw != "") & (F.size(cells) >= (min_columns or max(1, len(names)))), F.filter(pairs, lambda p: p["k"] != "_"))
+    return F.when(whole, cells)
+
+
+def csv(raw: Column, names: list[str], sep: str = ",", min_columns: int = 0, quote: str = '"') -> Column:
+    """One record; columns without a name, or named ``_``, are ``col_N``, counted from 0. ``normalize`` refuses another ``quote``."""
+
+    def build(cells: Column) -> Column:
+        known = F.array(*[F.lit(None if n in ("", "_") else n).cast("string") for n in names]) if names else F.array().cast("array<string>")
+        pairs = F.transform(cells, lambda v, i: F.struct(F.coalesce(F.try_element_at(known, i + 1), F.concat(F.lit("col_"), i.cast("string"))).alias("k"), v.alias("v")))
+        return from_pairs(F.size(cells) >= min_columns, pairs, F.octet_length(raw))
+
+    return let(csv_cells(raw, sep), lambda cells: F.when(cells.isNotNull(), build(cells)))
 
 
 def csv_columns(raw: Column, sep: str = ",") -> Column:
-    s = re.escape(sep)
-    return F.size(F.regexp_extract_all(F.concat(raw, F.lit(sep)), F.lit(rf'("(?:[^"]|"")*"|[^{s}]*){s}'), F.lit(1)))
+    return F.size(csv_cells(raw, sep))
+
+
+#: Levels of a document that are read, and values of it that are kept.
+DEEPEST, MOST = 32, 512
+NODES = "array<struct<path:string,node:variant>>"
+
+
+def json_leaves(raw: Column) -> Column:
+    """(leaves, deep) of a document, null where it is none: leaves (path, value, quoted) with objects by name and arrays by index; null has no value, numbers
+    stand as they are written; deep: whether something lies below ``DEEPEST``. A node opens level by level, all in one expression, so rows never move."""
+    # numbers become texts behind a mark, so that they are not read and written again
+    marked = F.regexp_replace(raw, r'("(?:[^"\\]|\\.)*+")|(-?[0-9][0-9.eE+-]*)', "$1\u0001$2\u0002")
+    texts = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, "\u0001\u0002", ""), "\u0001", '"\\\\u0001'), "\u0002", '"')
+    root = F.when(F.try_parse_json(raw).isNotNull(), F.try_parse_json(texts))
+    kind = lambda n: F.substring(F.schema_of_variant(n), 1, 5)
+    nested = lambda n: kind(n).isin("OBJEC", "ARRAY")
+    under = lambda path, step: F.when(path == "", step).otherwise(F.concat(path, F.lit("."), step))
+
+    def opened(x: Column) -> Column:
+        named = F.transform(F.map_entries(F.try_variant_get(x["node"], "$", "map<string,variant>")), lambda e: F.struct(under(x["path"], e["key"]).alias("path"), e["value"].alias("node")))
+        listed = F.transform(F.try_variant_get(x["node"], "$", "array<variant>"), lambda v, i: F.struct(under(x["path"], i.cast("string")).alias("path"), v.alias("node")))
+        return F.when(kind(x["node"]) == "OBJEC", named).when(kind(x["node"]) == "ARRAY", listed).otherwise(F.array(F.struct(x["path"].alias("path"), x["node"].alias("node"))))
+
+    def level(nodes: Column, _: Column) -> Column:
+        return F.when(F.exists(nodes, lambda x: nested(x["node"])), F.flatten(F.transform(nodes, opened)).cast(NODES)).otherwise(nodes)
+
+    def leaf(x: Column) -> Column:
+        text = F.try_variant_get(x["node"], "$", "string")
+        number = text.startswith("\u0001") & (kind(x["node"]) == "STRIN")
+        return F.struct(x["path"].alias("path"), F.when(number, F.substring(text, F.lit(2), F.length(text))).otherwise(text).alias("value"), ((kind(x["node"]) == "STRIN") & ~number).alias("quoted"))
+
+    def read(node: Column) -> Column:
+        start = F.array(F.struct(F.lit("").alias("path"), node.alias("node"))).cast(NODES)
+        every = F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), start, level)
+        plain = lambda nodes: F.transform(F.filter(nodes, lambda x: ~nested(x["node"])), leaf)
+        empty = lambda x: F.coalesce(F.size(F.map_keys(F.try_variant_get(x["node"], "$", "map<string,variant>"))), F.size(F.try_variant_get(x["node"], "$", "array<variant>"))) == 0
+        return let(every, lambda nodes: F.struct(plain(nodes).alias("leaves"), F.exists(nodes, lambda x: nested(x["node"]) & ~F.coalesce(empty(x), F.lit(False))).alias("deep")))
+
+    return let(root, lambda node: F.when(node.isNotNull(), read(node)))
 
 
 def json(raw: Column, paths: list[str] | None = None) -> Column:
-    """Top-level fields as text (null: empty), and the dotted paths asked for."""
-    top = F.from_json(raw, "map<string,string>")
-    ok = F.ltrim(raw).startswith("{") & F.try_parse_json(raw).isNotNull()
-    pairs = F.transform(F.map_entries(top), lambda e: F.struct(e["key"].alias("k"), F.coalesce(e["value"], F.lit("")).alias("v")))
-    deep = [F.struct(F.lit(p).alias("k"), F.get_json_object(raw, "$." + p).alias("v")) for p in paths or [] if "." in p]
-    if deep:
-        pairs = F.concat(pairs, F.filter(F.array(*deep), lambda p: p["v"].isNotNull()))
-    return from_pairs(ok, pairs)
+    """Every leaf under its dotted path (``user.tags.0``), null as the empty text. Of more than ``MOST`` values the rest is left out, flagged; so is what lies
+    too deep. Documents with a key twice in an object, or with text behind them, are none. ``paths`` needn't be given: all are read."""
+
+    def build(x: Column) -> Column:
+        values = F.filter(x["leaves"], lambda e: e["value"].isNotNull())
+        kept = F.concat(F.filter(x["leaves"], lambda e: e["value"].isNull()), F.slice(values, 1, MOST))
+        pairs = F.transform(kept, lambda e: F.struct(e["path"].alias("k"), F.coalesce(e["value"], F.lit("")).alias("v")))
+        flags = F.array_compact(F.array(F.when(x["deep"], "nested_too_deep"), F.when(F.size(values) > MOST, "too_many_fields")))
+        return from_pairs(F.lit(True), pairs, F.octet_length(raw), flags)
+
+    return let(json_leaves(raw), lambda x: F.when(x.isNotNull(), build(x)))
 
 
 def unescape(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, r"\\n", "\n"), r"\\(.)", "$1")
+    return F.regexp_replace(x, r"(?s)\\(.)", "$1")
+
 
+PART = r"((?:[^\\|]|\\.)*)\|"
+CEF_PAIR = r"(?s)(?:^| )([A-Za-z0-9_.-]+)=((?:(?! [A-Za-z0-9_.-]+=).)*)"
+# Names of the fields of the two headers.
+CEF_NAMES = ["cef.version", "cef.vendor", "cef.product", "cef.device_version", "cef.signature_id", "cef.name", "cef.severity"]
+LEEF_NAMES = ["leef.version", "leef.vendor", "leef.product", "leef.product_version", "leef.event_id"]
 
-CEF_HEADER = r"((?:[^\\|]|\\.)*)\|" * 7
-CEF_PAIR = r"([A-Za-z0-9_.-]+)=((?:(?! [A-Za-z0-9_.-]+=).)*)"
-CEF_NAMES = ["cef_version", "device_vendor", "device_product", "device_version", "signature_id", "name", "severity"]
+
+def split_by(text: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of a pattern that spans the text, by one search; a text that it doesn't span is one element."""
+    return F.split(F.regexp_replace(text, pattern, BETWEEN.join(f"${k}" for k in range(1, n + 1))), BETWEEN, -1)
 
 
 def cef(raw: Column) -> Column:
     """Seven header fields with escaped pipes, then values that run to the next `` key=``."""
-    body = F.regexp_replace(raw, r"^.*?CEF:", "")
-    pattern = f"^{CEF_HEADER}(.*)$"
-    head = F.array(*[F.struct(F.lit(n).alias("k"), unescape(F.regexp_extract(body, pattern, k)).alias("v")) for k, n in enumerate(CEF_NAMES, 1)])
-    rest = F.regexp_extract(body, pattern, 8)
-    found = F.regexp_extract_all(rest, F.lit(CEF_PAIR), F.lit(0))
-    pairs = F.transform(found, lambda x: F.struct(F.regexp_extract(x, CEF_PAIR, 1).alias("k"), unescape(F.regexp_extract(x, CEF_PAIR, 2)).alias("v")))
-    return from_pairs(raw.contains("CEF:") & body.rlike(pattern), F.concat(head, pairs))
+
+    def build(parts: Column) -> Column:
+        head = F.array(*[F.struct(F.lit(n).alias("k"), unescape(F.get(parts, k)).alias("v")) for k, n in enumerate(CEF_NAMES)])
+        keys, values = (F.regexp_extract_all(F.get(parts, 7), F.lit(CEF_PAIR), F.lit(k)) for k in (1, 2))
+        pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), unescape(F.trim(v)).alias("v")))
+        return from_pairs(F.size(parts) == 8, F.concat(head, pairs), F.octet_length(raw))
+
+    parts = split_by(F.regexp_replace(raw, r"(?s)\A.*?CEF:", ""), rf"(?s)\A{PART * 7}(.*)\z", 8)
+    return F.when(raw.contains("CEF:"), let(parts, build))
 
 
 def leef(raw: Column) -> Column:
-    """Version 1.0 (tabs) and 2.0 (its own delimiter, ``xHH`` too)."""
-    body = F.regexp_replace(raw, r"^.*?LEEF:", "")
-    part = F.split(body, r"\|")
-    two = part[0] == "2.0"
-    own = F.get(part, 5)
-    given = F.when(own.rlike("^(0?x)[0-9A-Fa-f]{2}$"), F.char(F.conv(F.regexp_replace(own, "^0?x", ""), 16, 10).cast("int"))).otherwise(own)
-    delim = F.when(two & (F.coalesce(given, F.lit("")) != ""), given).otherwise("\t")
-    attrs = F.array_join(F.slice(part, F.when(two, 7).otherwise(6), F.size(part)), "|")
-    names = ["leef_version", "vendor", "product", "version", "event_id"]
-    head = F.array(*[F.struct(F.lit(n).alias("k"), F.get(part, k).alias("v")) for k, n in enumerate(names)])
-    bits = F.filter(F.split(attrs, F.concat(F.lit("\\Q"), delim, F.lit("\\E"))), lambda x: x.contains("="))
-    pairs = F.transform(bits, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("v")))
-    return from_pairs(raw.contains("LEEF:") & (F.size(part) >= 6), F.concat(head, pairs))
-
-
-def flatten_json(df: DataFrame, key: str, raw: str, depth: int = 32) -> DataFrame:
-    """(key, path, value) of every leaf; objects by name, arrays by index. Runs as many rounds as the documents are deep."""
-    rows = df.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(raw).alias("node")).filter("node is not null")
-    out = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("node")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaf = rows.filter(~nested).select(key, "path", F.coalesce(F.try_variant_get("node", "$", "string"), F.lit("")).alias("value"))
-        out = leaf if out is None else out.union(leaf)
-        rows = rows.filter(nested)
-        if not rows.take(1):
-            break
-        view = fresh_view(rows)
-        step = F.when(F.col("k").isNotNull(), F.col("k")).otherwise(F.col("pos").cast("string"))
-        rows = rows.sparkSession.sql(f"SELECT t.{key}, t.path AS above, e.pos, e.key AS k, e.value AS node FROM {view} t, LATERAL variant_explode(t.node) e")
-        rows = rows.select(key, F.concat(F.col("above"), F.when(F.col("above") == "", "").otherwise("."), step).alias("path"), "node")
-    return out
-
-
-def fresh_view(df: DataFrame) -> str:
-    name = f"v_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+    """Version 1.0 (attributes between tabs) and 2.0 (between a sign of its own, ``xHH`` too); values are taken as they are."""
+
+    def build(parts: Column) -> Column:
+        newer = F.get(parts, 0) == "2.0"
+        sign = F.get(parts, 5)
+        given = F.when(sign.rlike(r"\Ax[0-9A-Fa-f]{2}\z"), F.char(F.conv(F.substring(sign, 2, 2), 16, 10).cast("int"))).otherwise(sign)
+        head = F.array(*[F.struct(F.lit(n).alias("k"), (F.get(parts, k) if k == 0 else unescape(F.get(parts, k))).alias("v")) for k, n in enumerate(LEEF_NAMES)])
+        delim = F.when(newer, given).otherwise("\t")
+        bits = F.filter(F.split(F.element_at(parts, -1), F.when(delim == "", "").otherwise(F.concat(F.lit("\\Q"), delim, F.lit("\\E")))), lambda x: x.contains("="))
+        pairs = F.transform(bits, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("v")))
+        return from_pairs(F.size(parts) == F.when(newer, 7).otherwise(6), F.concat(head, pairs), F.octet_length(raw))
+
+    body = F.regexp_replace(raw, r"(?s)\A.*?LEEF:", "")
+    one, two = rf"(?s)\A([^|]*)\|{PART * 4}(.*)\z", rf"(?s)\A([^|]*)\|{PART * 5}(.*)\z"
+    return F.when(raw.contains("LEEF:"), let(F.when(body.startswith("2.0|"), split_by(body, two, 7)).otherwise(split_by(body, one, 6)), build))
+
+
+def flatten_json(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, path, value) of every leaf; objects by name, arrays by index, null as the empty text."""
+    leaves = df.select(F.col(key), F.explode(json_leaves(F.col(raw))["leaves"]).alias("x"))
+    return leaves.select(key, F.col("x.path").alias("path"), F.coalesce("x.value", F.lit("")).alias("value"))
 
 
 EXTRACTORS = {"kv": kv, "regex": regex, "csv": csv, "json": json, "cef": cef, "leef": leef}

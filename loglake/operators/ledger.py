@@ -139,7 +139,7 @@ def chain_hash(prev: Column, root: Column, segment: Column, count: Column) -> Co
 
 def seals(leaves: DataFrame) -> DataFrame:
     """The ledger (segment, first_seq, last_seq, count, root, prev, chain). Each link needs the one before, so the chain is a stream through one task: a
-    hundred bytes a segment, of which only the last hash is held."""
+    hundred bytes a segment, of which only the last hash is held. Trees are built before that shuffle, in as many tasks as there are segments."""
     ship(leaves.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def seals(leaves: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=[*batch.schema.names, "prev", "chain"])
 
     rows = roots(leaves).select("segment", "first_seq", "last_seq", "count", "root")
-    return rows.coalesce(1).sortWithinPartitions("segment").mapInArrow(run, "segment bigint, first_seq bigint, last_seq bigint, count bigint, root binary, prev binary, chain binary")
+    return rows.repartition(1).sortWithinPartitions("segment").mapInArrow(run, "segment bigint, first_seq bigint, last_seq bigint, count bigint, root binary, prev binary, chain binary")
 
 
 def verify_chain(ledger: DataFrame) -> DataFrame:

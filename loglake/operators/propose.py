@@ -192,14 +192,14 @@ def propose_cef(lines: DataFrame, kind: str = "cef") -> DataFrame:
     first = known.filter("fits").withColumn("r", F.row_number().over(Window.partitionBy("source_id", "to").orderBy("n"))).filter("r = 1")
     c = F.col
     each = first.select("source_id", c("n").alias("place"), F.posexplode(entries(c("field"), c("to"), c("want"), c("numeric"), c("listed"), c("layout"))).alias("n", "e"))
-    name = "severity" if kind == "cef" else "sev"
+    name = "cef.severity" if kind == "cef" else "sev"
     levels = found.filter((c("key") == name) & (c("value") != "")).groupBy("source_id").agg(F.min(c("value").isin(list(CEF_SEVERITY)).cast("int")).alias("ok"), F.array_sort(F.collect_set(F.substring("value", 1, 2))).alias("v"))
     banded = levels.filter(c("ok") == 1).select("source_id", F.lit(1000).alias("place"), F.lit(0).alias("n"), entry(F.lit(name), "severity_id", "enum", enum=enumeration(c("v"), CEF_SEVERITY), default="99").alias("e"))
-    text = kept.select("source_id").distinct().select("source_id", F.lit(1001).alias("place"), F.lit(0).alias("n"), entry(F.lit("name" if kind == "cef" else "event_id"), "message", "string").alias("e"))
+    text = kept.select("source_id").distinct().select("source_id", F.lit(1001).alias("place"), F.lit(0).alias("n"), entry(F.lit("cef.name" if kind == "cef" else "leef.event_id"), "message", "string").alias("e"))
     rows = each.unionByName(text)
     rows = rows.unionByName(banded) if kind == "cef" else rows
-    maker = ("device_vendor", "device_product") if kind == "cef" else ("vendor", "product")
-    made = found.filter(c("key").isin(list(maker))).groupBy("source_id").agg(*[F.min_by(F.when(c("key") == k, c("value")), F.when(c("key") == k, c("record_id"))).alias(k) for k in maker])
+    maker = ("vendor", "product")
+    made = found.filter(c("key").isin([f"{kind}.{k}" for k in maker])).groupBy("source_id").agg(*[F.min_by(F.when(c("key") == f"{kind}.{k}", c("value")), F.when(c("key") == f"{kind}.{k}", c("record_id"))).alias(k) for k in maker])
     escaped = lambda k: F.regexp_replace(k, r"([.^$*+?()\[\]{}|\\])", r"\\$1")
     signature = F.concat(F.lit(r"CEF:\d+\|" if kind == "cef" else r"LEEF:\d\.\d\|"), escaped(maker[0]), F.lit(r"\|"), escaped(maker[1]), F.lit(r"\|"))
     out = counts(lines).join(gathered(rows), "source_id").join(made, "source_id").join(unfit, "source_id", "left")

@@ -44,18 +44,18 @@ def extracted(spark: SparkSession, sf_dir: str, spec: int, **options) -> DataFra
     return mixed_lines(spark, sf_dir).withColumn("x", found).filter("x is not null")
 
 
-@query(f"""SELECT event_id AS record_id, {MS} AS ts, event_type AS action, value, 'a, "' || event_id || '"' AS note, '' AS col_7, 7 AS columns FROM events WHERE event_id % 6 = 1""")
+@query(f"""SELECT event_id AS record_id, {MS} AS ts, event_type AS action, value, 'a, "' || event_id || '"' AS note, '' AS col_6, 7 AS columns FROM events WHERE event_id % 6 = 1""")
 def extract_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = extracted(spark, sf_dir, 1)
     field = lambda k: F.try_element_at("x.fields", F.lit(k))
-    return x.select("record_id", field("ts").cast("bigint").alias("ts"), field("action").alias("action"), field("value").cast("double").alias("value"), field("note").alias("note"), field("col_7").alias("col_7"), extract.csv_columns(F.col("raw")).alias("columns"))
+    return x.select("record_id", field("ts").cast("bigint").alias("ts"), field("action").alias("action"), field("value").cast("double").alias("value"), field("note").alias("note"), field("col_6").alias("col_6"), extract.csv_columns(F.col("raw")).alias("columns"))
 
 
 @query(f"""SELECT event_id AS record_id, {MS} AS ts, user_id AS user_id, event_type AS action, value, '' AS none, 't' || (event_id % 3) AS tag FROM events WHERE event_id % 6 = 2""")
 def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = extracted(spark, sf_dir, 2, paths=["user.id", "user.tags[0]"])
+    x = extracted(spark, sf_dir, 2)
     field = lambda k: F.try_element_at("x.fields", F.lit(k))
-    return x.select("record_id", field("ts").cast("bigint").alias("ts"), field("user.id").cast("bigint").alias("user_id"), field("action").alias("action"), field("value").cast("double").alias("value"), field("none").alias("none"), field("user.tags[0]").alias("tag"))
+    return x.select("record_id", field("ts").cast("bigint").alias("ts"), field("user.id").cast("bigint").alias("user_id"), field("action").alias("action"), field("value").cast("double").alias("value"), field("none").alias("none"), field("user.tags.0").alias("tag"))
 
 
 @query(f"""WITH e AS (SELECT * FROM events WHERE event_id % 6 = 2)
@@ -71,14 +71,14 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_cef(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = extracted(spark, sf_dir, 3)
     field = lambda k: F.try_element_at("x.fields", F.lit(k))
-    return x.select("record_id", field("device_product").alias("device_product"), field("name").alias("name"), field("severity").cast("bigint").alias("severity"), field("rt").cast("bigint").alias("rt"), field("suser").alias("suser"), field("msg").alias("msg"), field("cn1").cast("double").alias("value"))
+    return x.select("record_id", field("cef.product").alias("device_product"), field("cef.name").alias("name"), field("cef.severity").cast("bigint").alias("severity"), field("rt").cast("bigint").alias("rt"), field("suser").alias("suser"), field("msg").alias("msg"), field("cn1").cast("double").alias("value"))
 
 
 @query(f"""SELECT event_id AS record_id, event_type AS leef_event, 'u' || user_id AS "user", {MS} AS ts, 'a b' AS note, value FROM events WHERE event_id % 6 = 4""")
 def extract_leef(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = extracted(spark, sf_dir, 4)
     field = lambda k: F.try_element_at("x.fields", F.lit(k))
-    return x.select("record_id", field("event_id").alias("leef_event"), field("usrName").alias("user"), field("devTime").cast("bigint").alias("ts"), field("note").alias("note"), field("value").cast("double").alias("value"))
+    return x.select("record_id", field("leef.event_id").alias("leef_event"), field("usrName").alias("user"), field("devTime").cast("bigint").alias("ts"), field("note").alias("note"), field("value").cast("double").alias("value"))
 
 
 @query("""SELECT event_id AS record_id, 'gate' || (event_id % 4) AS host, event_id % 1000 AS pid, 'u' || user_id AS "user", event_type AS action, value FROM events WHERE event_id % 6 = 5""")
@@ -139,12 +139,15 @@ def unmapped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("record_id", F.nullif(keys, F.lit("")).alias("unmapped_keys"), (F.size("event.dupes") > 0).alias("has_dupes"))
 
 
-@query(f"""SELECT event_id AS record_id, CAST(strlen(CAST({MS} AS VARCHAR)) + strlen('u' || user_id) + strlen(event_type) + strlen('10.0.' || (user_id % 4) || '.' || (event_id % 250)) + strlen(CAST((event_id * 37) % 70000 AS VARCHAR)) AS BIGINT) AS mapped_without_value,
-  CAST(CASE WHEN event_id % 17 = 0 THEN 8 ELSE 0 END AS BIGINT) AS note_bytes FROM events WHERE {KV_OK}""")
+@query(f"""WITH e AS (SELECT event_id, CAST({MS} AS VARCHAR) AS ts, 'u' || user_id AS u, event_type AS a, '10.0.' || (user_id % 4) || '.' || (event_id % 250) AS ip, CAST((event_id * 37) % 70000 AS VARCHAR) AS port FROM events WHERE {KV_OK}),
+c AS (SELECT event_id, strlen(ts) + strlen(u) + 2 * strlen(a) + strlen(ip) + strlen(port) AS mapped, CASE WHEN event_id % 17 = 0 THEN 8 ELSE 0 END AS note, 36 + CASE WHEN event_id % 13 = 0 THEN 11 ELSE 0 END + CASE WHEN event_id % 17 = 0 THEN 7 ELSE 0 END - strlen(a) AS signs FROM e)
+SELECT event_id AS record_id, mapped::BIGINT AS mapped_without_value, note::BIGINT AS unmapped_bytes, signs::BIGINT AS constant_bytes, 0::BIGINT AS uncovered_bytes, 7 AS mapped_fields, CASE WHEN note > 0 THEN 1 ELSE 0 END AS unmapped_fields FROM c""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a double is the engine's own, so that the value's bytes are taken off; all others are compared."""
     parsed = normalize.normalize(kv_lines(spark, sf_dir), [KV_SPEC]).filter("event is not null")
     value = F.octet_length(F.regexp_extract("raw", r"value=(\S+)", 1))
-    return parsed.select("record_id", (F.col("event.coverage.mapped_bytes") - value).cast("bigint").alias("mapped_without_value"), F.col("event.coverage.unmapped_bytes").cast("bigint").alias("note_bytes"))
+    c = F.col("event.coverage")
+    return parsed.select("record_id", (c["mapped_bytes"] - value).cast("bigint").alias("mapped_without_value"), *[c[k].cast("bigint").alias(k) for k in ("unmapped_bytes", "constant_bytes", "uncovered_bytes")], c["mapped_fields"].alias("mapped_fields"), c["unmapped_fields"].alias("unmapped_fields"))
 
 
 RENDERED = [

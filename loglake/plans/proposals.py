@@ -64,7 +64,7 @@ def propose_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propose.propose_json(rows(spark, sf_dir, raw)).select("source_id", "route", "value", "lines", told())
 
 
-CEF_MAP = "src->src_endpoint.ip ip; spt->src_endpoint.port port; act->action_id enum enum=allow=1,deny=2 default=99; rt->time time layout=epoch_ms; severity->severity_id enum enum=0=2,3=2,6=3,9=5 default=99; name->message string; ->activity_id const default=6"
+CEF_MAP = "src->src_endpoint.ip ip; spt->src_endpoint.port port; act->action_id enum enum=allow=1,deny=2 default=99; rt->time time layout=epoch_ms; cef.severity->severity_id enum enum=0=2,3=2,6=3,9=5 default=99; cef.name->message string; ->activity_id const default=6"
 
 
 @query(rf"""SELECT {S}, count(*) AS lines, 'CEF:\d+\|Acme\|Gate\|' AS signature, '{CEF_MAP}' AS map, 'dst' AS unfit FROM events GROUP BY 1""")

