@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglake.operators import cuts
 from loglake.session import ship
 
-SEGMENT_RECORDS = 250_000
+SEGMENT_RECORDS, SEGMENT_BYTES = 250_000, 64 << 20
 ZERO = "00" * 32
 
 
@@ -78,6 +79,11 @@ def segment_of(record_id: Column, records: int = SEGMENT_RECORDS) -> Column:
     return F.floor((record_id - 1) / records).cast("bigint") + 1
 
 
+def segments_by_size(records_: DataFrame, stream: str, order: str, size: str, most: int = SEGMENT_BYTES, limit: int = SEGMENT_RECORDS) -> DataFrame:
+    """``records_`` with the segment, from 1, that each falls into when a segment is sealed by the record that reaches ``most`` bytes or ``limit`` records."""
+    return cuts.cut(records_, stream, order, size, most, limit, under=False, out="segment").withColumn("segment", F.col("segment") + 1)
+
+
 def next_level(level: Column) -> Column:
     """Pairs are hashed, an odd last node goes up as it is."""
     half = F.floor((F.size(level) + 1) / 2).cast("int")

@@ -66,6 +66,17 @@ def segment_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).groupBy("segment").agg(F.min("record_id").alias("first_seq"), F.max("record_id").alias("last_seq"), F.count(F.lit(1)).alias("records"))
 
 
+@query("""WITH RECURSIVE d AS (SELECT doc_id, greatest(1, strlen(coalesce(text, ''))) AS n, 's' || (doc_id % 4) AS source_id FROM documents),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS i, sum(n) OVER (PARTITION BY source_id ORDER BY doc_id) AS p FROM d),
+b AS (SELECT source_id, 1::BIGINT AS segment, 1::BIGINT AS i, 0::HUGEINT AS base FROM r WHERE i = 1
+  UNION ALL SELECT b.source_id, b.segment + 1, min(r.i) + 1, min(r.p) FROM b JOIN r ON r.source_id = b.source_id AND r.i >= b.i AND (r.p >= b.base + 65536 OR r.i + 1 - b.i >= 30) GROUP BY b.source_id, b.segment),
+e AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY source_id ORDER BY segment), 1000000000000) AS stop FROM b)
+SELECT source_id, segment, count(*) AS records, CAST(sum(n) AS BIGINT) AS bytes FROM r JOIN e USING (source_id) WHERE r.i >= e.i AND r.i < e.stop GROUP BY 1, 2""")
+def segment_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s"), F.col("doc_id") % 4).alias("source_id"), F.greatest(F.lit(1), F.octet_length(F.coalesce("text", F.lit("")))).cast("bigint").alias("bytes"))
+    return ledger.segments_by_size(docs, "source_id", "doc_id", "bytes", 65536, 30).groupBy("source_id", "segment").agg(F.count(F.lit(1)).alias("records"), F.sum("bytes").alias("bytes"))
+
+
 @query(f"WITH RECURSIVE {TREE} SELECT segment, lower(hex(root)) AS root FROM roots")
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.roots(leaves(spark, sf_dir)).select("segment", F.lower(F.hex("root")).alias("root"))

@@ -401,7 +401,12 @@ def export_cef(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.cef(export_rows(spark, sf_dir)).select("record_id", "line")
 
 
-@query("""WITH d AS (SELECT doc_id, greatest(1, strlen(coalesce(text, ''))) AS n, 's' || (doc_id % 4) AS source_id FROM documents), r AS (SELECT *, sum(n) OVER (PARTITION BY source_id ORDER BY doc_id) - n AS before FROM d) SELECT source_id, CAST(before // 65536 AS BIGINT) AS batch, count(*) AS rows, CAST(sum(n) AS BIGINT) AS bytes FROM r GROUP BY 1, 2""")
+@query("""WITH RECURSIVE d AS (SELECT doc_id, greatest(1, strlen(coalesce(text, ''))) AS n, 's' || (doc_id % 4) AS source_id FROM documents),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS i, sum(n) OVER (PARTITION BY source_id ORDER BY doc_id) AS p FROM d),
+b AS (SELECT source_id, 0::BIGINT AS batch, 1::BIGINT AS i, 0::HUGEINT AS base FROM r WHERE i = 1
+  UNION ALL SELECT b.source_id, b.batch + 1, min(r.i), min(r.p - r.n) FROM b JOIN r ON r.source_id = b.source_id AND r.i > b.i AND r.p > b.base + 65536 GROUP BY b.source_id, b.batch),
+e AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY source_id ORDER BY batch), 1000000000000) AS stop FROM b)
+SELECT source_id, batch, count(*) AS rows, CAST(sum(n) AS BIGINT) AS bytes FROM r JOIN e USING (source_id) WHERE r.i >= e.i AND r.i < e.stop GROUP BY 1, 2""")
 def export_hec_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s"), F.col("doc_id") % 4).alias("source_id"), F.greatest(F.lit(1), F.octet_length(F.coalesce("text", F.lit("")))).cast("bigint").alias("bytes"))
     b = exports.batches(docs, "source_id", "doc_id", "bytes", 65536)

@@ -6,9 +6,10 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "loglake", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,9 +29,10 @@ def get_session(app: str = "loglake", master: str | None = None, **conf: str) ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors of a cluster, once; operators with work in Python call it."""
+    """Sends the package to where Python workers run, once; operators with work in Python call it. Workers on one machine need it, too: they know no more of
+    the driver's ``sys.path`` than others."""
     context = spark.sparkContext
-    if not re.fullmatch(r"local(\[.*\])?", context.master) and not getattr(context, "_loglake_sent", False):
+    if not getattr(context, "_loglake_sent", False):
         root = Path(__file__).resolve().parents[1]
         context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='loglake-')}/loglake", "zip", root, "loglake"))
         context._loglake_sent = True
@@ -44,3 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = spark._loglake_work = "file://" + tempfile.mkdtemp(prefix="loglake-")
     return where.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: a cut of the lineage that outlives executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

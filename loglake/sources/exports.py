@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglake.operators import cuts
+from loglake.operators.normalize import PATHS
+
+OCSF = {p.replace(".", "_") for p in PATHS}
+
 
 def flat(parsed: DataFrame) -> DataFrame:
     """One flat row an event: record_id, event_uid, times, parser and the closed list of fields."""
@@ -64,6 +69,13 @@ def cef(rows: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """``rows`` with the number of the batch that they fall into by the bytes before them."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(order)) - F.col(size)
-    return rows.withColumn("batch", F.floor(before / most).cast("bigint"))
+    """``rows`` with the number of their batch: none is over ``most`` bytes, but for a single row that is larger itself."""
+    return cuts.cut(rows, group, order, size, most)
+
+
+def hec(rows: DataFrame, index: str = "main") -> DataFrame:
+    """(source_id, record_id, line, bytes): an envelope an event, with its time in seconds."""
+    event = F.struct(F.col("event_uid").alias("event_id"), "record_id", "vendor", "product", F.col("extractor").alias("parser"), "parser_version", F.struct(*[c for c in rows.columns if c in OCSF]).alias("ocsf"), "unmapped")
+    envelope = F.struct((F.unix_micros("event_time") / 1e6).alias("time"), F.col("source_id").alias("host"), F.col("source_id").alias("source"), F.lit("loglake:event").alias("sourcetype"), F.lit(index).alias("index"), event.alias("event"))
+    line = F.to_json(envelope)
+    return rows.select("source_id", "record_id", line.alias("line"), F.octet_length(line).cast("bigint").alias("bytes"))
