@@ -205,10 +205,10 @@ k AS (SELECT half, source_id, event_id, 'ts' AS key FROM e UNION ALL SELECT half
 n AS (SELECT half, source_id, count(*) AS n FROM e GROUP BY 1, 2), p AS (SELECT k.half, k.source_id, key, count(*) / any_value(n.n) AS presence FROM k JOIN n ON k.half = n.half AND k.source_id = n.source_id GROUP BY 1, 2, 3)"""
 
 
-@query(f"{KEYS} SELECT source_id, key, round(presence, 6) AS presence FROM p WHERE half = 0")
+@query(f"{KEYS} SELECT half, source_id, key, round(presence, 6) AS presence FROM p")
 def key_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, _ = halves(spark, sf_dir)
-    return drift.key_presence(drift.fields(base), base).withColumn("presence", F.round("presence", 6))
+    sides = [drift.key_presence(drift.fields(x), x).withColumn("half", F.lit(k).cast("bigint")) for k, x in enumerate(halves(spark, sf_dir))]
+    return sides[0].unionByName(sides[1]).withColumn("presence", F.round("presence", 6))
 
 
 @query(f"{KEYS}, b AS (SELECT * FROM p WHERE half = 0), c AS (SELECT * FROM p WHERE half = 1) SELECT coalesce(b.source_id, c.source_id) AS source_id, round(1 - sum(least(coalesce(b.presence, 0), coalesce(c.presence, 0))) / sum(greatest(coalesce(b.presence, 0), coalesce(c.presence, 0))), 6) AS distance FROM b FULL JOIN c ON b.source_id = c.source_id AND b.key = c.key GROUP BY 1")

@@ -47,28 +47,34 @@ def files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 class Reader:
-    """A file's bytes from a place on, as many as are asked for."""
+    """A file's bytes from a place on, as many as are asked for. What was taken stays in the buffer until the next read, so that taking moves no bytes."""
 
     def __init__(self, f, at: int, size: int) -> None:
-        self.f, self.at, self.size, self.held = f, at, size, b""
+        self.f, self.at, self.size, self.buffer, self.gone = f, at, size, b"", 0
+
+    def have(self) -> int:
+        return len(self.buffer) - self.gone
 
     def find(self, end: bytes, most: int) -> int:
         """Where ``end`` begins within the next ``most`` bytes and itself, or -1."""
         looked = 0
         while True:
-            k = self.held.find(end, max(0, looked - len(end) + 1), most + len(end))
-            if k >= 0 or len(self.held) >= most + len(end) or not self.more():
-                return k
-            looked = len(self.held) - READ
+            k = self.buffer.find(end, self.gone + max(0, looked - len(end) + 1), self.gone + most + len(end))
+            if k >= 0:
+                return k - self.gone
+            looked = self.have()
+            if looked >= most + len(end) or not self.more():
+                return -1
 
     def more(self) -> bool:
-        self.f.seek(self.at + len(self.held))
+        self.f.seek(self.at + self.have())
         data = self.f.read(READ)
-        self.held += data
+        self.buffer, self.gone = self.buffer[self.gone :] + data, 0
         return bool(data)
 
     def take(self, n: int) -> bytes:
-        out, self.held = self.held[:n], self.held[n:]
+        out = self.buffer[self.gone : self.gone + n]
+        self.gone += len(out)
         self.at += len(out)
         return out
 
@@ -81,17 +87,17 @@ def records(path: str, start: int, stop: int, size: int, mode: str, most: int) -
         read = Reader(f, max(0, start - len(end)), size)
         if start:  # the first record begins after the first ending at or before the range's start
             while (k := read.find(end, READ)) < 0:
-                if len(read.held) <= len(end):
+                if read.have() <= len(end):
                     return
-                read.take(min(len(read.held), READ + len(end)) - len(end) + 1)
+                read.take(min(read.have(), READ + len(end)) - len(end) + 1)
             read.take(k + len(end))
         while read.at < stop and read.at < size:
             frag = 0
             while True:
                 k = read.find(end, most)
                 at = read.at
-                if k < 0 and len(read.held) <= most and at + len(read.held) >= size:
-                    raw = read.take(len(read.held))
+                if k < 0 and read.have() <= most and at + read.have() >= size:
+                    raw = read.take(read.have())
                     if raw or frag:
                         yield at, "none", frag, raw
                     break
