@@ -401,6 +401,13 @@ def export_cef(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.cef(export_rows(spark, sf_dir)).select("record_id", "line")
 
 
+@query(f"""WITH c AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, 'CEF:0|Acme|Gate|1.0.0|main|' || event_type || '|' || (CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 2 ELSE 1 END) || '|rt=' || (epoch_us(ts) // 1000) || ' src=10.0.' || (user_id % 4) || '.' || (event_id % 250) || ' spt=' || ((event_id * 37) % 70000) || ' suser=u' || user_id AS line FROM events WHERE {KV_OK}),
+l AS (SELECT event_id, '<134>1 ' || strftime(make_timestamp(ms // 1000 * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ms % 1000 = 0 THEN '' ELSE '.' || rtrim(printf('%03d', ms % 1000), '0') END || 'Z collector gate - - - ' || line AS line FROM c)
+SELECT event_id AS record_id, strlen(line) || ' ' || line AS frame FROM l""")
+def export_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.syslog(export_rows(spark, sf_dir), "collector", "gate", octets=True)
+
+
 @query("""WITH RECURSIVE d AS (SELECT doc_id, greatest(1, strlen(coalesce(text, ''))) AS n, 's' || (doc_id % 4) AS source_id FROM documents),
 r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS i, sum(n) OVER (PARTITION BY source_id ORDER BY doc_id) AS p FROM d),
 b AS (SELECT source_id, 0::BIGINT AS batch, 1::BIGINT AS i, 0::HUGEINT AS base FROM r WHERE i = 1

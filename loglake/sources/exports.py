@@ -59,13 +59,29 @@ def escape_extension(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"([\\=])", r"\\$1"), "\r?\n", r"\\n")
 
 
-def cef(rows: DataFrame) -> DataFrame:
-    """(record_id, line): escaped header and extension, absent fields left out, severity held between 0 and 10."""
+def cef_line() -> Column:
+    """Escaped header and extension, absent fields left out, severity held between 0 and 10."""
     severity = F.least(F.greatest(F.coalesce("severity_id", F.lit(0)), F.lit(0)), F.lit(10)).cast("string")
     head = [escape_header(F.coalesce(c, F.lit(""))) for c in (F.col("vendor"), F.col("product"), F.col("parser_version"), F.col("extractor"), F.coalesce("message", F.lit("event")))]
     pair = lambda k, c: F.when(c.isNotNull(), F.concat(F.lit(f"{k}="), escape_extension(c.cast("string"))))
     rest = F.concat_ws(" ", pair("rt", F.unix_millis("event_time")), pair("src", F.col("src_endpoint_ip")), pair("spt", F.col("src_endpoint_port")), pair("dst", F.col("dst_endpoint_ip")), pair("suser", F.col("actor_user_name")))
-    return rows.select("record_id", F.concat_ws("|", F.lit("CEF:0"), *head, severity, rest).alias("line"))
+    return F.concat_ws("|", F.lit("CEF:0"), *head, severity, rest)
+
+
+def cef(rows: DataFrame) -> DataFrame:
+    """(record_id, line)."""
+    return rows.select("record_id", cef_line().alias("line"))
+
+
+def syslog(rows: DataFrame, host: str, app: str, octets: bool = False) -> DataFrame:
+    """(record_id, frame): CEF lines behind a header of RFC 5424 (facility local0, informational), as a stream carries them: ended by a line feed, or after
+    the number of their bytes."""
+    micros = F.date_format("event_time", "SSSSSS")
+    fraction = F.regexp_replace(F.concat(F.lit("."), F.regexp_replace(micros, "0+$", "")), r"^\.$", "")
+    stamp = F.concat(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+    line = F.concat(F.lit("<134>1 "), stamp, F.lit(f" {host} {app} - - - "), cef_line())
+    frame = F.concat(F.octet_length(line).cast("string"), F.lit(" "), line) if octets else F.concat(line, F.lit("\n"))
+    return rows.select("record_id", frame.alias("frame"))
 
 
 def batches(rows: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
