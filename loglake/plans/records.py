@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.operators import evidence, extract, identity, ledger, normalize
+from loglake.operators import checkpoints, evidence, extract, identity, ledger, normalize
 from loglake.plans.lines import KV_OK, KV_SPEC, events, kv_lines
 from loglake.plans.registry import query, table
+from loglake.session import stored
 
 SEGMENT = 1000
 RAW = "event_type || ':' || user_id || ':' || (event_id % 97)"
@@ -360,19 +361,56 @@ def identity_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy((F.col("id") % 3).alias("part")).agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("user").eqNullSafe(F.lit("u0"))).alias("right_cases"), F.count_if(F.col("user").isNull()).alias("none"))
 
 
-@query(f"""WITH b AS (SELECT event_id + 1 AS record_id, event_id % 19 = 5 AS other_raw, event_id % 23 = 7 AS other_claim, event_id % 29 = 3 AS open FROM events)
-SELECT CASE WHEN other_raw THEN 'fail' ELSE 'pass' END AS raw_hash, CASE WHEN open THEN 'skip' WHEN other_raw THEN 'fail' ELSE 'pass' END AS leaf, CASE WHEN open THEN 'skip' ELSE 'pass' END AS inclusion, CASE WHEN open THEN 'skip' ELSE 'pass' END AS chain,
-  CASE WHEN other_claim OR other_raw THEN 'fail' ELSE 'pass' END AS derived, count(*) AS n FROM b GROUP BY ALL""")
-def evidence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir)
+PAGE, EVERY, SEED = 100, 4, bytes(range(32))  # records of a segment, segments between checkpoints, and the fixture's signing key
+
+
+def proven(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bundles of the key=value events with forgeries by id, the seals that lead to their checkpoints, and the ledger."""
+    lines = kv_lines(spark, sf_dir).withColumn("record_id", F.col("record_id") + 1)
     e = F.col("record_id") - 1
-    first = lambda raw: F.substring_index(raw.cast("string"), ":", 1)
-    leaf = leaves(spark, sf_dir)
-    claim = F.when(e % 23 == 7, "none").otherwise(first(F.col("raw")))
-    given = rows.select("record_id", "segment", F.when(e % 19 == 5, F.lit("forged:1:1").cast("binary")).otherwise(F.col("raw")).alias("raw"), F.sha2("raw", 256).alias("raw_sha256"), claim.alias("claimed"))
-    proofs = ledger.inclusion_paths(leaf).filter((F.col("record_id") - 1) % 29 != 3)
-    checked = evidence.checks(evidence.bundles(given, proofs, ledger.seals(leaf)), first)
-    return checked.groupBy(*[F.col("checks")[k].alias(k) for k in evidence.CHECKS]).agg(F.count(F.lit(1)).alias("n"))
+    body = lambda raw: ledger.canonical_body(F.col("record_id"), F.unix_micros("received_at") * 1000, F.col("source_id"), F.lit(2), F.lit("file"), F.col("record_id"), raw)
+    rows = lines.withColumn("segment", ledger.segment_of(F.col("record_id"), PAGE))
+    leaf = rows.select("segment", "record_id", ledger.leaf_hash(body(F.col("raw"))).alias("leaf"))
+    book = stored(ledger.seals(leaf), "ledger")
+    states = book.filter(F.col("segment") % EVERY == 0).select(F.lower(F.hex("chain")).alias("head"), F.col("last_seq").alias("sealed_through"), F.col("segment").alias("segments"), F.col("segment").cast("string").alias("signed_at"))
+    forged = F.when(F.col("segments") / EVERY % 5 == 2, F.unhex(F.lit("AB" * 64))).otherwise(F.col("signature"))
+    log = checkpoints.checked(checkpoints.signed(states, SEED).withColumn("signature", forged), checkpoints.public_key(SEED))
+    runs = evidence.runs(book.withColumn("root", F.when(F.col("segment") % 12 == 7, ledger.sha(F.col("root"))).otherwise(F.col("root"))), stored(log, "checkpoints"))
+    fine = normalize.split(normalize.normalize(lines, [KV_SPEC]))[0]
+    version = F.when(e % 43 == 9, "0.9.0").otherwise(F.col("event.parser_version"))
+    served = fine.select(
+        "record_id", F.sha2(F.col("raw").cast("binary"), 256).alias("raw_sha256"), F.when(e % 31 == 4, "other").otherwise(F.col("source_id")).alias("source_id"), F.col("event.parser_id").alias("parser_id"), version.alias("parser_version"),
+        F.when(e % 23 == 7, "{}").otherwise(evidence.claim(F.col("event"))).alias("claim"),
+    )
+    raw = F.when(e % 19 == 5, F.lit("forged")).otherwise(F.col("raw"))
+    held = rows.select("record_id", "segment", "source_id", "received_at", raw.cast("binary").alias("raw"), body(raw).alias("body"))
+    proofs = ledger.inclusion_paths(leaf).filter(e % 29 != 3)
+    made = evidence.bundles(held, served, proofs, book, evidence.walk(runs))
+    of = F.col("event.record_id") - 1
+    bad = F.when(of % 37 == 6, F.col("proof").withField("root", F.unhex(F.lit(ledger.ZERO)))).when(of % 41 == 8, F.col("proof").withField("chain", F.unhex(F.lit(ledger.ZERO)))).otherwise(F.col("proof"))
+    return made.withColumn("proof", bad), runs, book
+
+
+@query(f"""WITH b AS (SELECT event_id AS e, event_id // {PAGE} + 1 AS seg, (event_id // {PAGE} + {EVERY}) // {EVERY} AS cp, max(event_id // {PAGE} + 1) OVER () AS segs FROM events),
+v AS (SELECT *, e % 29 = 3 AS open, CASE WHEN e % 29 = 3 OR cp * {EVERY} > segs THEN 'skip' WHEN cp % 5 = 2 OR seg % 12 IN (5, 6) OR (e % 37 <> 6 AND e % 41 = 8) THEN 'fail' ELSE 'pass' END AS covered FROM b JOIN events ON e = event_id WHERE {KV_OK})
+SELECT CASE WHEN e % 19 = 5 THEN 'fail' ELSE 'pass' END AS raw_hash, CASE WHEN e % 31 = 4 THEN 'fail' ELSE 'pass' END AS record, CASE WHEN open THEN 'skip' WHEN e % 19 = 5 THEN 'fail' ELSE 'pass' END AS leaf,
+  CASE WHEN open THEN 'skip' WHEN e % 37 = 6 THEN 'fail' ELSE 'pass' END AS inclusion, CASE WHEN open THEN 'skip' WHEN e % 37 = 6 OR e % 41 = 8 THEN 'fail' ELSE 'pass' END AS chain, CASE WHEN open THEN 'skip' ELSE 'pass' END AS anchor,
+  CASE WHEN e % 43 = 9 THEN 'skip' WHEN e % 23 = 7 OR e % 19 = 5 THEN 'fail' ELSE 'pass' END AS derived, covered, CASE WHEN covered = 'pass' THEN 'pass' ELSE 'skip' END AS trusted,
+  CASE WHEN open OR cp * {EVERY} > segs THEN NULL WHEN cp % 5 = 2 THEN 'the checkpoint''s signature is not right' WHEN seg % 12 IN (5, 6) THEN 'the chain breaks at segment ' || (seg + 7 - seg % 12) WHEN e % 37 <> 6 AND e % 41 = 8 THEN 'the chain does not go on from the record''s seal' END AS problem, count(*) AS n FROM v GROUP BY ALL""")
+def evidence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _, book = proven(spark, sf_dir)
+    head = evidence.head(book)
+    checked = evidence.checks(made, [KV_SPEC], trusted=checkpoints.public_key(SEED), anchor=head, head=head)
+    return checked.groupBy(*[F.col("checks")[k].alias(k) for k in evidence.CHECKS], "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH s AS (SELECT event_id // {PAGE} + 1 AS segment, max(event_id // {PAGE} + 1) OVER () AS segs FROM events), c AS (SELECT DISTINCT segment, (segment + {EVERY} - 1) // {EVERY} * {EVERY} AS last FROM s WHERE (segment + {EVERY} - 1) // {EVERY} * {EVERY} <= segs)
+SELECT segment, last AS "to", last - segment AS links, CAST(coalesce(list_sum(range(segment + 1, last + 1)), 0) AS BIGINT) AS segments FROM c""")
+def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, runs, _ = proven(spark, sf_dir)
+    ways = evidence.links(runs, runs).join(runs.select("segment", F.col("checkpoint.segments").alias("to")), "segment")
+    total = F.aggregate("links", F.lit(0).cast("bigint"), lambda a, s: a + s["segment"])
+    return ways.select("segment", "to", F.size("links").cast("bigint").alias("links"), total.alias("segments"))
 
 
 RULE = {"kind": "radius", "when": {"field": "action", "in": ["purchase", "error", "view"]}, "action": {"field": "action", "enum": {"purchase": "bind", "view": "bind", "error": "release"}}, "ip": "ip", "user": "user", "host": "note"}
