@@ -382,6 +382,17 @@ def lake_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.lake(export_rows(spark, sf_dir)).groupBy("dt", "vendor").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("metric_value"), 4).alias("total"))
 
 
+@query(f"""SELECT event_id || '.app_kv@1.0.0' AS event_id, event_id AS record_id, event_id // 1000 AS segment, 64::BIGINT AS sha, 's' || (user_id % 5) AS source_id, 'Acme' AS vendor_name, 'Gate' AS product, 'app_kv' AS parser_id, '1.0.0' AS parser_version, 'main' AS template_id,
+  epoch_us(ts) // 1000 * 1000 AS event_us, epoch_us(ts) AS received_us, (CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 2 ELSE 1 END)::INT AS severity_id, 0 AS action_id, 4001 AS class_uid, '10.0.' || (user_id % 4) || '.' || (event_id % 250) AS src_ip, '' AS dst_ip,
+  ((event_id * 37) % 70000)::INT AS src_port, 0 AS dst_port, '' AS proto, 0::BIGINT AS bytes_in, 0::BIGINT AS bytes_out, 'u' || user_id AS "user", '' AS host, false AS time_from_receipt, true AS current, event_type AS message, 'u' || user_id AS nested_user, strftime(ts, '%Y-%m-%d') AS dt, 'Acme' AS vendor FROM events WHERE {KV_OK}""")
+def lake_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = kv_lines(spark, sf_dir).withColumn("segment", F.floor(F.col("record_id") / 1000))
+    rows = exports.lake_columns(normalize.normalize(lines, [KV_SPEC]))
+    get = lambda p: F.get_json_object("extras_json", p)
+    same = [c for c in rows.columns if c not in ("raw_sha256", "event_time", "received_at", "activity_id", "confidence", "integrity_flags", "extras_json")]
+    return rows.select(*same, F.length(F.hex("raw_sha256")).cast("bigint").alias("sha"), F.unix_micros("event_time").alias("event_us"), F.unix_micros("received_at").alias("received_us"), get("$.ocsf.message").alias("message"), get("$.ocsf.actor.user.name").alias("nested_user"))
+
+
 @query(f"""SELECT event_id AS record_id, epoch_us(ts) // 1000 AS time, 'u' || user_id AS "user", event_id || '.app_kv@1.0.0' AS uid FROM events WHERE {KV_OK}""")
 def export_ocsf(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = exports.ocsf(export_rows(spark, sf_dir))

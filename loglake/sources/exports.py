@@ -17,10 +17,69 @@ def flat(parsed: DataFrame) -> DataFrame:
     return parsed.select("record_id", uid.alias("event_uid"), "source_id", "received_at", "event_time", "event.vendor", "event.product", "event.parser_version", "event.extractor", "event.unmapped", "event.flags", "event.ocsf.*")
 
 
+def folder(vendor: Column) -> Column:
+    """A vendor's name, made safe for a path; none is ``unknown``."""
+    return F.regexp_replace(F.coalesce(F.nullif(vendor, F.lit("")), F.lit("unknown")), "[^A-Za-z0-9_.-]", "_")
+
+
 def lake(rows: DataFrame) -> DataFrame:
     """With the partition columns dt (UTC date of the event) and vendor (made safe for a path) and the leftovers as JSON."""
-    vendor = F.regexp_replace(F.coalesce("vendor", F.lit("unknown")), "[^A-Za-z0-9_-]", "_")
-    return rows.withColumns({"dt": F.date_format("event_time", "yyyy-MM-dd"), "vendor": vendor, "extras_json": F.to_json("unmapped")}).drop("unmapped")
+    return rows.withColumns({"dt": F.date_format("event_time", "yyyy-MM-dd"), "vendor": folder(F.col("vendor")), "extras_json": F.to_json("unmapped")}).drop("unmapped")
+
+
+def at(path: str) -> Column:
+    """The value of a target path: its own column, or what is kept among further paths."""
+    return F.col("event.ocsf")[path.replace(".", "_")].cast("string") if path in PATHS else F.try_element_at("event.more", F.lit(path))
+
+
+def nested() -> Column:
+    """The mapped paths as a struct of structs; further paths stay dotted, under ``more``."""
+    tree: dict[str, list] = {}
+    for path in PATHS:
+        tree.setdefault(path.partition(".")[0], []).append(path)
+
+    def node(paths: list[str], depth: int) -> Column:
+        own: dict[str, list[str]] = {}
+        for path in paths:
+            own.setdefault(path.split(".")[depth], []).append(path)
+        value = lambda ps: F.col("event.ocsf")[ps[0].replace(".", "_")] if len(ps) == 1 and ps[0].count(".") == depth else node(ps, depth + 1)
+        return F.struct(*[value(ps).alias(k) for k, ps in own.items()])
+
+    return node(list(PATHS), 0)
+
+
+def lake_columns(parsed: DataFrame, current: Column | None = None) -> DataFrame:
+    """An event a row, as the lake's files hold it: 29 columns with types, and the rest as JSON. Absent texts are empty, absent numbers 0.
+
+    ``parsed`` is what the normalizer gives, with ``segment``; numbers that aren't one count as absent. The typed vendor is ``vendor_name``: ``vendor`` is the
+    partition, with ``dt``, the UTC date of the event. ``current`` tells superseded events; all are current without it. Nothing is shuffled.
+    """
+    text = lambda *paths: F.coalesce(*[at(p) for p in paths], F.lit(""))
+    number = lambda kind, *paths: F.coalesce(F.coalesce(*[at(p) for p in paths]).try_cast(kind), F.lit(0).cast(kind))
+    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
+    extras = F.struct(
+        nested().alias("ocsf"), F.col("event.more").alias("more"), F.col("event.unmapped").alias("unmapped"), F.col("event.coverage").alias("coverage"), F.col("event.identity").alias("identity"),
+        *([F.col("entities")] if "entities" in parsed.columns else []),
+    )
+    columns = {
+        "event_id": F.concat(F.col("record_id").cast("string"), F.lit("."), F.col("event.parser_id"), F.lit("@"), F.col("event.parser_version")),
+        "record_id": F.col("record_id").cast("bigint"), "segment": F.col("segment").cast("bigint"), "raw_sha256": F.unhex(F.sha2(F.col("raw").cast("binary"), 256)), "source_id": plain("source_id"),
+        "vendor_name": plain("event.vendor"), "product": plain("event.product"), "parser_id": F.col("event.parser_id"), "parser_version": F.col("event.parser_version"), "template_id": F.col("event.extractor"),
+        "event_time": F.coalesce("event_time", "received_at"), "received_at": F.col("received_at"),
+        "severity_id": number("int", "severity_id"), "action_id": number("int", "action_id"), "activity_id": number("int", "activity_id"), "class_uid": number("int", "class_uid"),
+        "src_ip": text("src_endpoint.ip", "source.ip", "src_ip"), "dst_ip": text("dst_endpoint.ip", "destination.ip", "dst_ip"),
+        "src_port": number("int", "src_endpoint.port", "source.port", "src_port"), "dst_port": number("int", "dst_endpoint.port", "destination.port", "dst_port"),
+        "proto": text("protocol", "network.transport", "proto"), "bytes_in": number("bigint", "traffic.bytes_in", "network.bytes_in", "bytes_in"), "bytes_out": number("bigint", "traffic.bytes_out", "network.bytes_out", "bytes_out"),
+        "user": text("user.name", "actor.user.name", "user"), "host": text("device.hostname", "host.name", "host"), "confidence": F.col("parse_confidence").cast("float"),
+        "integrity_flags": F.coalesce("event.flags", F.array().cast("array<string>")), "time_from_receipt": F.col("time_from_receipt"), "current": F.lit(True) if current is None else current,
+        "extras_json": F.to_json(extras), "dt": F.date_format(F.coalesce("event_time", "received_at"), "yyyy-MM-dd"), "vendor": folder(F.col("event.vendor")),
+    }
+    return parsed.filter("event is not null").select(*[c.alias(name) for name, c in columns.items()])
+
+
+def write_lake_columns(rows: DataFrame, path: str) -> None:
+    """Appends rows of ``lake_columns``; a task's rows of a day and vendor lie together, so that it has one file open at a time."""
+    rows.sortWithinPartitions("dt", "vendor", "record_id").write.partitionBy("dt", "vendor").option("compression", "zstd").option("maxRecordsPerFile", 500_000).mode("append").parquet(path)
 
 
 def write_lake(rows: DataFrame, path: str) -> None:

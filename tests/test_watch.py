@@ -19,14 +19,14 @@ def renamed(n):
 
 
 def batches():
-    """Three sources over five batches: calm stays healthy, moved is renamed in the third batch, few has under fifty lines, late comes with the fourth."""
+    """Sources over four batches: calm stays healthy, moved is renamed in the second batch, few has under fifty lines, late comes with the third."""
     n, out = 0, []
-    for b in range(5):
+    for b in range(4):
         rows = []
-        for source, lines in (("calm", 80), ("moved", 80), ("few", 8), ("late", 60 if b >= 3 else 0)):
+        for source, lines in (("calm", 80), ("moved", 80), ("few", 8), ("late", 60 if b >= 2 else 0)):
             for _ in range(lines):
                 n += 1
-                bad = (source == "moved" and b >= 2) or (source == "late")
+                bad = (source == "moved" and b >= 1) or (source == "late")
                 rows.append((source, n, renamed(n) if bad else kv(n), not bad, None if bad else "kv"))
         if b == 1:
             rows = [r for r in rows if r[0] != "calm"]  # nothing of calm came
@@ -78,9 +78,9 @@ def test_stream_over_restarts(spark, tmp_path):
             assert r["decision"] == want, (k, source)
             if want in ("alert", "proposal"):
                 alerts[source] = alerts.get(source, False) or want == "proposal"
-    assert [got[k]["moved"]["decision"] for k in range(5)] == ["baseline", "baseline", "proposal", "alert", "alert"]
-    assert len({got[k]["moved"]["alert_id"] for k in (2, 3, 4)}) == 1
-    assert [got[k]["late"]["decision"] for k in (3, 4)] == ["proposal", "alert"]
+    assert [got[k]["moved"]["decision"] for k in range(4)] == ["baseline", "proposal", "alert", "alert"]
+    assert len({got[k]["moved"]["alert_id"] for k in (1, 2, 3)}) == 1
+    assert [got[k]["late"]["decision"] for k in (2, 3)] == ["proposal", "alert"]
     assert {got[k]["calm"]["decision"] for k in got if "calm" in got[k]} == {"baseline"}
 
 
