@@ -162,25 +162,45 @@ def seals(leaves: DataFrame) -> DataFrame:
     return rows.repartition(1).sortWithinPartitions("segment").mapInArrow(run, "segment bigint, first_seq bigint, last_seq bigint, count bigint, root binary, prev binary, chain binary")
 
 
-def verify_chain(ledger: DataFrame) -> DataFrame:
-    """(segment, reason) of each seal that doesn't follow from the one before it: gap, sequence, range, prev, chain. The seal before is found within
-    blocks of segments, and across them from one row a block."""
-    block = F.floor(F.col("segment") / 4096)
-    within = Window.partitionBy("_b").orderBy("segment")
-    rows = ledger.withColumn("_b", block)
-    last = rows.groupBy("_b").agg(F.max_by(F.struct("segment", "last_seq", "chain"), "segment").alias("_end"))
-    ends = last.withColumn("_end", F.lag("_end").over(Window.orderBy("_b")))  # one row a block
+def verify_chain(ledger: DataFrame, footers: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(segment, reason) of each seal that doesn't follow from the one before it: gap, sequence, range, prev, chain; with ``footers`` (segment, root, chain:
+    what the segments themselves say) also missing, footer root, footer chain. ``by``: columns that tell ledgers apart, each a chain of its own. The seal
+    before is found within blocks of segments, and across them from one row a block."""
+    key = [F.col(k) for k in by]
+    within = Window.partitionBy(*key, "_b").orderBy("segment")
+    rows = ledger.select(*by, "segment", "first_seq", "last_seq", "count", "root", "prev", "chain", F.floor(F.col("segment") / 4096).alias("_b"))
+    last = rows.groupBy(*key, "_b").agg(F.max_by(F.struct("segment", "last_seq", "chain"), "segment").alias("_end"))
+    ends = last.withColumn("_end", F.lag("_end").over(Window.partitionBy(*key).orderBy("_b")))  # one row a block
     seal = F.coalesce(F.lag(F.struct("segment", "last_seq", "chain")).over(within), F.col("_end"))
-    before = rows.join(ends, "_b").withColumn("_p", seal).select("*", F.col("_p.segment").alias("_s"), F.col("_p.last_seq").alias("_l"), F.col("_p.chain").alias("_c"))
+    before = rows.join(ends, [*by, "_b"]).withColumn("_p", seal).select("*", F.col("_p.segment").alias("_s"), F.col("_p.last_seq").alias("_l"), F.col("_p.chain").alias("_c"))
     prev = F.coalesce(F.col("_c"), F.unhex(F.lit(ZERO)))
     reason = (
         F.when(F.col("segment") != F.coalesce(F.col("_s"), F.lit(0)) + 1, "gap")
         .when(F.col("first_seq") != F.coalesce(F.col("_l"), F.lit(0)) + 1, "sequence")
-        .when(F.col("count") != F.col("last_seq") - F.col("first_seq") + 1, "range")
+        .when((F.col("count") == 0) | (F.col("count") != F.col("last_seq") - F.col("first_seq") + 1), "range")
         .when(F.col("prev") != prev, "prev")
         .when(F.col("chain") != chain_hash(F.col("prev"), F.col("root"), F.col("segment"), F.col("count")), "chain")
     )
-    return before.withColumn("reason", reason).filter("reason is not null").select("segment", "reason")
+    if footers is not None:
+        before = before.join(footers.select(*by, "segment", F.struct("root", "chain").alias("_f")), [*by, "segment"], "left")
+        agrees = lambda k: F.col(f"_f.{k}").eqNullSafe(F.col(k))
+        reason = reason.when(F.col("_f").isNull(), "missing").when(~agrees("root"), "footer root").when(~agrees("chain"), "footer chain")
+    return before.withColumn("reason", reason).filter("reason is not null").select(*by, "segment", "reason")
+
+
+def chain_report(ledger: DataFrame, footers: DataFrame, heads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(ok, segments, records, first_bad, reason), one row a ledger of ``heads`` (head: the chain hash that was recorded last): the first segment of
+    ``verify_chain`` that is bad and why, else ``head`` where the last seal isn't the recorded head. Records count only where no segment is bad.
+    A ledger without seals has a head of zeros."""
+    key = [F.col(k) for k in by]
+    size = ledger.groupBy(*key).agg(F.count(F.lit(1)).alias("segments"), F.sum("count").alias("_n"), F.max_by("chain", "segment").alias("_last"))
+    bad = verify_chain(ledger, footers, by).groupBy(*key).agg(F.min(F.struct("segment", "reason")).alias("_bad"))
+    beside = lambda a, b: a.join(b, list(by), "left") if by else a.join(b, how="left")  # noqa: E731 (without ``by``, one row each)
+    both = beside(beside(heads, size), bad)
+    led = F.coalesce("_last", F.unhex(F.lit(ZERO))).eqNullSafe(F.col("head"))
+    reason = F.coalesce(F.col("_bad.reason"), F.when(~led, "head"))
+    records = F.when(F.col("_bad").isNull(), F.coalesce("_n", F.lit(0))).otherwise(0)
+    return both.select(*by, reason.isNull().alias("ok"), F.coalesce("segments", F.lit(0)).alias("segments"), records.alias("records"), F.col("_bad.segment").alias("first_bad"), reason.alias("reason"))
 
 
 def verify_deep(leaves: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglake.operators import checkpoints, evidence, extract, identity, ledger, normalize
@@ -123,6 +123,23 @@ def verify_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.verify_chain(sealed.withColumn("root", forged))
 
 
+@query(f"""WITH n AS (SELECT count(DISTINCT event_id // {SEGMENT}) AS segments, count(*) AS records, max(event_id) // {SEGMENT} + 1 AS last FROM events)
+SELECT forged, reason IS NULL AS ok, segments, CASE WHEN bad IS NULL THEN records ELSE 0 END AS records, bad AS first_bad, reason FROM (SELECT forged, segments, records, CASE WHEN forged IN ('none', 'head') THEN NULL WHEN forged = 'gap' THEN 2 ELSE last END AS bad,
+  nullif(forged, 'none') AS reason FROM n, (VALUES ('none'), ('gap'), ('sequence'), ('range'), ('prev'), ('chain'), ('missing'), ('footer root'), ('footer chain'), ('head')) v(forged))""")
+def chain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger ten times: whole, and with one fault each, all but the gap in its last segment."""
+    forged = ["none", "gap", "sequence", "range", "prev", "chain", "missing", "footer root", "footer chain", "head"]
+    many = ledger.seals(leaves(spark, sf_dir)).withColumn("forged", F.explode(F.array(*[F.lit(x) for x in forged])))
+    rows = many.withColumn("_end", F.col("segment") == F.max("segment").over(Window.partitionBy("forged")))  # a row a segment
+    at = lambda kind: (F.col("forged") == kind) & F.col("_end")
+    wrong = lambda kind, column: F.when(at(kind), ledger.sha(F.col(column))).otherwise(F.col(column))
+    more = lambda test, column: F.col(column) + test.cast("int")
+    sealed = rows.withColumns({"segment": more(F.col("forged") == "gap", "segment"), "first_seq": more(at("sequence"), "first_seq"), "count": more(at("range"), "count"), "prev": wrong("prev", "prev"), "root": wrong("chain", "root")})
+    footers = rows.filter(~at("missing")).select("forged", "segment", wrong("footer root", "root").alias("root"), wrong("footer chain", "chain").alias("chain"))
+    heads = rows.filter("_end").select("forged", wrong("head", "chain").alias("head"))
+    return ledger.chain_report(sealed, footers, heads, ("forged",))
+
+
 @query(f"SELECT DISTINCT event_id // {SEGMENT} + 1 AS segment, 'root' AS reason FROM events WHERE event_id % 1500 = 7")
 def verify_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
