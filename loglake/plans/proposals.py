@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.operators import columns, normalize, propose
+from loglake.operators import columns, normalize, propose, texts
 from loglake.plans.lines import KV_OK, KV_SPEC, events, kv_lines
 from loglake.plans.registry import query
 from loglake.plans.unknown import FIELDS, S, wide
@@ -107,3 +107,17 @@ def vector_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = KV_SPEC | {"version": "1.0.1", "extractors": [main | {"map": main["map"] | {"severity_id": {"from": "action", "type": "enum", "values": {}, "default": "1"}}}]}
     lines = found.withColumn("received_at", F.lit(0).cast("timestamp"))
     return propose.replay_vectors(lines, lambda x: normalize.normalize(x, [other])).select("source_id", "record_id", "same")
+
+
+TIME_GROUP = r"(?P<ts>\d{4}-\d\d-\d\d[ T][\d:.]+(?:Z|[+-]\d\d:?\d\d)?)"
+IP_GROUP = r"(?P<%s>\d{1,3}(?:\.\d{1,3}){3})"
+TEXT_PATTERN = rf"^{TIME_GROUP} gate: (?P<v5>[\w.]+) inbound TCP from {IP_GROUP % 'src_ip'}/(?P<src_port>\d+) to {IP_GROUP % 'dst_ip'}/443$"
+TEXT_MAP = "ts->time time layout=yyyy-MM-dd HH:mm:ss; src_ip->src_endpoint.ip ip; src_port->src_endpoint.port port; dst_ip->dst_endpoint.ip ip; ->dst_endpoint.port const default=443; ->connection_info.protocol_num const default=6; ->connection_info.protocol_name const default=tcp; ->activity_id const default=6; ->severity_id const default=1"
+
+
+@query(f"""WITH g AS (SELECT {S}, count(*) AS lines FROM events GROUP BY ALL HAVING count(*) >= 50)
+SELECT source_id, 'tpl_1' AS extractor, lines, '{TEXT_PATTERN}' AS pattern, '{{ts}} gate: {{v5}} inbound TCP from {{src_ip}}/{{src_port}} to {{dst_ip}}/443' AS render, '{TEXT_MAP}' AS map, NULL::VARCHAR AS confirm, ' inbound TCP from ' AS signature FROM g""")
+def propose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    raw = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.format_string(" gate: c%d inbound TCP from 93.184.0.%d/%d to 10.0.0.%d/443", e % 7000, e % 50, e % 30000 + 20000, e % 200))
+    return texts.propose_text(rows(spark, sf_dir, raw)).select("source_id", "extractor", "lines", "pattern", "render", told(), "confirm", "signature")
