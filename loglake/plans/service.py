@@ -393,6 +393,20 @@ def lake_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*same, F.length(F.hex("raw_sha256")).cast("bigint").alias("sha"), F.unix_micros("event_time").alias("event_us"), F.unix_micros("received_at").alias("received_us"), get("$.ocsf.message").alias("message"), get("$.ocsf.actor.user.name").alias("nested_user"))
 
 
+@query(f"""SELECT event_id || '.app_kv@1.0.0' AS event_id, 'u' || user_id AS "user", event_type AS message, strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%fZ') AS original_time, event_id AS record_id, 'app_kv' AS parser, '1.0.0' AS version, true AS same, true AS raw_same FROM events WHERE {KV_OK}""")
+def ocsf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents of all events, each listed twice, with the raw line and its hash checked against the line."""
+    lines = kv_lines(spark, sf_dir)
+    parsed, _ = normalize.split(normalize.normalize(lines, [KV_SPEC]))
+    docs = exports.ocsf_documents(parsed.unionByName(parsed), raw=True).join(lines.select("record_id", "raw"), "record_id")
+    get = lambda p: F.get_json_object("line", p)
+    held = F.unbase64(get("$.raw_data"))
+    return docs.select(
+        "event_id", get("$.actor.user.name").alias("user"), get("$.message").alias("message"), get("$.metadata.original_time").alias("original_time"), get("$.lineage.record_id").cast("bigint").alias("record_id"), get("$.lineage.parser").alias("parser"),
+        get("$.lineage.parser_version").alias("version"), (F.sha2(held, 256) == get("$.lineage.raw_sha256")).alias("same"), (held == F.col("raw").cast("binary")).alias("raw_same"),
+    )
+
+
 @query(f"""SELECT event_id AS record_id, epoch_us(ts) // 1000 AS time, 'u' || user_id AS "user", event_id || '.app_kv@1.0.0' AS uid FROM events WHERE {KV_OK}""")
 def export_ocsf(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = exports.ocsf(export_rows(spark, sf_dir))

@@ -97,6 +97,27 @@ def ocsf(rows: DataFrame) -> DataFrame:
     return rows.select("record_id", F.to_json(doc).alias("line"))
 
 
+def ocsf_documents(parsed: DataFrame, raw: bool = False) -> DataFrame:
+    """(event_id, record_id, line), an event once, as nested OCSF JSON: the mapped paths, leftovers as ``unmapped``, uid and original time in ``metadata``, and
+    ``lineage`` (record, hash, parser, confidence, flags, and ``entities`` if ``parsed`` has them). ``raw``: the line itself as base64, too. Further paths
+    stay dotted, under ``more``. An event without a time has that of its receipt. Events that are listed twice are told by their id."""
+    uid = F.concat(F.col("record_id").cast("string"), F.lit("."), F.col("event.parser_id"), F.lit("@"), F.col("event.parser_version"))
+    tops = list(dict.fromkeys(p.partition(".")[0] for p in PATHS))
+    own = [F.col(f"_o.metadata.{p.partition('.')[2]}").alias(p.partition(".")[2]) for p in PATHS if p.count(".") == 1 and p.startswith("metadata.")]
+    stamp = F.date_format(F.coalesce("event_time", "received_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    lineage = F.struct(
+        "record_id", F.sha2(F.col("raw").cast("binary"), 256).alias("raw_sha256"), F.col("event.parser_id").alias("parser"), F.col("event.parser_version").alias("parser_version"),
+        F.col("parse_confidence").alias("confidence"), F.coalesce("event.flags", F.array().cast("array<string>")).alias("integrity_flags"),
+        *([F.col("entities")] if "entities" in parsed.columns else []), *([F.lit("base64").alias("raw_encoding")] if raw else []),
+    )
+    doc = F.struct(
+        *[F.col(f"_o.{k}").alias(k) for k in tops if k != "metadata"], F.struct(*own, F.col("_uid").alias("uid"), stamp.alias("original_time")).alias("metadata"), F.col("event.more").alias("more"), F.col("event.unmapped").alias("unmapped"),
+        *([F.base64(F.col("raw").cast("binary")).alias("raw_data")] if raw else []), lineage.alias("lineage"),
+    )
+    rows = parsed.filter("event is not null").withColumns({"_uid": uid, "_o": nested()})
+    return rows.select(F.col("_uid").alias("event_id"), "record_id", F.to_json(doc).alias("line")).dropDuplicates(["event_id"])
+
+
 def ecs(rows: DataFrame, action_lines: bool = False) -> DataFrame:
     stamp = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     doc = F.struct(

@@ -28,3 +28,17 @@ def test_files(spark, sf_dir, tmp_path):
     none = KV_SPEC | {"vendor": None}
     assert {r["vendor"] for r in exports.lake_columns(normalize.normalize(lines.limit(40), [none])).select("vendor").collect()} == {"unknown"}
     assert exports.lake_columns(normalize.normalize(lines.limit(0), [KV_SPEC])).count() == 0
+
+
+def test_ocsf_documents(spark, sf_dir):
+    main = KV_SPEC["extractors"][0]
+    spec = KV_SPEC | {"extractors": [main | {"map": main["map"] | {"dst_endpoint.mac": {"from": "value"}}}]}
+    parsed = normalize.normalize(kv_lines(spark, sf_dir), [spec]).withColumn("entities", F.array(F.lit("user:a")))
+    rows = exports.ocsf_documents(parsed.withColumn("event_time", F.when(F.col("record_id") % 2 == 0, F.col("event_time"))))
+    got = rows.join(parsed.select("record_id", "received_at", "event_time"), "record_id").limit(60).collect()
+    assert got and rows.count() == parsed.filter("event is not null").count()
+    for r in got:
+        doc, at = json.loads(r["line"]), r["event_time"] if r["record_id"] % 2 == 0 else r["received_at"]
+        assert doc["metadata"] | {"uid": r["event_id"], "original_time": at.strftime("%Y-%m-%dT%H:%M:%S.%fZ")} == doc["metadata"]
+        assert doc["lineage"]["entities"] == ["user:a"] and "raw_data" not in doc and "dst_endpoint.mac" in doc["more"]
+    assert exports.ocsf_documents(parsed.limit(0), raw=True).count() == 0
