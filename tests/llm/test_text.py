@@ -279,3 +279,14 @@ def test_url_rules_in_several_passes(spark, monkeypatch):
     rules = [*urlfilter.RULES, urlfilter.Rule("u.x", (), "block", "loose")]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.filter_urls(df, rules).collect()}
     assert got == {0: ("example.com/en/7", "allow"), 1: ("net/de/", "block"), 2: ("loose", "block")}
+
+
+def test_url_rules_of_the_contract(spark):
+    """Each rule with the contract's own word, on the host, a subdomain and next to the rule that is longer."""
+    want = {
+        "http://com/en/": ("com/en/", "block"), "http://a.com/en/x": ("com/en/", "block"), "http://example.com/en/7": ("example.com/en/7", "allow"), "http://w.example.com/en/71": ("example.com/en/7", "allow"), "http://example.com/en/8": ("com/en/", "block"),
+        "http://net/de/": ("net/de/", "allow"), "http://b.net/de/8": ("net/de/", "allow"), "http://spam-farm.net/de/1": ("net/de/", "allow"), "http://example.net/de/8": ("example.net/de/8", "block"), "http://w.example.net/de/81?q": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://org/es/": ("org/es/", "block"), "http://a.org/es/x": ("org/es/", "block"), "http://a.org/ES/x": (None, "allow"), "http://spam-farm.net/en/1": (None, "block"),
+    }
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r["url"]: (r["rule"], r["verdict"]) for r in urlfilter.filter_urls(df, urlfilter.RULES).collect()} == want
