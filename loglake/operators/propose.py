@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglake.operators import columns, drift
+from loglake.session import stored
 
 # Names of protocols and bands of severities by number, keys that tell kinds of records apart, standard keys of CEF and LEEF extensions.
 PROTOCOL_NAMES = {"6": "tcp", "17": "udp", "1": "icmp", "58": "icmpv6", "132": "sctp"}
@@ -75,23 +76,32 @@ def counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("source_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def carried(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """``found`` (source_id, record_id, key, value) of the keys that nearly all records of a source carry."""
-    often = found.groupBy("source_id", "key").agg(F.count(F.lit(1)).alias("c")).join(counts(lines), "source_id").filter(F.col("c") >= CARRIED * F.col("lines"))
-    return found.join(often.select("source_id", "key"), ["source_id", "key"], "left_semi")
+def carried(keys: DataFrame, total: DataFrame) -> DataFrame:
+    """``keys`` (source_id, key, c: records that have it, and more), a row a key, of those that nearly all records of a source carry. What a record holds is
+    never joined to them: all values of a key would go to one task. Types are found for all keys, and those of others dropped."""
+    return keys.join(total, "source_id").filter(F.col("c") >= CARRIED * F.col("lines"))
 
 
 def as_long(found: DataFrame) -> DataFrame:
-    return found.select("source_id", F.col("key").alias("field"), "value")
+    return found.select("source_id", F.col("key").alias("field"), "value", *[k for k in ("n",) if k in found.columns])
+
+
+def seen(found: DataFrame) -> DataFrame:
+    """(source_id, key, value, n, record_id, and pos where ``found`` has it): each value of a key once, on how many records and on which first. It is kept,
+    so that lines are read once however much is asked of their fields."""
+    first = [F.min_by("pos", "record_id").alias("pos")] if "pos" in found.columns else []
+    return stored(found.groupBy("source_id", "key", "value").agg(F.count(F.lit(1)).alias("n"), *first, F.min("record_id").alias("record_id")), "seen")
 
 
 def propose_csv(lines: DataFrame) -> DataFrame:
     """(source_id, lines, min_columns, columns, marker, signature, map) for headerless CSV: columns count as far as every line has them; the first column
     that always says the same word marks the source."""
-    found = drift.fields(lines, F.lit("csv"))
-    width = found.groupBy("source_id", "record_id").agg(F.count(F.lit(1)).alias("w")).groupBy("source_id").agg(F.min("w").alias("min_columns"), F.count(F.lit(1)).alias("lines"))
-    at = F.substring("key", 5, 9).cast("int")
-    typed = columns.typed(as_long(found.join(width, "source_id").filter(at < F.col("min_columns"))), names=False)
+    found = seen(drift.fields(lines, F.lit("csv")))
+    keys = stored(present(found), "keys")  # cells have no gaps: a column that is on as many records as any other is on all
+    most = keys.groupBy("source_id").agg(F.max("c").alias("lines"))
+    width = keys.join(most, "source_id").filter("c = lines").groupBy("source_id").agg(F.count(F.lit(1)).cast("int").alias("min_columns"), F.max("lines").alias("lines"))
+    places = width.select("source_id", F.posexplode(F.sequence(F.lit(0), F.col("min_columns") - 1)).alias("_", "first")).select("source_id", F.concat(F.lit("col_"), F.col("first").cast("string")).alias("field"), "first")
+    typed = stored(columns.typed(as_long(found), names=False, places=places), "typed")
     marks = typed.filter((F.col("distinct") == 1) & F.col("least_value").rlike(WORD)).groupBy("source_id").agg(F.min_by("least_value", "place").alias("marker"), F.min("place").alias("marker_at"))
     last = typed.filter("path != ''").groupBy("source_id").agg(F.max("place").alias("_last"), F.collect_set("place").alias("_places"))
     out = width.join(gathered(mapped(typed)), "source_id").join(marks, "source_id", "left").join(last, "source_id", "left")
@@ -106,26 +116,30 @@ def pairs(lines: DataFrame) -> DataFrame:
 
 
 def in_order(found: DataFrame) -> DataFrame:
-    """(source_id, field, first): keys by where they first stand."""
-    first = found.groupBy("source_id", F.col("key").alias("field")).agg(F.min(F.struct("record_id", "pos")).alias("_f"))
-    return first.withColumn("first", F.row_number().over(Window.partitionBy("source_id").orderBy("_f"))).drop("_f")
+    """(source_id, key, c, record_id, pos) of ``seen``: keys, on how many records they are, and where they first stand (a key is once on a record)."""
+    return found.groupBy("source_id", "key").agg(F.sum("n").alias("c"), F.min_by("pos", "record_id").alias("pos"), F.min("record_id").alias("record_id"))
 
 
-def typed_pairs(found: DataFrame) -> DataFrame:
-    """Typed keys of key=value lines, by where they first stand."""
-    return columns.typed(as_long(found), places=in_order(found))
+def typed_pairs(found: DataFrame, keys: DataFrame) -> DataFrame:
+    """The typed ones of ``keys`` of key=value lines, by where they first stand: a row a key, which is kept, as many parts are made of it."""
+    first = F.row_number().over(Window.partitionBy("source_id").orderBy("record_id", "pos"))
+    return stored(columns.typed(as_long(found), places=keys.select("source_id", F.col("key").alias("field"), first.alias("first"))), "typed")
 
 
-def by_name(found: DataFrame) -> DataFrame:
+def by_name(keys: DataFrame) -> DataFrame:
     """(source_id, field, first): keys by their names, where records have no order of keys."""
-    return found.select("source_id", F.col("key").alias("field")).distinct().withColumn("first", F.row_number().over(Window.partitionBy("source_id").orderBy("field")))
+    return keys.select("source_id", F.col("key").alias("field"), F.row_number().over(Window.partitionBy("source_id").orderBy("key")).alias("first"))
+
+
+def present(found: DataFrame) -> DataFrame:
+    return found.groupBy("source_id", "key").agg(F.sum("n").alias("c"))
 
 
 def propose_kv(lines: DataFrame) -> DataFrame:
     """(source_id, lines, signature, map) for a key=value source without a parser: keys that nearly all records carry; a date and a time of day make the
     time where nothing else does. The signature is built from a key that tells the kind, else from the first three mapped keys."""
-    found = carried(pairs(lines), lines)
-    typed = typed_pairs(found)
+    found = seen(pairs(lines))
+    typed = typed_pairs(found, carried(in_order(found), counts(lines)))
     part = lambda t: typed.filter(F.col("type") == t).groupBy("source_id").agg(F.min_by(F.struct("field", "layout"), "place").alias(t))
     timed = typed.filter("path = 'time'").select("source_id").distinct()
     both = part("date").join(part("time_of_day"), "source_id").join(timed, "source_id", "left_anti")
@@ -143,9 +157,10 @@ def propose_kv(lines: DataFrame) -> DataFrame:
 def propose_kv_patch(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     """(source_id, change, old, new, to) for a key=value source whose keys moved. ``mapping`` (source_id, from: array, to) is what its spec maps now: kept
     where the keys still exist, moved to the new key that the same path is found for, else dropped; new keys of a sure type (0.8) are added."""
-    found = pairs(lines)
-    typed = typed_pairs(found)
-    keys = found.groupBy("source_id").agg(F.collect_set("key").alias("_keys"))
+    found = seen(pairs(lines))
+    order = stored(in_order(found), "keys")
+    typed = typed_pairs(found, order)
+    keys = order.groupBy("source_id").agg(F.collect_set("key").alias("_keys"))
     paths = typed.filter("path != ''").select("source_id", F.col("path").alias("to"), F.col("field").alias("new"))
     old = F.array_join("from", "+")
     now = mapping.join(keys, "source_id").withColumn("kept", F.forall("from", lambda k: F.array_contains("_keys", k))).join(paths, ["source_id", "to"], "left")
@@ -159,22 +174,23 @@ def propose_kv_patch(lines: DataFrame, mapping: DataFrame) -> DataFrame:
 def propose_json(lines: DataFrame) -> DataFrame:
     """(source_id, route, value, lines, map): an extractor for each value of the key that tells kinds of records apart (on 95 % of them, ten values at
     most), for groups that are large enough; one for all without such a key."""
-    found = drift.fields(lines, F.lit("json"))
     total = counts(lines)
-    routes = found.filter(F.col("key").isin(ROUTE_KEYS) & F.col("quoted")).groupBy("source_id", "key").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("value").alias("d")).join(total, "source_id")
+    found = drift.fields(lines, F.lit("json"))
+    told = found.filter(F.col("key").isin(ROUTE_KEYS) & F.col("quoted")).groupBy("source_id", "key", "value").agg(F.count(F.lit(1)).alias("n"))
+    routes = told.groupBy("source_id", "key").agg(F.sum("n").alias("c"), F.count("value").alias("d")).join(total, "source_id")
     fit = routes.filter((F.col("c") >= 0.95 * F.col("lines")) & (F.col("d") + (F.col("c") < F.col("lines")).cast("int") <= 10))
     rank = F.coalesce(*[F.when(F.col("key") == k, F.lit(n)) for n, k in enumerate(ROUTE_KEYS)])
     route = fit.groupBy("source_id").agg(F.min_by("key", rank).alias("route"))
-    values = found.join(route, "source_id").filter("key = route").select("source_id", "record_id", "value")
-    grouped = lines.select("source_id", "record_id").join(route, "source_id", "left").join(values, ["source_id", "record_id"], "left")
-    grouped = grouped.withColumn("value", F.when(F.col("route").isNotNull(), F.coalesce("value", F.lit("None"))).otherwise("all"))
-    group = F.struct("source_id", F.coalesce("route", F.lit("")).alias("route"), "value").alias("g")
-    sized = grouped.groupBy(group).agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= CLUSTER)
-    member = grouped.select("source_id", "record_id", group).join(sized.select("g"), "g", "left_semi").withColumnRenamed("source_id", "_s")
-    own = found.join(member, (F.col("source_id") == F.col("_s")) & (found["record_id"] == member["record_id"])).select(F.col("g").alias("source_id"), found["record_id"], "key", "value")
-    lines_of = member.select(F.col("g").alias("source_id"), "record_id")
-    kept = carried(own, lines_of)
-    typed = columns.typed(as_long(kept), places=by_name(kept))
+    # a line finds its group in its own fields; only the route, a row a source, is brought to it
+    said = F.get(F.filter("_f", lambda x: x["key"] == F.col("route")), F.lit(0))["value"]
+    value = F.when(F.col("route").isNotNull(), F.coalesce(said, F.lit("None"))).otherwise("all")
+    cut = lines.select("source_id", drift.line_fields(F.col("raw"), F.lit("json")).alias("_f")).join(F.broadcast(route), "source_id", "left")
+    cut = cut.select(F.struct("source_id", F.coalesce("route", F.lit("")).alias("route"), value.alias("value")).alias("g"), "_f")
+    sized = cut.groupBy("g").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= CLUSTER)
+    own = cut.select(F.col("g").alias("source_id"), F.inline("_f")).groupBy("source_id", "key", "value").agg(F.count(F.lit(1)).alias("n"))
+    own = stored(own, "seen")
+    # groups that are too small have no lines here, so that their keys are left out
+    typed = columns.typed(as_long(own), places=by_name(carried(present(own), sized.withColumnRenamed("g", "source_id"))))
     out = sized.join(gathered(mapped(typed)).withColumnRenamed("source_id", "g"), "g", "left")
     return out.select("g.source_id", "g.route", "g.value", "lines", "map")
 
@@ -182,9 +198,9 @@ def propose_json(lines: DataFrame) -> DataFrame:
 def propose_cef(lines: DataFrame, kind: str = "cef") -> DataFrame:
     """(source_id, lines, signature, map, unfit) for CEF or LEEF: the standard keys that nearly all records carry and whose values are of the type that the
     key stands for; ``unfit`` names those that aren't. The severity of CEF goes by its bands."""
-    found = drift.fields(lines, F.lit(kind))
-    kept = carried(found, lines)
-    typed = columns.typed(as_long(kept), places=by_name(kept))
+    found = seen(drift.fields(lines, F.lit(kind)))
+    kept = stored(carried(present(found), counts(lines)).select("source_id", "key"), "keys")
+    typed = stored(columns.typed(as_long(found), places=by_name(kept)), "typed")
     spark = lines.sparkSession
     table = F.broadcast(spark.createDataFrame([(n, k, p, w) for n, (k, p, w) in enumerate(STANDARD_KEYS)], "n int, field string, to string, want string"))
     known = typed.join(table, "field").withColumn("fits", (F.col("type") == F.col("want")) | ((F.col("want") == "port") & (F.col("type") == "integer")))
@@ -219,12 +235,12 @@ def template_slots(lines: DataFrame, least: int = CLUSTER) -> DataFrame:
     kind = lambda t: F.when(t.rlike(f"^({TIMES})$"), "t").when(t.rlike(r"^\s"), " ").when(t.rlike(r"^[\w.]"), "w").otherwise(t)
     cut = lines.select("source_id", "record_id", tokens.alias("tokens")).withColumn("template", F.array_join(F.transform("tokens", kind), ""))
     sized = cut.groupBy("source_id", "template").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") >= least)
-    words = cut.join(sized.select("source_id", "template"), ["source_id", "template"], "left_semi").select("source_id", "template", F.posexplode("tokens").alias("position", "value"))
-    seen = words.groupBy("source_id", "template", "position", "value").agg(F.count(F.lit(1)).alias("n"))
+    words = cut.select("source_id", "template", F.posexplode("tokens").alias("position", "value"))
+    seen = words.groupBy("source_id", "template", "position", "value").agg(F.count(F.lit(1)).alias("n")).join(sized.select("source_id", "template"), ["source_id", "template"], "left_semi")
     spots = seen.groupBy("source_id", "template", "position").agg(F.count(F.lit(1)).alias("values"), F.min("value").alias("literal")).withColumn("kind", kind(F.col("literal")))
     slots = spots.filter("values > 1 and kind in ('w', 't')").select("source_id", "template", "position")
     group = F.struct("source_id", "template").alias("source_id")
-    long = words.join(slots, ["source_id", "template", "position"], "left_semi").select(group, F.concat(F.lit("slot_"), F.col("position").cast("string")).alias("field"), "value")
+    long = seen.join(slots, ["source_id", "template", "position"], "left_semi").select(group, F.concat(F.lit("slot_"), F.col("position").cast("string")).alias("field"), "value", "n")
     typed = columns.typed(long, names=False).select("source_id.source_id", "source_id.template", F.col("place").alias("position"), "type", "path")
     out = spots.join(sized, ["source_id", "template"]).join(typed, ["source_id", "template", "position"], "left")
     slot = F.col("type").isNotNull()
