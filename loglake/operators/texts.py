@@ -37,20 +37,20 @@ def families(lines: DataFrame, least: int = propose.CLUSTER, codes: int = 2) ->
     twelve numbers of one length of three digits or more, each on ``least`` lines) is a family a code; at most ``codes`` such positions, from the left."""
     cut = drift.assigned(lines).select("source_id", "record_id", "template", F.regexp_extract_all("raw", F.lit(propose.TOKEN), F.lit(0)).alias("tokens"))
     cut = cut.withColumns({"skeleton": F.array_join(F.transform("tokens", kind_of), ""), "code": F.lit("")})
-    for _ in range(codes):
+    for _ in range(codes):  # what is found out is a row a family of ``least`` lines or more; dealt by family, all lines of one would go to one task
         seen = cut.select(*KEYS, F.posexplode("tokens").alias("position", "value")).groupBy(*KEYS, "position", "value").agg(F.count(F.lit(1)).alias("n"))
         width = F.length("value")
         spots = seen.groupBy(*KEYS, "position").agg(F.count(F.lit(1)).alias("c"), F.bool_and(F.col("value").rlike(r"^\d{3,}$")).alias("digits"), (F.min(width) == F.max(width)).alias("even"), F.min("n").alias("fewest"))
         first = spots.filter((F.col("c").between(2, 12)) & F.col("digits") & F.col("even") & (F.col("fewest") >= least)).groupBy(*KEYS).agg(F.min("position").alias("_at"))
         added = F.when(F.col("_at").isNotNull(), F.concat("code", F.lit("|"), F.get("tokens", F.col("_at")))).otherwise(F.col("code"))
-        cut = cut.join(first, KEYS, "left").withColumn("code", added).drop("_at")
+        cut = cut.join(F.broadcast(first), KEYS, "left").withColumn("code", added).drop("_at")
     return cut
 
 
 def copies(cut: DataFrame, typed: DataFrame, least: float = 0.95) -> DataFrame:
     """(g, position): slots of addresses and numbers whose values are those of an earlier slot of their type on nearly all lines."""
     some = typed.filter(F.col("type").isin(COUNTED)).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("position", "type"))).alias("_p"))
-    rows = cut.select(F.struct(*KEYS).alias("g"), "tokens").join(some, "g")
+    rows = cut.select(F.struct(*KEYS).alias("g"), "tokens").join(F.broadcast(some), "g")
     slots = F.transform("_p", lambda p: F.struct(p["position"].alias("at"), p["type"].alias("type"), F.get("tokens", p["position"]).alias("v")))
     rows = rows.select("g", slots.alias("_s"))
     same = F.flatten(F.transform("_s", lambda b: F.transform(F.filter("_s", lambda a: (a["at"] < b["at"]) & (a["v"] == b["v"]) & (a["type"] == b["type"])), lambda a: F.struct(a["at"].alias("a"), b["at"].alias("b")))))
@@ -67,14 +67,15 @@ def sheets(lines: DataFrame, least: int, codes: int) -> DataFrame:
     text (null where it varies), slot, type, path, confidence, copy, known (share of well-known ports), small (all below 65536), form and what maps need."""
     cut = stored(families(lines, least, codes), "families")
     sized = sizes(cut).filter(F.col("lines") >= least).withColumn("n", F.row_number().over(Window.partitionBy("g.source_id").orderBy(F.desc("lines"), "first")))
-    words = cut.withColumn("g", F.struct(*KEYS)).join(sized.select("g"), "g", "left_semi").select("g", F.posexplode("tokens").alias("position", "value"))
-    seen = words.groupBy("g", "position", "value").agg(F.count(F.lit(1)).alias("n"))
+    words = cut.select(F.struct(*KEYS).alias("g"), F.posexplode("tokens").alias("position", "value"))
+    seen = words.groupBy("g", "position", "value").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(sized.select("g")), "g", "left_semi")
     number = F.when(F.col("value").rlike(r"^\d{1,18}$"), F.col("value").cast("bigint"))
     form = F.coalesce(*[F.when(F.col("value").rlike(f"^(?:{a})$"), F.lit(k)) for k, (a, _) in enumerate(TIME_FORMS)])
     known = F.sum(F.when(number.isin(columns.WELL_KNOWN), F.col("n")).otherwise(0)) / F.sum("n")
     spots = seen.groupBy("g", "position").agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("text"), known.alias("known"), F.bool_and(F.coalesce(number <= 65535, F.lit(False))).alias("small"), F.array_sort(F.collect_set(form)).alias("forms"))
     spots = spots.withColumn("kind", kind_of(F.col("text"))).withColumn("slot", (F.col("c") > 1) & F.col("kind").isin("w", "t"))
-    long = words.join(spots.filter("slot").select("g", "position"), ["g", "position"], "left_semi").select(F.col("g").alias("source_id"), F.concat(F.lit("slot_"), F.col("position").cast("string")).alias("field"), "value")
+    slots = F.broadcast(spots.filter("slot").select("g", "position"))
+    long = seen.join(slots, ["g", "position"], "left_semi").select(F.col("g").alias("source_id"), F.concat(F.lit("slot_"), F.col("position").cast("string")).alias("field"), "value", "n")
     typed = columns.typed(long, names=False).withColumnsRenamed({"source_id": "g", "place": "position"}).drop("field", "distinct", "least_value", "alternatives")
     twin = copies(cut, typed.select("g", "position", "type")).withColumn("copy", F.lit(True))
     full = spots.join(typed, ["g", "position"], "left").join(twin, ["g", "position"], "left")
