@@ -132,11 +132,12 @@ def ecs(rows: DataFrame, action_lines: bool = False) -> DataFrame:
 
 
 def escape_header(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, r"([\\|])", r"\\$1"), "[\r\n]", " ")
+    return F.translate(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), "\r\n", "  ")
 
 
 def escape_extension(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, r"([\\=])", r"\\$1"), "\r?\n", r"\\n")
+    escaped = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("="), F.lit("\\="))
+    return F.replace(F.replace(escaped, F.lit("\r\n"), F.lit("\\n")), F.lit("\n"), F.lit("\\n"))
 
 
 def cef_line() -> Column:
@@ -156,12 +157,12 @@ def cef(rows: DataFrame) -> DataFrame:
 def syslog(rows: DataFrame, host: str, app: str, octets: bool = False) -> DataFrame:
     """(record_id, frame): CEF lines behind a header of RFC 5424 (facility local0, informational), as a stream carries them: ended by a line feed, or after
     the number of their bytes."""
-    micros = F.date_format("event_time", "SSSSSS")
-    fraction = F.regexp_replace(F.concat(F.lit("."), F.regexp_replace(micros, "0+$", "")), r"^\.$", "")
-    stamp = F.concat(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+    stamp = F.concat(F.rtrim(F.rtrim(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0")), F.lit(".")), F.lit("Z"))
     line = F.concat(F.lit("<134>1 "), stamp, F.lit(f" {host} {app} - - - "), cef_line())
-    frame = F.concat(F.octet_length(line).cast("string"), F.lit(" "), line) if octets else F.concat(line, F.lit("\n"))
-    return rows.select("record_id", frame.alias("frame"))
+    # a column of its own, so that the line isn't written a second time for its length
+    written = rows.select("record_id", line.alias("_line"))
+    frame = F.concat(F.octet_length("_line").cast("string"), F.lit(" "), "_line") if octets else F.concat("_line", F.lit("\n"))
+    return written.select("record_id", frame.alias("frame"))
 
 
 def batches(rows: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
