@@ -44,21 +44,27 @@ def kv(raw: Column, skip: str = "", pair_sep: str = " ", kv_sep: str = "=", quot
     value is not looked into; one without its closing quote runs to the end and is flagged. A line without any pair is a match without fields."""
     body = F.regexp_replace(raw, rf"\A(?:{skip})", "") if skip else raw
     p, s, q = re.escape(pair_sep), re.escape(kv_sep), re.escape(quote)
-    pattern = rf"(?s)\G(?:{p})*+(.*?){s}({q}.*?(?:{q}|\z)|.*?(?={p}|\z))"
-    keys, values = (F.regexp_extract_all(body, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    single = len({pair_sep, kv_sep, quote}) == 3 and all(len(x) == 1 for x in (pair_sep, kv_sep, quote))
+    if single:  # classes of signs that never step back; the second group is the value as it stands, the third what is in its quotes
+        pattern = rf"\G{p}*+([^{s}]*+){s}({q}?+((?<={s}{q})[^{q}]*+|(?<!{s}{q})[^{p}]*+){q}?+)"
+    else:
+        pattern = rf"(?s)\G(?:{p})*+(.*?){s}({q}.*?(?:{q}|\z)|.*?(?={p}|\z))"
+    groups = [F.regexp_extract_all(body, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)[: 3 if single else 2]]
     closed = lambda v: F.endswith(v, F.lit(quote)) & (F.length(v) > 1)
-    bare = lambda v: F.when(~v.startswith(quote), v).otherwise(F.substring(v, F.lit(2), F.length(v) - F.when(closed(v), 2).otherwise(1)))
+    inside = lambda v: F.when(~v.startswith(quote), v).otherwise(F.substring(v, F.lit(2), F.length(v) - F.when(closed(v), 2).otherwise(1)))
 
-    def build(k: Column, v: Column) -> Column:
-        pairs = F.zip_with(k, v, lambda a, b: F.struct(a.alias("k"), bare(b).alias("v")))
+    def build(k: Column, v: Column, bare: Column) -> Column:
+        pairs = F.arrays_zip(k.alias("k"), bare.alias("v"))
         once = F.size(F.array_distinct(k)) == F.size(k)
         first = F.filter(pairs, lambda p, i: F.array_position(k, p["k"]) == i + 1)
         later = F.when(once, F.array().cast(PAIRS)).otherwise(F.filter(pairs, lambda p, i: F.array_position(k, p["k"]) != i + 1))
-        open_ = F.when(F.exists(v, lambda x: x.startswith(quote) & ~closed(x)), "key_injection_suspect")
-        fields = F.when(once, F.map_from_arrays(k, F.transform(v, bare))).otherwise(F.map_from_entries(first))
+        last = F.try_element_at(v, F.lit(-1))  # a quote that isn't closed runs to the end
+        open_ = F.when(last.startswith(quote) & ~closed(last), "key_injection_suspect")
+        fields = F.when(once, F.map_from_arrays(k, bare)).otherwise(F.map_from_entries(first))
         return F.struct(fields.alias("fields"), later.alias("dupes"), F.array_compact(F.array(open_, F.when(~once, "duplicate_key"))).alias("flags"), F.octet_length(raw).alias("accounted"))
 
-    return F.when(raw.isNotNull(), let(keys, lambda k: let(values, lambda v: build(k, v))))
+    bare = (lambda v: groups[2]) if single else (lambda v: F.transform(v, inside))
+    return F.when(raw.isNotNull(), let(groups[0], lambda k: let(groups[1], lambda v: let(bare(v), lambda b: build(k, v, b)))))
 
 
 def java(pattern: str) -> str:

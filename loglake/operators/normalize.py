@@ -145,7 +145,9 @@ class Candidate:
         alone = [keys[0] for keys in self.sources.values() if len(keys) == 1]
         fields = F.col(f"{self.name}_f.fields")
         left = lambda k, v: (v != "") & ~k.isin(alone) if alone else v != ""
-        unmapped = F.map_filter(fields, left)
+        # where all fields are keys that are read alone, nothing is left
+        read = sum((F.col(self.part(k)).isNotNull().cast("int") for k in dict.fromkeys(alone)), F.lit(0))
+        unmapped = F.when(F.size(fields) == read, F.create_map().cast("map<string,string>")).otherwise(F.map_filter(fields, left))
         for keys in self.sources.values():  # keys that are read together are used only where all of them are there
             if len(keys) > 1:
                 there = functools.reduce(lambda a, b: a & b, [F.col(self.part(k)).isNotNull() for k in keys])
@@ -162,7 +164,8 @@ class Candidate:
         legacy = {"class_uid": x.get("class_uid", 4001), "activity_id": x.get("activity_id", 1)}
         targets: dict[str, Column] = {p: F.lit(v) for p, v in self.spec.get("defaults", legacy).items()}
         targets |= {p: F.lit(how["const"]) for p, how in x["map"].items() if "const" in how}
-        flags = [F.when(F.exists(F.map_values(fields), lambda v: F.octet_length(v) > OVERSIZE), "oversize_field")]
+        # no value is longer than its line
+        flags = [F.when((F.octet_length(self.raw) > OVERSIZE) & F.exists(F.map_values(fields), lambda v: F.octet_length(v) > OVERSIZE), "oversize_field")]
         typed: dict[str, Column] = {}
         mapped_bytes = F.lit(0)
         mapped_fields = F.lit(sum("const" in how for how in x["map"].values()))
@@ -260,6 +263,9 @@ def normalize(lines: DataFrame, specs: list[dict], raw: str = "raw", received: s
     else:
         out = out.withColumn("extract_error", F.lit(None).cast("string"))
     out = out.withColumn("event", event).drop(*own)
+    # counting the rows here keeps filters and the fields they need above the extraction: pushed below it, they would repeat it for each field that an
+    # event must have, and before a small table is dealt out
+    out = out.observe(f"parsed-{uuid.uuid4().hex}", F.count(F.lit(1)))
     time = F.nullif(F.col("event.ocsf.time"), F.lit(0))
     return out.withColumns(
         {
@@ -282,8 +288,6 @@ def staged(parsed: DataFrame) -> DataFrame:
 
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events, and quarantine rows with stage and reason (``staged``)."""
-    # counting the rows here keeps the filters above the extraction: pushed below it, they would repeat it for each field that an event must have
-    parsed = parsed.observe(f"parsed-{uuid.uuid4().hex}", F.count(F.lit(1)))
     fine = F.col("event").isNotNull() & F.col("enrich_error").isNull() if "enrich_error" in parsed.columns else F.col("event").isNotNull()
     rest = staged(parsed.filter(~fine)).withColumn("status", F.lit("open"))
     return parsed.filter(fine).drop("extract_error", "enrich_error"), rest.drop("event", "event_time", "time_from_receipt", "parse_confidence", "extract_error", "enrich_error")
