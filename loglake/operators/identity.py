@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,11 @@ def claims(facts: DataFrame) -> DataFrame:
     ends a time to live after it was last seen. Empty claims are dropped."""
     ttl = F.coalesce(*[F.when(F.col("kind") == k, F.lit(h * 3600).cast("bigint")) for k, h in TTL_HOURS.items()])
     order = Window.partitionBy("ip", "kind").orderBy("at", "record_id")
-    who = F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in HOLDER])
-    rows = facts.withColumns({"_ttl": F.make_dt_interval(secs=ttl), "_who": who})
-    rows = rows.withColumns({"_pa": F.lag("action").over(order), "_pw": F.lag("_who").over(order), "_pt": F.lag("at").over(order), "_next": F.lead("at").over(order)})
-    renews = (F.col("_pa") == "bind") & (F.col("_pw") == F.col("_who")) & (F.col("at") < F.col("_pt") + F.col("_ttl"))
+    # what is held while an address is gone through is the facts alone: nothing is made of them before
+    rows = facts.withColumns({"_pa": F.lag("action").over(order), "_pt": F.lag("at").over(order), "_next": F.lead("at").over(order)} | {f"_p_{c}": F.lag(c).over(order) for c in HOLDER})
+    same = functools.reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_p_{c}"), F.lit("")) == F.coalesce(F.col(c), F.lit("")) for c in HOLDER])
+    rows = rows.withColumn("_ttl", F.make_dt_interval(secs=ttl))
+    renews = (F.col("_pa") == "bind") & same & (F.col("at") < F.col("_pt") + F.col("_ttl"))
     new = F.when((F.col("action") == "bind") & ~F.coalesce(renews, F.lit(False)), 1).otherwise(0)
     numbered = rows.withColumn("_c", F.sum(new).over(order)).filter("action = 'bind'")
     first = lambda c: F.min_by(c, F.struct("at", "record_id"))
@@ -106,8 +109,11 @@ def reassignments(claims_: DataFrame) -> DataFrame:
 
 def graph_edges(claims_: DataFrame) -> DataFrame:
     """(source, target, kind, first, last) between addresses and users, hosts and hardware, and hosts and hardware."""
-    edge = lambda a, b, kind: claims_.filter(F.coalesce(F.col(a), F.lit("")) != "").filter(F.coalesce(F.col(b), F.lit("")) != "").select(F.concat(F.lit(f"{a}:"), a).alias("source"), F.concat(F.lit(f"{b}:"), b).alias("target"), F.lit(kind).alias("kind"), "valid_from", "valid_to")
-    every = edge("ip", "user", "used_by").union(edge("ip", "host", "held_by")).union(edge("ip", "mac", "seen_on")).union(edge("host", "mac", "has"))
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    edge = lambda a, b, kind: F.when(said(a) & said(b), F.struct(F.concat(F.lit(f"{a}:"), a).alias("source"), F.concat(F.lit(f"{b}:"), b).alias("target"), F.lit(kind).alias("kind")))
+    edges = F.array_compact(F.array(edge("ip", "user", "used_by"), edge("ip", "host", "held_by"), edge("ip", "mac", "seen_on"), edge("host", "mac", "has")))
+    # all edges of a claim at once: claims are made in one pass, not one a kind of edge
+    every = claims_.select(F.explode(edges).alias("e"), "valid_from", "valid_to").select("e.*", "valid_from", "valid_to")
     return every.groupBy("source", "target", "kind").agg(F.min("valid_from").alias("first"), F.max("valid_to").alias("last"))
 
 
