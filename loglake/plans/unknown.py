@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.operators import columns, normalize
-from loglake.plans.lines import KV_OK, KV_SPEC, events, kv_lines
+from loglake.plans.lines import KV_OK, KV_SPEC, events, kv_lines, spread
 from loglake.plans.registry import query
 
 FIELDS = ["c1_time", "c2_src", "c3_dst", "c4_port", "c5_mac", "c6_act", "c7_nat", "c8_n", "c9_ms", "c10_user", "c11_proto", "c12_level", "c13_day", "c14_six", "c15_none", "c16_text"]
@@ -17,7 +17,7 @@ VERB = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VERBS.
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     verb = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in VERBS.items()])
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         e.alias("record_id"), F.concat(F.lit("s"), u % 3).alias("source_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("c1_time"), F.format_string("10.0.%d.%d", u % 4, e % 200).alias("c2_src"), F.format_string("93.184.0.%d", e % 50).alias("c3_dst"),
         F.when(e % 4 == 0, "").otherwise(((e * 37) % 65536).cast("string")).alias("c4_port"), F.format_string("aa:bb:cc:00:00:%02d", e % 90).alias("c5_mac"), verb.alias("c6_act"),
         F.when(e % 50 == 0, "10.9.9.9").otherwise(F.format_string("10.0.%d.%d", u % 4, e % 200)).alias("c7_nat"), F.when(e % 3 == 0, F.lit(None)).otherwise((e + 70000).cast("string")).alias("c8_n"), F.unix_millis("ts").cast("string").alias("c9_ms"),
@@ -83,14 +83,14 @@ def role_by_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nameless columns: an inner address before an outer one, a well-known port before an ephemeral one."""
     e = F.col("event_id")
     rows = events(spark, sf_dir).select(F.concat(F.lit("s"), F.col("user_id") % 3).alias("source_id"), F.format_string("10.1.%d.%d", e % 4, e % 200).alias("col_0"), F.format_string("198.51.100.%d", e % 90).alias("col_1"), F.when(e % 2 == 0, "443").otherwise("53").alias("col_2"), (e % 30000 + 20000).cast("string").alias("col_3"), F.format_string("203.0.113.%d", e % 7).alias("col_4"))
-    typed = columns.typed(columns.long_form(rows, ["col_0", "col_1", "col_2", "col_3", "col_4"]), names=False)
+    typed = columns.typed(columns.long_form(rows, ["col_0", "col_1", "col_2", "col_3", "col_4"]), names=False, lists=False)
     return typed.filter("path != ''").select("source_id", "field", F.col("path").alias("role"))
 
 
 @query(f"""WITH e AS (SELECT DISTINCT {S} FROM events) SELECT source_id, field, type, path, confidence FROM e, (VALUES ('c1_time', 'timestamp', 'time', 1.0::DOUBLE), ('c2_src', 'ipv4', 'src_endpoint.ip', 1.0), ('c3_dst', 'ipv4', 'dst_endpoint.ip', 0.855), ('c4_port', 'port', 'src_endpoint.port', 0.875), ('c5_mac', 'mac', '', 0.8), ('c6_act', 'action', 'action_id', 0.8),
   ('c7_nat', 'ipv4', '', 0.5), ('c8_n', 'integer', '', 0.5), ('c9_ms', 'timestamp', '', 0.5), ('c10_user', 'username', 'actor.user.name', 0.925), ('c11_proto', 'protocol', 'connection_info.protocol_name', 0.8), ('c12_level', 'severity', 'severity_id', 0.925), ('c13_day', 'date', '', 0.5), ('c14_six', 'ipv6', '', 0.5), ('c15_none', 'empty', '', 0.0), ('c16_text', 'string', '', 0.4)) v(field, type, path, confidence)""")
 def typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.typed(long(spark, sf_dir), {f: n for n, f in enumerate(FIELDS)}).select("source_id", "field", "type", "path", "confidence")
+    return columns.typed(long(spark, sf_dir), {f: n for n, f in enumerate(FIELDS)}, lists=False).select("source_id", "field", "type", "path", "confidence")
 
 
 @query(f"""WITH e AS (SELECT {S}, * FROM events) SELECT source_id, 'c2_src' AS a, 'c7_nat' AS b, round(avg(CASE WHEN event_id % 50 <> 0 THEN 1 ELSE 0 END), 6) AS share FROM e GROUP BY 1 HAVING avg(CASE WHEN event_id % 50 <> 0 THEN 1 ELSE 0 END) >= 0.95""")
